@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 def counts(spark, sf, k: int = K):
     tokens = U.canonical_kmers(spark, k).select("token")
-    return E.class_counts(P.presence_stranded(X.labelled(spark, sf), tokens, [k]), tokens)
+    return E.class_counts(P.presence_stranded(X.sequences(spark, sf), tokens, [k]), tokens)
 
 
 def sizes(spark, sf):
@@ -107,31 +107,31 @@ def e6_families(spark, sf):
 def flagship(spark, sf):
     """Which strand classes of 6-mers are enriched in the positives, adjusted, best first."""
     tokens = U.canonical_kmers(spark, K).select("token")
-    kept, _ = E.enrich(X.labelled(spark, sf), tokens, 0.05, True, [K])
+    kept, _ = E.enrich(X.sequences(spark, sf), tokens, 0.01, True, [K])
     return kept.select(
         *COUNTED, X.r6(F.col("pvalue")).alias("pvalue"), X.r6(F.col("padj")).alias("padj"), log_p(),
     ).orderBy(F.desc("log_p"), "token")
 
 
 @query("e7_enrich", f"""{base_sql()}, {X.bh_sql()}
-SELECT {COUNTED_SQL}, round(pvalue, 6) AS pvalue, round(padj, 6) AS padj, {log_p_sql()} FROM adjusted WHERE padj <= 0.05""")
+SELECT {COUNTED_SQL}, round(pvalue, 6) AS pvalue, round(padj, 6) AS padj, {log_p_sql()} FROM adjusted WHERE padj <= 0.01""")
 def e7(spark, sf):
     return flagship(spark, sf)
 
 
 @query("e7_enrich_matrix", f"""{base_sql(4)}
-SELECT gene, class, token FROM stranded WHERE token IN (SELECT token FROM tested WHERE pvalue <= 0.5)""")
+SELECT gene, class, token FROM stranded WHERE token IN (SELECT token FROM tested WHERE pvalue <= 0.01)""")
 def e7_matrix(spark, sf):
     tokens = U.canonical_kmers(spark, 4).select("token")
-    return E.enrich(X.labelled(spark, sf), tokens, 0.5, False, [4])[1]
+    return E.enrich(X.sequences(spark, sf), tokens, 0.01, False, [4])[1]
 
 
 def gc(spark, sf):
     share = F.length(F.regexp_replace("seq", "[AT]", "")) / F.length("seq")
-    return X.labelled(spark, sf).where("seq <> ''").select("gene", "class", share.alias("gc"))
+    return X.sequences(spark, sf).where("seq <> ''").select("gene", "class", share.alias("gc"))
 
 
-_GC = f"WITH {X.SEQ}, gc AS (SELECT gene, class, length(regexp_replace(seq, '[AT]', '', 'g')) / length(seq)::DOUBLE AS gc FROM labelled WHERE seq <> '')"
+_GC = f"WITH {X.SEQ}, gc AS (SELECT gene, class, length(regexp_replace(seq, '[AT]', '', 'g')) / length(seq)::DOUBLE AS gc FROM sequences WHERE seq <> '')"
 
 
 @query("e8_mean_sd_se", f"""{_GC} SELECT class, round(avg(gc), 6) AS mean, round(stddev_pop(gc), 6) AS sd,
@@ -150,14 +150,14 @@ def e9(spark, sf):
 
 def scored(spark, sf):
     """Score of a gene: the share of all 5-mers that it does not hold."""
-    seqs = X.labelled(spark, sf)
+    seqs = X.sequences(spark, sf)
     held = words_in(seqs, [5]).select("gene", "word").distinct().groupBy("gene").agg(F.count("*").alias("n"))
     score = 1 - F.coalesce("n", F.lit(0)) / 1024.0
     return X.genes(spark, sf).join(held, "gene", "left").select(
         "gene", "class", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
-SCORED = f"""WITH {X.SEQ}, {X.windows_sql(5, 'labelled')},
+SCORED = f"""WITH {X.SEQ}, {X.windows_sql(5, 'sequences')},
 scored AS (SELECT gene, class, 1 - n / 1024.0::DOUBLE AS score, CASE WHEN 1 - n / 1024.0::DOUBLE >= 0.5 THEN 1 ELSE 0 END AS predicted
   FROM (SELECT g.gene, g.class, coalesce(h.n, 0) AS n FROM genes g LEFT JOIN
         (SELECT gene, count(DISTINCT word) AS n FROM wins GROUP BY 1) h ON h.gene = g.gene))"""
@@ -195,7 +195,7 @@ def e13(spark, sf):
 # -- growth: seeds are all strand classes of length 4, tested on both strands ----------------
 
 SEED = 4
-CUTOFF = 0.5
+CUTOFF = 0.01
 
 
 def seeds(spark):
@@ -204,7 +204,7 @@ def seeds(spark):
 
 def seed_result(spark, sf):
     tested = E.fisher_greater(
-        E.class_counts(P.presence_stranded(X.labelled(spark, sf), seeds(spark), [SEED]), seeds(spark)), sizes(spark, sf))
+        E.class_counts(P.presence_stranded(X.sequences(spark, sf), seeds(spark), [SEED]), seeds(spark)), sizes(spark, sf))
     return E.filter_enriched(tested, CUTOFF).withColumn("padj", F.col("pvalue"))
 
 
@@ -215,7 +215,7 @@ def level_sql(level: int, parents: str, family: str | None = None) -> str:
         f"SELECT token AS parent, padj AS parent_padj, {expr} AS token FROM {parents}"
         for b in "ATGC" for expr in (f"token || '{b}'", f"'{b}' || token"))
     adjust = f", {X.bh_sql('linked' + n, 'adj' + n, family)}" if family else f", adj{n} AS (SELECT *, pvalue AS padj FROM linked{n})"
-    return f"""{X.windows_sql(k, 'labelled', 'w' + n)}, links{n} AS (SELECT DISTINCT * FROM ({children})),
+    return f"""{X.windows_sql(k, 'sequences', 'w' + n)}, links{n} AS (SELECT DISTINCT * FROM ({children})),
 kids{n} AS (SELECT DISTINCT token FROM links{n}),
 tw{n} AS (SELECT token, token AS word FROM kids{n} UNION SELECT token, {X.rc_sql('token')} FROM kids{n}),
 pres{n} AS (SELECT DISTINCT w.gene, w.class, t.token FROM (SELECT DISTINCT gene, class, word FROM w{n}) w JOIN tw{n} t ON t.word = w.word),
@@ -241,13 +241,13 @@ def g1(spark, sf):
 
 @query("g2_grow_level", f"{seeds_sql()}, {level_sql(1, 'level0')} SELECT token, pos_count, neg_count, round(padj, 6) AS padj FROM level1")
 def g2(spark, sf):
-    return G.grow_level(X.labelled(spark, sf), seed_result(spark, sf), CUTOFF, None, [SEED + 1]).select(
+    return G.grow_level(X.sequences(spark, sf), seed_result(spark, sf), CUTOFF, None, [SEED + 1]).select(
         "token", "pos_count", "neg_count", X.r6(F.col("padj")).alias("padj"))
 
 
 @query("g2_grow_level_fdr", f"{seeds_sql()}, {level_sql(1, 'level0', 'parent')} SELECT token, pos_count, neg_count, round(padj, 6) AS padj FROM level1")
 def g2_fdr(spark, sf):
-    return G.grow_level(X.labelled(spark, sf), seed_result(spark, sf), CUTOFF, "parent", [SEED + 1]).select(
+    return G.grow_level(X.sequences(spark, sf), seed_result(spark, sf), CUTOFF, "parent", [SEED + 1]).select(
         "token", "pos_count", "neg_count", X.r6(F.col("padj")).alias("padj"))
 
 
@@ -257,7 +257,7 @@ _UNION = " UNION ALL ".join(f"SELECT {n} AS level, token, pos_count, neg_count,
 
 
 def grown(spark, sf):
-    return G.grow(X.labelled(spark, sf), seeds(spark), _LEVELS, CUTOFF, None, [SEED])
+    return G.grow(X.sequences(spark, sf), seeds(spark), _LEVELS, CUTOFF, None, [SEED])
 
 
 @query("g3_grow", f"{_GROWN} SELECT level, token, pos_count, neg_count, round(pvalue, 6) AS pvalue FROM ({_UNION})")
@@ -272,6 +272,6 @@ rows AS (SELECT DISTINCT w.gene, w.class, t.token FROM wins w JOIN seedw t ON t.
 SELECT gene, CASE class WHEN 1 THEN 'pos' ELSE 'neg' END AS class, count(*) AS n_tokens, min(token) AS first_token, max(token) AS last_token FROM rows GROUP BY 1, 2""")
 def g4(spark, sf):
     matrix = G.final_matrix(
-        X.labelled(spark, sf), grown(spark, sf), CUTOFF, [SEED + n for n in range(_LEVELS + 1)], "pos", "neg")
+        X.sequences(spark, sf), grown(spark, sf), CUTOFF, [SEED + n for n in range(_LEVELS + 1)], "pos", "neg")
     return matrix.groupBy("gene", "class").agg(
         F.count("*").alias("n_tokens"), F.min("token").alias("first_token"), F.max("token").alias("last_token"))

@@ -26,21 +26,21 @@ def dna(text: Column) -> Column:
     return F.translate(F.lower(F.regexp_replace(text, "[^a-zA-Z]", "")), AZ, BASES)
 
 
-def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(gene, class, seq) of all documents; class is null without a label."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("gene"), dna(F.col("text")).alias("seq"))
-    labels = table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("gene"), (1 - F.col("quality")).alias("class"))
-    return docs.join(labels, "gene", "left").select("gene", "class", "seq")
+POSITIVE = "de"
+
 
+def _class() -> Column:
+    return F.when(F.col("lang") == POSITIVE, 1).otherwise(0).alias("class")
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequences that have a class: all labelled documents."""
-    return sequences(spark, sf_dir).where("class is not null")
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(gene, class, seq) of all documents; the positives are the documents in one language."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("gene"), _class(), dna(F.col("text")).alias("seq"))
 
 
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("gene"), (1 - F.col("quality")).alias("class"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("gene"), _class())
 
 
 def r6(column: Column) -> Column:
@@ -48,8 +48,8 @@ def r6(column: Column) -> Column:
 
 
 def hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """Hit table of all strand classes: every window of every labelled document, ``kmer`` is ``K.RC``."""
-    opened = sequence_kmers(labelled(spark, sf_dir), k)
+    """Hit table of all strand classes: every window of every document, ``kmer`` is ``K.RC``."""
+    opened = sequence_kmers(sequences(spark, sf_dir), k)
     return opened.select(
         "gene", "class", strand_token(F.col("word")).alias("kmer"), "start",
         (F.col("start") + k - 1).alias("end"),
@@ -87,12 +87,10 @@ def motif_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- the same views in SQL ----------------------------------------------------------------
 
-SEQ = f"""sequences AS (
-  SELECT d.doc_id AS gene, 1 - l.quality AS class,
-         translate(lower(regexp_replace(d.text, '[^a-zA-Z]', '', 'g')), '{AZ}', '{BASES}') AS seq
-  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
-labelled AS (SELECT * FROM sequences WHERE class IS NOT NULL),
-genes AS (SELECT doc_id AS gene, 1 - quality AS class FROM labels),
+SEQ = f"""genes AS (SELECT doc_id AS gene, CASE WHEN lang = '{POSITIVE}' THEN 1 ELSE 0 END AS class FROM documents),
+sequences AS (
+  SELECT doc_id AS gene, CASE WHEN lang = '{POSITIVE}' THEN 1 ELSE 0 END AS class,
+         translate(lower(regexp_replace(text, '[^a-zA-Z]', '', 'g')), '{AZ}', '{BASES}') AS seq FROM documents),
 sizes AS (SELECT count(*) FILTER (class = 1) AS n_pos, count(*) FILTER (class = 0) AS n_neg FROM genes)"""
 
 
@@ -125,7 +123,7 @@ def universe_sql(k: int, name: str = "universe") -> str:
     return f"{name} AS (SELECT idx, {letters} AS word FROM range({4 ** k}) t(idx))"
 
 
-def stranded_sql(k: int, source: str = "labelled", name: str = "stranded") -> str:
+def stranded_sql(k: int, source: str = "sequences", name: str = "stranded") -> str:
     """Distinct (gene, class, token) of strand classes."""
     return f"{windows_sql(k, source)},\n{name} AS (SELECT DISTINCT gene, class, {token_sql('word')} AS token FROM (SELECT DISTINCT gene, class, word FROM wins))"
 

@@ -120,14 +120,14 @@ def p4_literal(spark, sf):
 SELECT m.gene, m.class, m.n_tokens, {', '.join(f'round(e.embedding[{i}]::DOUBLE, 6) AS ds{i}' for i in range(1, 6))}
 FROM (SELECT gene, class, count(*) AS n_tokens FROM stranded GROUP BY 1, 2) m LEFT JOIN embeddings e ON e.vec_id = m.gene""")
 def p5(spark, sf):
-    held = P.presence_stranded(X.labelled(spark, sf), U.canonical_kmers(spark, 4), [4])
+    held = P.presence_stranded(X.sequences(spark, sf), U.canonical_kmers(spark, 4), [4])
     matrix = held.groupBy("gene", "class").agg(F.count("*").alias("n_tokens"))
     structure = X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("gene"), *[
         X.r6(F.col("embedding")[i].cast("double")).alias(f"ds{i + 1}") for i in range(5)])
     return P.with_structure(matrix, structure)
 
 
-@query("p6_presence_matrix", f"""WITH {X.SEQ}, {_CANON}, {X.windows_sql(2, 'labelled')},
+@query("p6_presence_matrix", f"""WITH {X.SEQ}, {_CANON}, {X.windows_sql(2, 'sequences')},
 fwd AS (SELECT DISTINCT gene, class, word FROM wins),
 both2 AS (SELECT DISTINCT gene, class, {X.token_sql('word')} AS word FROM fwd),
 fpairs AS (SELECT a.word AS first, b.word AS second, a.word || ' ' || b.word AS token FROM universe a JOIN universe b ON a.idx < b.idx)
@@ -139,15 +139,15 @@ def p6(spark, sf):
     tokens = U.kmer_universe(spark, 2).select(F.col("word").alias("token"))
     for more in (U.canonical_kmers(spark, 2), U.kmer_pairs(spark, 2), U.canonical_pairs(spark, 2)):
         tokens = tokens.unionByName(more.select("token"))
-    return P.presence_matrix(X.labelled(spark, sf), tokens, [2])
+    return P.presence_matrix(X.sequences(spark, sf), tokens, [2])
 
 
 @query("p7_feature_subset", f"""WITH {X.SEQ}, {X.stranded_sql(4)}, {X.counts_sql()}
-SELECT gene, class, token FROM stranded WHERE token IN (SELECT token FROM counts WHERE pos_count * 4 <= neg_count)""")
+SELECT gene, class, token FROM stranded WHERE token IN (SELECT token FROM counts WHERE pos_count * 7 >= neg_count)""")
 def p7(spark, sf):
     from kmerlake.operators.enrichment import class_counts
-    held = P.presence_stranded(X.labelled(spark, sf), U.canonical_kmers(spark, 4), [4])
-    return P.feature_subset(held, class_counts(held).where("pos_count * 4 <= neg_count"))
+    held = P.presence_stranded(X.sequences(spark, sf), U.canonical_kmers(spark, 4), [4])
+    return P.feature_subset(held, class_counts(held).where("pos_count * 7 >= neg_count"))
 
 
 @query("p8_recode_class", """SELECT doc_id AS gene, CASE lang WHEN 'en' THEN 1 ELSE 0 END AS class, source, n_chars
