@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerlake.functions import exact
-from kmerlake.operators.presence import presence_matrix, presence_pair_stranded, presence_stranded
+from kmerlake.operators.presence import pair_kinds, presence_matrix, presence_pair_stranded, presence_stranded
 from kmerlake.operators.ranking import BUCKET, attach_one_row, probability_bucket, running
+from kmerlake.session import materialise
 
 
 def class_counts(presence: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
@@ -57,9 +58,11 @@ def bh_adjust(results: DataFrame, by: list[str] | None = None, p: str = "pvalue"
     """Benjamini–Hochberg inside each family.
 
     Works on distinct p-values with their counts: tied tokens (often a third of a family at
-    p = 1) shrink to one row, and p-values are ranked over buckets.
+    p = 1) shrink to one row, and p-values are ranked over buckets. The results are used for
+    ranks, sizes and the output, so they are written to the shared folder once.
     """
     by = by or []
+    results = materialise(results)
     groups = results.groupBy(*by, p).agg(F.count("*").alias("_n")).withColumn(BUCKET, probability_bucket(F.col(p)))
     sizes = results.groupBy(*by).agg(F.count("*").alias("_size"))
     ranked = running(groups, by, [p], "sum", "_n", "_rank")
@@ -73,10 +76,10 @@ def bh_adjust(results: DataFrame, by: list[str] | None = None, p: str = "pvalue"
 def stranded_presence(seqs: DataFrame, tokens: DataFrame, lengths: Iterable[int] | None = None) -> DataFrame:
     """Presence as the growth search tests it: both strands for single words and for pair members."""
     pair = F.col("token").contains(" ")
-    kinds = tokens.agg(F.max(pair).alias("any"), F.min(pair).alias("all")).first()
-    if not kinds["any"]:
+    any_pairs, only_pairs = pair_kinds(tokens)
+    if not any_pairs:
         return presence_stranded(seqs, tokens, lengths)
-    if kinds["all"]:
+    if only_pairs:
         return presence_pair_stranded(seqs, tokens, lengths)
     return presence_stranded(seqs, tokens.where(~pair), lengths).unionByName(
         presence_pair_stranded(seqs, tokens.where(pair), lengths))
@@ -94,10 +97,10 @@ def enrich(
     seqs: DataFrame, tokens: DataFrame, cutoff: float = 0.01, fdr: bool = False,
     lengths: Iterable[int] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Enriched tokens and their presence rows."""
+    """Enriched tokens and their presence rows; the small result table is written once."""
     presence = presence_matrix(seqs, tokens, lengths)
     results = tested_tokens(presence, tokens, class_sizes(seqs), fdr)
-    kept = filter_enriched(results, cutoff, "padj")
+    kept = materialise(filter_enriched(results, cutoff, "padj"))
     return kept, presence.join(kept.select("token"), "token", "left_semi")
 
 

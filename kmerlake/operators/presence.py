@@ -96,15 +96,28 @@ def presence_pair_stranded(
     return _presence(seqs, alone.distinct(), lengths).unionByName(both).distinct()
 
 
+def pair_kinds(tokens: DataFrame) -> tuple[bool, bool]:
+    """(any pairs, only pairs) in a token list."""
+    pair = F.col("token").contains(" ")
+    kinds = tokens.agg(F.max(pair).alias("any"), F.min(pair).alias("all")).first()
+    return bool(kinds["any"]), bool(kinds["all"])
+
+
 def presence_matrix(seqs: DataFrame, tokens: DataFrame, lengths: Iterable[int] | None = None) -> DataFrame:
     """All token shapes at once: ``K`` forward, ``K.RC`` stranded, ``A B`` and ``A.RA B.RB`` pairs."""
     pair, strand = F.col("token").contains(" "), F.col("token").contains(".")
+    any_pairs, only_pairs = pair_kinds(tokens)
     units = tokens.select(F.explode(F.split("token", " ")).alias("token")).distinct()
     words = units.select("token", F.explode(
         F.when(strand, _both_strands(F.col("token"))).otherwise(F.array("token"))).alias("word"))
     present = _presence(seqs, words, lengths)
+    if not any_pairs:
+        return present
+    both = _both_members(present, _members(tokens.where(pair)))
+    if only_pairs:
+        return both
     single = present.join(tokens.where(~pair).select("token").distinct(), "token", "left_semi").select(*KEYS, "token")
-    return single.unionByName(_both_members(present, _members(tokens.where(pair))))
+    return single.unionByName(both)
 
 
 def with_structure(matrix: DataFrame, structure: DataFrame) -> DataFrame:

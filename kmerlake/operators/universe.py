@@ -20,17 +20,21 @@ def canonical_size(k: int) -> int:
     return (4**k + (4 ** (k // 2) if k % 2 == 0 else 0)) // 2
 
 
-def canonical_kmers(spark: SparkSession, k: int) -> DataFrame:
-    """(rank, word, token): one word per strand class, ``token`` is ``K.RC``; palindromes stay."""
+def canonical_words(spark: SparkSession, k: int) -> DataFrame:
+    """(idx, word, token): one word per strand class, ``token`` is ``K.RC``; palindromes stay."""
     kept = kmer_universe(spark, k).where(canonical(F.col("word")) == F.col("word"))
-    kept = kept.withColumn("block", F.col("idx").bitwiseAND(F.lit(-_RANK_BLOCK)))
+    return kept.withColumn("token", strand_token(F.col("word")))
+
+
+def canonical_kmers(spark: SparkSession, k: int) -> DataFrame:
+    """(rank, word, token): the strand classes numbered in universe order."""
+    kept = canonical_words(spark, k).withColumn("block", F.col("idx").bitwiseAND(F.lit(-_RANK_BLOCK)))
     sizes = kept.groupBy("block").agg(F.count("*").alias("n"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("block").orderBy("idx")
     return kept.join(offsets, "block").select(
-        (F.col("offset") + F.row_number().over(inside) - 1).alias("rank"), "word",
-        strand_token(F.col("word")).alias("token"))
+        (F.col("offset") + F.row_number().over(inside) - 1).alias("rank"), "word", "token")
 
 
 def _pair_indices(spark: SparkSession, n: int) -> DataFrame:

@@ -1,4 +1,10 @@
-"""Windows of sequences: the base of presence tests and of k-mer mapping."""
+"""Windows of sequences: the base of presence tests and of k-mer mapping.
+
+Sequences are cut into pieces, and pieces are spread over all tasks before their windows are
+opened: one shuffle of the plain text, so that an unsplittable file or one very long sequence
+does not leave the costly part to a single task. The windows themselves are far larger than
+the text and are reduced before they are shuffled.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +20,7 @@ def sequence_kmers(seqs: DataFrame, k: int) -> DataFrame:
     """Every window of length ``k``: (the other columns of ``seqs``, start from 1, word)."""
     keep = [c for c in seqs.columns if c != "seq"]
     cut = seqs.select(*keep, F.posexplode(pieces(F.col("seq"), k, k)).alias("_piece", "_text"))
+    cut = cut.repartition(*keep, "_piece")
     opened = cut.select(*keep, "_piece", F.posexplode(windows(F.col("_text"), k)).alias("_at", "word"))
     return opened.select(*keep, (F.col("_piece").cast("long") * PIECE + F.col("_at") + 1).alias("start"), "word")
 
@@ -23,6 +30,7 @@ def words_in(seqs: DataFrame, lengths: Iterable[int]) -> DataFrame:
     lengths = sorted(set(lengths))
     keep = [c for c in seqs.columns if c != "seq"]
     cut = seqs.select(*keep, F.explode(pieces(F.col("seq"), lengths[0], lengths[-1])).alias("_text"))
+    cut = cut.repartition(*keep, "_text")
     found = F.concat(*[windows(F.col("_text"), k) for k in lengths])
     return cut.select(*keep, F.explode(F.array_distinct(found)).alias("word"))
 

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 
 def counts(spark, sf, k: int = K):
-    tokens = U.canonical_kmers(spark, k).select("token")
+    tokens = U.canonical_words(spark, k).select("token")
     return E.class_counts(P.presence_stranded(X.sequences(spark, sf), tokens, [k]), tokens)
 
 
@@ -106,7 +106,7 @@ def e6_families(spark, sf):
 
 def flagship(spark, sf):
     """Which strand classes of 6-mers are enriched in the positives, adjusted, best first."""
-    tokens = U.canonical_kmers(spark, K).select("token")
+    tokens = U.canonical_words(spark, K).select("token")
     kept, _ = E.enrich(X.sequences(spark, sf), tokens, 0.01, True, [K])
     return kept.select(
         *COUNTED, X.r6(F.col("pvalue")).alias("pvalue"), X.r6(F.col("padj")).alias("padj"), log_p(),
@@ -122,7 +122,7 @@ def e7(spark, sf):
 @query("e7_enrich_matrix", f"""{base_sql(4)}
 SELECT gene, class, token FROM stranded WHERE token IN (SELECT token FROM tested WHERE pvalue <= 0.01)""")
 def e7_matrix(spark, sf):
-    tokens = U.canonical_kmers(spark, 4).select("token")
+    tokens = U.canonical_words(spark, 4).select("token")
     return E.enrich(X.sequences(spark, sf), tokens, 0.01, False, [4])[1]
 
 
@@ -199,7 +199,7 @@ CUTOFF = 0.01
 
 
 def seeds(spark):
-    return U.canonical_kmers(spark, SEED).select(F.col("word").alias("token"))
+    return U.canonical_words(spark, SEED).select(F.col("word").alias("token"))
 
 
 def seed_result(spark, sf):

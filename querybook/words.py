@@ -94,7 +94,7 @@ def p1(spark, sf):
 
 @query("p2_presence_stranded", f"WITH {X.SEQ}, {X.stranded_sql(4, 'sequences')} SELECT gene, token FROM stranded")
 def p2(spark, sf):
-    return P.presence_stranded(X.sequences(spark, sf), U.canonical_kmers(spark, 4), [4]).select("gene", "token")
+    return P.presence_stranded(X.sequences(spark, sf), U.canonical_words(spark, 4), [4]).select("gene", "token")
 
 
 @query("p3_presence_pair", f"WITH {X.SEQ}, {_PAIRS}, {_FWD} {_HELD}")
@@ -120,7 +120,7 @@ def p4_literal(spark, sf):
 SELECT m.gene, m.class, m.n_tokens, {', '.join(f'round(e.embedding[{i}]::DOUBLE, 6) AS ds{i}' for i in range(1, 6))}
 FROM (SELECT gene, class, count(*) AS n_tokens FROM stranded GROUP BY 1, 2) m LEFT JOIN embeddings e ON e.vec_id = m.gene""")
 def p5(spark, sf):
-    held = P.presence_stranded(X.sequences(spark, sf), U.canonical_kmers(spark, 4), [4])
+    held = P.presence_stranded(X.sequences(spark, sf), U.canonical_words(spark, 4), [4])
     matrix = held.groupBy("gene", "class").agg(F.count("*").alias("n_tokens"))
     structure = X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("gene"), *[
         X.r6(F.col("embedding")[i].cast("double")).alias(f"ds{i + 1}") for i in range(5)])
@@ -137,7 +137,7 @@ UNION ALL SELECT p.gene, p.class, t.token FROM fpairs t JOIN fwd p ON p.word = t
 UNION ALL SELECT p.gene, p.class, t.token FROM pairs t JOIN both2 p ON p.word = t.first JOIN both2 q ON q.gene = p.gene AND q.word = t.second""")
 def p6(spark, sf):
     tokens = U.kmer_universe(spark, 2).select(F.col("word").alias("token"))
-    for more in (U.canonical_kmers(spark, 2), U.kmer_pairs(spark, 2), U.canonical_pairs(spark, 2)):
+    for more in (U.canonical_words(spark, 2), U.kmer_pairs(spark, 2), U.canonical_pairs(spark, 2)):
         tokens = tokens.unionByName(more.select("token"))
     return P.presence_matrix(X.sequences(spark, sf), tokens, [2])
 
@@ -146,7 +146,7 @@ def p6(spark, sf):
 SELECT gene, class, token FROM stranded WHERE token IN (SELECT token FROM counts WHERE pos_count * 7 >= neg_count)""")
 def p7(spark, sf):
     from kmerlake.operators.enrichment import class_counts
-    held = P.presence_stranded(X.sequences(spark, sf), U.canonical_kmers(spark, 4), [4])
+    held = P.presence_stranded(X.sequences(spark, sf), U.canonical_words(spark, 4), [4])
     return P.feature_subset(held, class_counts(held).where("pos_count * 7 >= neg_count"))
 
 
