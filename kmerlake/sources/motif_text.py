@@ -26,7 +26,7 @@ def read_motifs(spark: SparkSession, path: str) -> DataFrame:
 
     zipped = F.arrays_zip(*[row(x).alias(x) for x in LETTERS])
     cells = _blocks(spark, path).select("motif_id", "name", F.posexplode(zipped).alias("pos", "cell"))
-    return cells.select("motif_id", "name", "pos", *[F.col("cell")[str(i)].alias(x) for i, x in enumerate(LETTERS)])
+    return cells.select("motif_id", "name", "pos", *[F.col("cell")[x].alias(x) for x in LETTERS])
 
 
 def read_motif_sites(spark: SparkSession, path: str) -> DataFrame:
@@ -35,7 +35,7 @@ def read_motif_sites(spark: SparkSession, path: str) -> DataFrame:
     part = lambda group: F.regexp_extract_all("value", F.lit(line), group)
     zipped = F.arrays_zip(part(1).alias("site"), part(3).alias("score"))
     sites = _blocks(spark, path).select("motif_id", F.posexplode(zipped).alias("site_no", "s"))
-    return sites.select("motif_id", "site_no", F.col("s")["0"].alias("site"), F.col("s")["1"].cast("double").alias("score"))
+    return sites.select("motif_id", "site_no", F.col("s")["site"].alias("site"), F.col("s")["score"].cast("double").alias("score"))
 
 
 def _one_text_per_motif(cells: DataFrame, line, head, tail: str) -> DataFrame:
@@ -51,11 +51,12 @@ def write_motifs(cells: DataFrame, path: str, decimals: int = 3) -> None:
     """Write log-odds cells in the text form that ``read_motifs`` takes."""
     per_motif = cells.groupBy("motif_id", "name").agg(
         F.array_sort(F.collect_list(F.struct("pos", *LETTERS))).alias("rows"))
-    matrix = [
-        F.concat(F.lit(f"#{x.upper()} "), F.concat_ws(" ", F.transform(
-            "rows", lambda r, x=x: F.format_string(f"%9.{decimals}f", r[x]))))
-        for x in ("a", "c", "t", "g")
-    ]
+
+    def row(letter: str):
+        numbers = F.transform("rows", lambda r: F.format_string(f"%9.{decimals}f", r[letter]))
+        return F.concat(F.lit(f"#{letter.upper()} "), F.concat_ws(" ", numbers))
+
+    matrix = [row(x) for x in ("a", "c", "t", "g")]
     header = F.concat(F.lit("Log-odds matrix for Motif "), F.format_string("%3d", "motif_id"), F.lit(" "),
                       F.col("name"), F.lit(" (1)"))
     index = F.concat(F.lit("#  "), F.concat_ws(" ", F.transform("rows", lambda r: r["pos"].cast("string"))))
@@ -92,4 +93,4 @@ def read_transfac(spark: SparkSession, path: str) -> DataFrame:
     zipped = F.arrays_zip(*[part(i + 2).alias(x) for i, x in enumerate(LETTERS)])
     cells = raw.where(F.col("value").rlike(r"(?m)^DE\s")).select(
         F.regexp_extract("value", r"(?m)^DE\s+(\S+)", 1).alias("name"), F.posexplode(zipped).alias("pos", "cell"))
-    return cells.select("name", "pos", *[F.col("cell")[str(i)].cast("double").alias(x) for i, x in enumerate(LETTERS)])
+    return cells.select("name", "pos", *[F.col("cell")[x].cast("double").alias(x) for x in LETTERS])
