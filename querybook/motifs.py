@@ -227,7 +227,7 @@ def w17(spark, sf):
 
 @query("w18_merge_motifs")
 def w18(spark, sf):
-    sites = lambda odds: D.scan_motifs(X.sequences(spark, sf), odds, FRACTION).select("motif_id", "gene")
+    sites = lambda odds: D.motif_genes(X.sequences(spark, sf), odds, FRACTION)
     return r6(L.merge_motifs(X.motif_probs(spark, sf), X.genes(spark, sf), sites, HEIGHT, True, BITS), *LETTERS)
 
 
