@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerlake.functions.words import PIECE, pieces, reverse_complement, windows
+from kmerlake.session import spread
 
 
 def sequence_kmers(seqs: DataFrame, k: int) -> DataFrame:
     """Every window of length ``k``: (the other columns of ``seqs``, start from 1, word)."""
     keep = [c for c in seqs.columns if c != "seq"]
     cut = seqs.select(*keep, F.posexplode(pieces(F.col("seq"), k, k)).alias("_piece", "_text"))
-    cut = cut.repartition(*keep, "_piece")
+    cut = spread(cut, *keep, "_piece")
     opened = cut.select(*keep, "_piece", F.posexplode(windows(F.col("_text"), k)).alias("_at", "word"))
     return opened.select(*keep, (F.col("_piece").cast("long") * PIECE + F.col("_at") + 1).alias("start"), "word")
 
@@ -30,7 +31,7 @@ def words_in(seqs: DataFrame, lengths: Iterable[int]) -> DataFrame:
     lengths = sorted(set(lengths))
     keep = [c for c in seqs.columns if c != "seq"]
     cut = seqs.select(*keep, F.explode(pieces(F.col("seq"), lengths[0], lengths[-1])).alias("_text"))
-    cut = cut.repartition(*keep, "_text")
+    cut = spread(cut, *keep, "_text")
     found = F.concat(*[windows(F.col("_text"), k) for k in lengths])
     return cut.select(*keep, F.explode(F.array_distinct(found)).alias("word"))
 

@@ -53,3 +53,14 @@ def materialise(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle rows that are small but costly to work on over all shuffle partitions.
+
+    The number is stated, so that adaptive execution does not merge the partitions again
+    because of their few bytes.
+    """
+    spark = df.sparkSession
+    number = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(number, *keys)

@@ -174,7 +174,7 @@ def diversity(spark, sf):
                        clean_diversity(F.col("NtDiversity")).alias("nt_div")).withColumn("gene", F.col("gene").cast("long"))
 
 
-DIV = f"{HITS}, div AS (SELECT kmer, class, CASE WHEN start % 7 = 0 THEN 0.0::DOUBLE ELSE ((start * 31 + gene) % 100) / 1000.0::DOUBLE END AS nt_div FROM hits)"
+DIV = f"{HITS}, div AS (SELECT kmer, class, CASE WHEN start % 7 = 0 THEN 0.0::DOUBLE ELSE ((start * 31 + gene) % 100) / 997.0::DOUBLE END AS nt_div FROM hits)"
 
 
 @query("c13_diversity_means", f"{DIV} SELECT kmer, round(avg(nt_div) FILTER (class = 1), 6) AS div_pos, round(avg(nt_div) FILTER (class = 0), 6) AS div_neg FROM div GROUP BY 1")
@@ -246,7 +246,7 @@ def _criteria(spark, sf):
 
 
 _TABLE = f"""{HITS}, {X.counts_sql('(SELECT DISTINCT gene, class, kmer AS token FROM hits)', 'counts')}, {X.tested_sql()},
-div AS (SELECT kmer, class, CASE WHEN start % 7 = 0 THEN 0.0::DOUBLE ELSE ((start * 31 + gene) % 100) / 1000.0::DOUBLE END AS nt_div FROM hits),
+div AS (SELECT kmer, class, CASE WHEN start % 7 = 0 THEN 0.0::DOUBLE ELSE ((start * 31 + gene) % 100) / 997.0::DOUBLE END AS nt_div FROM hits),
 w1 AS ({'WITH ' + welch_sql('per_gene', 'copies')}), w2 AS ({'WITH ' + welch_sql('div', 'nt_div')}),
 dm AS (SELECT kmer, avg(nt_div) FILTER (class = 1) AS div_pos, avg(nt_div) FILTER (class = 0) AS div_neg FROM div GROUP BY 1)
 SELECT b.token AS kmer, round(100.0::DOUBLE * b.pos_count / b.n_pos, 6) AS percent_positives, round(b.pvalue, 6) AS pvalue,

@@ -67,7 +67,7 @@ def diversity_text(hit_table: DataFrame) -> DataFrame:
     region = F.concat(
         F.lit("chr1_"), F.col("start"), F.lit("_"), F.col("end"), F.lit("_"), F.col("gene"),
         F.lit("|promoter|"), F.col("kmer"))
-    value = ((F.col("start") * 31 + F.col("gene")) % 100 / 1000.0).cast("string")
+    value = ((F.col("start") * 31 + F.col("gene")) % 100 / 997.0).cast("string")
     return hit_table.select(
         region.alias("Region"), F.when(F.col("start") % 7 == 0, "NoDiffSites").otherwise(value).alias("NtDiversity"))
 

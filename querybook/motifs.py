@@ -147,8 +147,8 @@ def w11(spark, sf):
     from kmerlake.sources.text import number_lines, read_lines
     near = W.symmetric(distance(spark, sf)).groupBy("i").agg(X.r6(F.min("d")).alias("d"))
     matrix, names = scratch_path(spark, "near"), scratch_path(spark, "names")
-    near.orderBy("i").select(F.concat_ws("\t", "i", "d").alias("value")).coalesce(1).write.text(matrix)
-    near.orderBy("i").select(F.concat(F.lit("tf"), "i").alias("value")).coalesce(1).write.text(names)
+    near.orderBy("i").select(F.concat_ws("\t", "i", "d").alias("value")).write.text(matrix)
+    near.orderBy("i").select(F.concat(F.lit("tf"), "i").alias("value")).write.text(names)
     rows = number_lines(read_lines(spark, matrix)).select(
         "pos", F.split("value", "\t")[0].cast("long").alias("i"), F.split("value", "\t")[1].cast("double").alias("d"))
     return W.attach_names(rows, number_lines(read_lines(spark, names)).withColumnRenamed("value", "name"))
