@@ -10,6 +10,7 @@ from kmerlake.operators import metrics as M
 from kmerlake.operators import presence as P
 from kmerlake.operators import universe as U
 from kmerlake.operators.windows import words_in
+from kmerlake.session import materialise
 from querybook import fixtures as X
 
 QUERIES, ORACLES = {}, {}
@@ -205,7 +206,7 @@ def seeds(spark):
 def seed_result(spark, sf):
     tested = E.fisher_greater(
         E.class_counts(P.presence_stranded(X.sequences(spark, sf), seeds(spark), [SEED]), seeds(spark)), sizes(spark, sf))
-    return E.filter_enriched(tested, CUTOFF).withColumn("padj", F.col("pvalue"))
+    return materialise(E.filter_enriched(tested, CUTOFF).withColumn("padj", F.col("pvalue")))
 
 
 def level_sql(level: int, parents: str, family: str | None = None) -> str:

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerlake.functions.words import canonical, reverse_complement, strand_token, universe_order
+from kmerlake.functions.words import canonical, strand_token
+from kmerlake.operators.universe import kmer_universe
 from kmerlake.operators.windows import sequence_kmers
 from kmerlake.sources.motif_text import LETTERS
 
@@ -49,11 +50,11 @@ def r6(column: Column) -> Column:
 
 def hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """Hit table of all strand classes: every window of every document, ``kmer`` is ``K.RC``."""
-    opened = sequence_kmers(sequences(spark, sf_dir), k)
-    return opened.select(
-        "gene", "class", strand_token(F.col("word")).alias("kmer"), "start",
-        (F.col("start") + k - 1).alias("end"),
+    words = kmer_universe(spark, k).select(
+        "word", strand_token(F.col("word")).alias("kmer"),
         F.when(canonical(F.col("word")) == F.col("word"), "+").otherwise("-").alias("dir"))
+    opened = sequence_kmers(sequences(spark, sf_dir), k).join(words, "word")
+    return opened.select("gene", "class", "kmer", "start", (F.col("start") + k - 1).alias("end"), "dir")
 
 
 def annotate(hit_table: DataFrame, m: int) -> DataFrame:
