@@ -45,21 +45,24 @@ def _is(label: int) -> Column:
 
 
 def _moments(rows: DataFrame, value: str) -> DataFrame:
-    """Mean, sample variance and size of ``value`` per k-mer and class."""
+    """Mean, sample variance, size and sum of ``value`` per k-mer and class."""
     def pick(label: int) -> Column:
         return F.when(_is(label) & ~F.isnan(value), F.col(value))
 
     return rows.groupBy("kmer").agg(*[
         fn(pick(label)).alias(f"{name}_{side}")
         for side, label in (("pos", 1), ("neg", 0))
-        for name, fn in (("mean", F.avg), ("var", F.var_samp), ("n", F.count))])
+        for name, fn in (("mean", F.avg), ("var", F.var_samp), ("n", F.count), ("sum", F.sum))])
 
 
-def _welch_columns(moments: DataFrame) -> DataFrame:
+def _with_welch(moments: DataFrame) -> DataFrame:
     c = F.col
     parts = welch(c("mean_pos"), c("var_pos"), c("n_pos"), c("mean_neg"), c("var_neg"), c("n_neg"))
-    return moments.select("kmer", parts["t"].alias("t"), parts["df"].alias("df")).withColumn(
-        "pvalue", t_two_tailed(c("t"), c("df"))).select("kmer", "t", "pvalue")
+    return moments.withColumns(parts).withColumn("pvalue", t_two_tailed(c("t"), c("df")))
+
+
+def _welch_columns(moments: DataFrame) -> DataFrame:
+    return _with_welch(moments).select("kmer", "t", "pvalue")
 
 
 def _per_gene(hits: DataFrame, kmers: DataFrame, genes: DataFrame) -> DataFrame:
@@ -85,6 +88,19 @@ def copy_number_welch(hits: DataFrame, kmers: DataFrame, genes: DataFrame) -> Da
     return _welch_columns(_moments(_per_gene(hits, kmers, genes), "copies"))
 
 
+def copy_evidence(hits: DataFrame, kmers: DataFrame, genes: DataFrame) -> DataFrame:
+    """``copy_number`` and its Welch test (copy_t, copy_pval) in one pass over the hits.
+
+    Counts are null for a k-mer without a hit in a positive gene.
+    """
+    rows = _with_welch(_moments(_per_gene(hits, kmers, genes), "copies"))
+    shown = lambda c: F.when(F.col("n_pos") > 0, c)
+    return rows.select(
+        "kmer", shown(F.col("mean_pos")).alias("copy_pos"), shown(F.col("mean_neg")).alias("copy_neg"),
+        shown(F.col("sum_pos").cast("long")).alias("hits_pos"), shown(F.col("sum_neg").cast("long")).alias("hits_neg"),
+        F.col("t").alias("copy_t"), F.col("pvalue").alias("copy_pval"))
+
+
 def overlapping(feature_hits: DataFrame) -> DataFrame:
     return feature_hits.where(~F.col("details").contains("overlap=NA"))
 
@@ -162,6 +178,13 @@ def diversity_welch(diversity: DataFrame, kmers: DataFrame, genes: DataFrame) ->
     return _welch_columns(_moments(_diversity_rows(diversity, kmers, genes), "nt_div"))
 
 
+def diversity_evidence(diversity: DataFrame, kmers: DataFrame, genes: DataFrame) -> DataFrame:
+    """Class means and Welch test of the diversity in one pass."""
+    return _with_welch(_moments(_diversity_rows(diversity, kmers, genes), "nt_div")).select(
+        "kmer", F.col("mean_pos").alias("div_pos"), F.col("mean_neg").alias("div_neg"),
+        F.col("t").alias("div_t"), F.col("pvalue").alias("div_pval"))
+
+
 def fs_overlap(kmers: DataFrame, selected: DataFrame, lengths: list[int]) -> DataFrame:
     """1 when any selected word (of the given lengths) is contained in the k-mer.
 

@@ -19,15 +19,14 @@ def criteria_table(
     """Enrichment, copy number, overlap with each feature and diversity, joined by k-mer.
 
     ``features`` maps a prefix to a function that gives the annotated hits (with ``details``).
-    All features share one test over (feature, k-mer); presence and totals, small or used
-    several times, are written to the shared folder once.
+    All features share one test over (feature, k-mer). The counts and copy numbers, one row per
+    k-mer and used several times, are written to the shared folder once.
     """
     counts = materialise(class_counts(presence))
     base = counts.select(F.col("token").alias("kmer"))
     table = C.attach_enrichment(base, fisher_greater(counts, class_sizes(genes)))
-    totals = materialise(C.copy_number(hits, base, genes))
-    table = C.attach(table, totals)
-    copies = C.copy_number_welch(hits, base, genes).withColumnsRenamed({"t": "copy_t", "pvalue": "copy_pval"})
+    copies = materialise(C.copy_evidence(hits, base, genes))
+    totals = copies.where("hits_pos is not null")
     table = C.attach(table, copies)
     if features:
         tagged = None
@@ -36,7 +35,5 @@ def criteria_table(
             tagged = part if tagged is None else tagged.unionByName(part)
         table = C.attach(table, C.feature_enrichment(totals, tagged, list(features), base, genes))
     if diversity is not None:
-        table = C.attach(table, C.diversity_means(diversity, base, genes))
-        table = C.attach(table, C.diversity_welch(diversity, base, genes).withColumnsRenamed(
-            {"t": "div_t", "pvalue": "div_pval"}))
+        table = C.attach(table, C.diversity_evidence(diversity, base, genes))
     return table
