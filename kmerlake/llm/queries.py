@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kmerlake.llm import bpe
+from kmerlake.llm import bpe, mixing, urls
 from kmerlake.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -32,3 +32,51 @@ def op10(spark, sf_dir):
     return coded.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+#: Rules (host, path, verdict) of the URL query.
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query("op6_url_filter", f"""
+WITH rules(rh, rp, rv) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut),
+p AS (SELECT row_number() OVER () AS id, page_id, translate(raw, '{urls.UPPER}', '{urls.LOWER}') AS host,
+  regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+fit AS (SELECT id, rh || rp AS rule, rv, row_number() OVER (PARTITION BY id ORDER BY length(rh || rp) DESC, length(rh) DESC) AS k
+  FROM p JOIN rules ON (host = rh OR suffix(host, '.' || rh)) AND starts_with(path, rp))
+SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM p LEFT JOIN (SELECT * FROM fit WHERE k = 1) USING (id)""")
+def op6(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+MIX_ENTROPY, MIX_REPEATS, MIX_BLOCK = 0.998, 2.0, 250_000
+
+
+@query("op9_temperature_mixing", f"""
+WITH d AS (SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+  coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n FROM documents),
+t AS (SELECT source, sum(n)::BIGINT AS tokens FROM d GROUP BY 1),
+s AS (SELECT source, tokens, whole, tokens::DOUBLE / whole AS share FROM t, (SELECT sum(tokens)::BIGINT AS whole FROM t) WHERE tokens > 0),
+g AS (SELECT i, share, w / sum(w) OVER (PARTITION BY i) AS w FROM (SELECT i, share, pow(share, i / {mixing.STEPS}::DOUBLE) AS w FROM s, range(0, {mixing.STEPS} + 1) r(i))),
+m AS (SELECT i, CASE WHEN count(*) > 1 THEN sum(-w * ln(w)) / ln(count(*)) ELSE 1 END AS entropy, max(w / share) AS repeat FROM g GROUP BY i),
+e AS (SELECT coalesce(max(i), 0) AS i FROM m WHERE entropy >= {MIX_ENTROPY}),
+x AS (SELECT coalesce(min(m.i), {mixing.STEPS}) AS i FROM m, e WHERE m.i >= e.i AND repeat <= {MIX_REPEATS}),
+plan AS (SELECT source, tokens, round(whole * (p / sum(p) OVER ())) AS budget, ceil(tokens / {MIX_BLOCK}::DOUBLE)::BIGINT AS blocks
+  FROM (SELECT *, pow(share, (SELECT i FROM x) / {mixing.STEPS}::DOUBLE) AS p FROM s)),
+b AS (SELECT doc_id, d.source, id, n, budget, tokens, coalesce(hash % blocks, hash % 1024) AS block
+  FROM (SELECT *, ('0x' || substr(md5(id), 1, 8))::BIGINT AS hash FROM d) d LEFT JOIN plan ON d.source IS NOT DISTINCT FROM plan.source),
+c AS (SELECT *, round(budget * held / tokens)::BIGINT AS due FROM (SELECT *, sum(n) OVER (PARTITION BY source, block)::BIGINT AS held FROM b)),
+f AS (SELECT *, CASE WHEN held > 0 THEN due // held ELSE 1 END AS fu, CASE WHEN held > 0 THEN due % held ELSE 0 END AS rest FROM c),
+p AS (SELECT *, unnest(range(1, greatest(1, fu + (rest > 0)::BIGINT) + 1)) AS epoch FROM f),
+o AS (SELECT *, row_number() OVER w AS slot, sum(n) OVER (w ROWS UNBOUNDED PRECEDING) - n AS done FROM p
+  WINDOW w AS (PARTITION BY source, block, epoch ORDER BY md5(id || ':' || epoch), id))
+SELECT doc_id, source, n AS n_tokens, epoch, block, slot FROM o
+WHERE epoch <= fu OR (epoch = fu + 1 AND rest > 0 AND 2 * done + n <= 2 * rest)""")
+def op9(spark, sf_dir):
+    return mixing.mix_sources(
+        table(spark, sf_dir, "documents"), MIX_ENTROPY, MIX_REPEATS, block_tokens=MIX_BLOCK, keep=["doc_id", "source"])
