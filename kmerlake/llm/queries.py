@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kmerlake.llm import bpe, mixing, urls
+from kmerlake.llm import bpe, fertility, mixing, pii, urls
 from kmerlake.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -80,3 +80,20 @@ WHERE epoch <= fu OR (epoch = fu + 1 AND rest > 0 AND 2 * done + n <= 2 * rest)"
 def op9(spark, sf_dir):
     return mixing.mix_sources(
         table(spark, sf_dir, "documents"), MIX_ENTROPY, MIX_REPEATS, block_tokens=MIX_BLOCK, keep=["doc_id", "source"])
+
+
+@query("op7_tokeniser_fertility")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return fertility.quality_rules(docs, tokenizer_path("byte_bpe_multi_50k.tiktoken"), keep=["doc_id"])
+
+
+@query("op8_pii")
+def op8(spark, sf_dir):
+    found = pii.find_pii(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    listed = {kind: F.filter("pii", lambda s, k=kind: s["kind"] == k) for kind in pii.BASE}
+    words = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select(
+        "doc_id", *[F.size(listed[k]).cast("long").alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(words(base).cast("binary"), 256).alias("base_sha256"), words(F.col("pii")).alias("spans"))
