@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kmerlake.llm import bpe, fertility, mixing, pii, urls
+from kmerlake.llm import bpe, fertility, mixing, pii, simhash, urls
 from kmerlake.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -26,6 +26,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_simhash")
+def op1(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4, keep=["doc_id"])
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 @query("op10_bpe")
 def op10(spark, sf_dir):
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"])
