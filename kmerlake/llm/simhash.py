@@ -75,10 +75,11 @@ def _forest(radius: int, batches):
     for batch in batches:
         left, right = [], []
         for members in batch.column("members"):
-            values = members.values.to_numpy()
+            values = members.values.to_numpy()  # signed
+            words = values.view(np.uint64)
             root = np.arange(len(values))
             for i in range(len(values) - 1):
-                near = i + 1 + np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= radius)
+                near = i + 1 + np.flatnonzero(np.bitwise_count(words[i + 1 :] ^ words[i]) <= radius)
                 for j in near[root[near] != root[i]]:
                     if root[j] != root[i]:
                         left.append(values[i])
