@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kmerlake.llm import bpe, fertility, mixing, pii, simhash, urls
+from kmerlake.llm import bpe, fertility, langid, mixing, pii, quality, simhash, urls
 from kmerlake.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -26,12 +26,31 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def id_remainder(of: int):
+    """Remainder of the id's check sum; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % of
+
+
 @query("op1_simhash")
 def op1(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4, keep=["doc_id"])
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query("op4_language_id")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", id_remainder(3) == 1)
+    langs, prototypes = langid.learn_prototypes(docs.where("not held_out"))
+    return langid.identify(docs, langs, prototypes, keep=["doc_id", "held_out"])
+
+
+@query("op5_quality_rules")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", id_remainder(5) == 0)
+    model = quality.fit_rules(docs.where("not held_out"), table(spark, sf_dir, "labels"), "quality")
+    return quality.score(docs, model, keep=["doc_id", "held_out"])
+
+
 @query("op10_bpe")
 def op10(spark, sf_dir):
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"])
