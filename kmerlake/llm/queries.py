@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kmerlake.llm import bpe, fertility, langid, mixing, pii, quality, simhash, urls
+from kmerlake.llm import bpe, fertility, langid, mixing, pii, quality, simhash, topk, urls
 from kmerlake.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -37,6 +37,17 @@ def op1(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query("op3_topk", """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (SELECT q.r AS qr, q.vec_id AS query_id, x.vec_id AS vec_id, x.r AS xr, list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v x ON q.r <> x.r WHERE q.vec_id % 20 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id, xr)::INTEGER AS rank FROM c)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20""")
+def op3(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 @query("op4_language_id")
 def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("held_out", id_remainder(3) == 1)
