@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kmerlake.llm import bpe, fertility, langid, mixing, pii, quality, simhash, topk, urls
+from kmerlake.llm import bpe, fertility, langid, mixing, pii, quality, simhash, suffix, topk, urls
 from kmerlake.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -37,6 +37,14 @@ def op1(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query("op2_suffix_dedup")
+def op2(spark, sf_dir):
+    cut = suffix.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    return cut.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op3_topk", """
 WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
