@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from kmerlake.llm import bpe, fertility, langid, mixing, pii, quality, simhash, suffix, topk, urls
-from kmerlake.llm.common import table
+from kmerlake.llm.common import id_remainder, table, tokenizer_path
 
 QUERIES, ORACLES = {}, {}
 
@@ -19,16 +20,9 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    """Place of a public vocabulary file; installed alike on every machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-def id_remainder(of: int):
-    """Remainder of the id's check sum; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % of
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
 
 
 @query("op1_simhash")
