@@ -87,26 +87,27 @@ def _reach(pos: Column, neg: Column, drawn: Column) -> Column:
     return F.ceil(16.0 + F.sqrt(256.0 + 100.0 * F.greatest(variance, F.lit(0.0))))
 
 
-def _sum_up(start: Column, stop: Column, pos: Column, neg: Column, drawn: Column) -> Column:
-    """P(start ≤ X ≤ stop) by the term ratio; both ends inside the support."""
-    state = F.struct(
-        F.exp(hypergeom_logpmf(start, pos, neg, drawn)).alias("term"), F.lit(0.0).alias("sum")
-    )
+def _ln_sum_up(start: Column, stop: Column, pos: Column, neg: Column, drawn: Column) -> Column:
+    """ln P(start ≤ X ≤ stop) by the term ratio; both ends inside the support.
+
+    Terms are taken against the first one, so that no probability is too small to be told apart.
+    """
+    state = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum"))
 
     def step(acc: Column, x: Column) -> Column:
         ratio = (pos - x) * (drawn - x) / ((x + 1.0) * (neg - drawn + x + 1.0))
         return F.struct((acc["term"] * ratio).alias("term"), (acc["sum"] + acc["term"]).alias("sum"))
 
-    return F.aggregate(F.sequence(start.cast("long"), stop.cast("long")), state, step)["sum"]
-
+    against_first = F.aggregate(F.sequence(start.cast("long"), stop.cast("long")), state, step)["sum"]
+    return hypergeom_logpmf(start, pos, neg, drawn) + F.log(against_first)
 
-def _upper_tail(at: Column, pos: Column, neg: Column, drawn: Column) -> Column:
-    """P(X ≥ at)."""
 
+def _ln_upper_tail(at: Column, pos: Column, neg: Column, drawn: Column) -> Column:
+    """ln P(X ≥ at)."""
 
     def body(v: Column) -> Column:
         return bind(
-            lambda e: F.least(F.lit(1.0), _sum_up(e["start"], e["stop"], v["pos"], v["neg"], v["drawn"])),
+            lambda e: F.least(F.lit(0.0), _ln_sum_up(e["start"], e["stop"], v["pos"], v["neg"], v["drawn"])),
             start=F.greatest(v["at"], v["drawn"] - v["neg"], v["mode"] - v["reach"], F.lit(0.0)),
             stop=F.least(v["pos"], v["drawn"], F.greatest(v["at"], v["mode"]) + v["reach"]),
         )
@@ -115,23 +116,37 @@ def _upper_tail(at: Column, pos: Column, neg: Column, drawn: Column) -> Column:
                 mode=_mode(pos, neg, drawn), reach=_reach(pos, neg, drawn))
 
 
-def fisher_greater(pos_count: Column, n_pos: Column, neg_count: Column, n_neg: Column) -> Column:
-    """One-sided p-value of [[pos_count, n_pos−pos_count], [neg_count, n_neg−neg_count]].
+def ln_fisher_greater(pos_count: Column, n_pos: Column, neg_count: Column, n_neg: Column) -> Column:
+    """ln of the one-sided p-value of [[pos_count, n_pos−pos_count], [neg_count, n_neg−neg_count]].
 
     A count above its class size is not a table: the p-value is then 1.
     """
     return bind(
-        lambda t: F.when((t["a"] > t["m"]) | (t["b"] > t["n"]), F.lit(1.0))
-        .when((t["a"] <= 0) | (t["b"] >= t["n"]), F.lit(1.0))
-        .otherwise(_upper_tail(t["a"], t["m"], t["n"], t["a"] + t["b"])),
+        lambda t: F.when((t["a"] > t["m"]) | (t["b"] > t["n"]), F.lit(0.0))
+        .when((t["a"] <= 0) | (t["b"] >= t["n"]), F.lit(0.0))
+        .otherwise(_ln_upper_tail(t["a"], t["m"], t["n"], t["a"] + t["b"])),
         a=pos_count, m=n_pos, b=neg_count, n=n_neg,
     )
 
 
-def fisher_balanced(pos_count: Column, neg_count: Column, n_rows: Column) -> Column:
+def fisher_greater(pos_count: Column, n_pos: Column, neg_count: Column, n_neg: Column) -> Column:
+    """One-sided p-value; it is 0 below 5e-324, where only ``ln_fisher_greater`` tells tables apart."""
+    return F.exp(ln_fisher_greater(pos_count, n_pos, neg_count, n_neg))
+
+
+def ln_fisher_balanced(pos_count: Column, neg_count: Column, n_rows: Column) -> Column:
     """One-sided test with both class sizes taken as half of the data rows."""
     half = F.floor(n_rows / 2)
-    return fisher_greater(pos_count, half, neg_count, half)
+    return ln_fisher_greater(pos_count, half, neg_count, half)
+
+
+def fisher_balanced(pos_count: Column, neg_count: Column, n_rows: Column) -> Column:
+    return F.exp(ln_fisher_balanced(pos_count, neg_count, n_rows))
+
+
+def _ln_add(a: Column, b: Column) -> Column:
+    """ln(exp(a) + exp(b))."""
+    return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
 
 
 def odds_ratio(a: Column, n_pos: Column, b: Column, n_neg: Column) -> Column:
@@ -147,7 +162,11 @@ def odds_ratio(a: Column, n_pos: Column, b: Column, n_neg: Column) -> Column:
 
 
 def fisher_two_sided(a: Column, n_pos: Column, b: Column, n_neg: Column) -> Column:
-    """Two-sided p-value: all tables no more likely than the observed one (tolerance 1e-7)."""
+    return F.exp(ln_fisher_two_sided(a, n_pos, b, n_neg))
+
+
+def ln_fisher_two_sided(a: Column, n_pos: Column, b: Column, n_neg: Column) -> Column:
+    """ln of the two-sided p-value: all tables no more likely than the observed one (tolerance 1e-7)."""
 
     def oriented(t: Column) -> Column:
         # Mirror the classes when needed, so that the observed count lies above the mode.
@@ -176,17 +195,17 @@ def fisher_two_sided(a: Column, n_pos: Column, b: Column, n_neg: Column) -> Colu
         found = F.aggregate(
             steps, F.struct((t["low"] - 1.0).alias("lo"), t["mode"].alias("hi")), halve)["lo"]
         # P(X ≤ x) is the upper tail of the mirrored variable (draws from the other class).
-        far = let(found, lambda x: F.when(x < t["low"], F.lit(0.0)).otherwise(
-            _upper_tail(t["drawn"] - x, t["n"], t["m"], t["drawn"])))
+        both = lambda near: let(found, lambda x: F.when(x < t["low"], near).otherwise(
+            _ln_add(near, _ln_upper_tail(t["drawn"] - x, t["n"], t["m"], t["drawn"]))))
         at_mode = hypergeom_logpmf(t["mode"], t["m"], t["n"], t["drawn"])
-        near = _upper_tail(t["a"], t["m"], t["n"], t["drawn"])
-        return F.when(t["limit"] >= at_mode, F.lit(1.0)).otherwise(F.least(F.lit(1.0), near + far))
+        return F.when(t["limit"] >= at_mode, F.lit(0.0)).otherwise(
+            F.least(F.lit(0.0), let(_ln_upper_tail(t["a"], t["m"], t["n"], t["drawn"]), both)))
 
     def table(t: Column) -> Column:
         drawn = t["a"] + t["b"]
         return F.when(
             (t["a"] > t["m"]) | (t["b"] > t["n"]) | (t["a"] < 0) | (t["b"] < 0)
-            | (t["m"] == 0) | (t["n"] == 0) | (drawn == 0) | (drawn == t["m"] + t["n"]), F.lit(1.0),
+            | (t["m"] == 0) | (t["n"] == 0) | (drawn == 0) | (drawn == t["m"] + t["n"]), F.lit(0.0),
         ).otherwise(let(F.struct(
             t["a"].alias("a"), t["m"].alias("m"), t["b"].alias("b"), t["n"].alias("n"), drawn.alias("drawn"),
             (t["a"] > _mode(t["m"], t["n"], drawn)).alias("above")), oriented))

@@ -46,7 +46,8 @@ def forest(trees: int = 500, impurity: str = "entropy", depth: int | None = None
 
 def linear_svc(n_rows: int, c: float = 1.0, max_iter: int = 500):
     return LinearSVC(
-        labelCol="class", featuresCol="features", regParam=1.0 / (c * max(n_rows, 1)), maxIter=max_iter)
+        labelCol="class", featuresCol="features", regParam=1.0 / (c * max(n_rows, 1)), maxIter=max_iter,
+        standardization=False)
 
 
 def _score(model, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -190,7 +191,7 @@ def grid_search_svc(vectors: DataFrame, grid: dict[str, list] = SVC_GRID, sets:
 def permutation_importance(
     presence: DataFrame, genes: DataFrame, vocabulary: list[str], folds: int = 5, trees: int = 500, seed: int = 0
 ) -> DataFrame:
-    """(feature, importance): accuracy lost on held-out rows when one column is permuted.
+    """(feature, importance): accuracy lost on held-out rows when one column is permuted, averaged over all folds.
 
     The held-out rows are numbered by md5 order; a feature's column is rotated by a shift drawn
     from its name. Only features the forest uses are scored, the others lose nothing.
@@ -201,9 +202,20 @@ def permutation_importance(
         "tokens", F.coalesce("tokens", F.array().cast("array<string>")))
     rows = materialise(rows)
     vectoriser = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="tokens", outputCol="features").setBinary(True)
-    model = forest(trees, seed=seed).fit(vectoriser.transform(rows.where("fold > 1")))
+    lost = None
+    for fold in range(1, folds + 1):
+        model = forest(trees, seed=seed).fit(vectoriser.transform(rows.where(F.col("fold") != fold)))
+        part = _lost_in_fold(model, vectoriser, rows.where(F.col("fold") == fold), vocabulary)
+        lost = part if lost is None else lost.unionByName(part)
+    mean = lost.groupBy("feature").agg((F.sum("lost") / folds).alias("lost"))
+    every = spark.createDataFrame([(t,) for t in vocabulary], "feature string")
+    return every.join(mean, "feature", "left").select("feature", F.coalesce("lost", F.lit(0.0)).alias("importance"))
+
+
+def _lost_in_fold(model, vectoriser, rows: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(feature, lost) of the features that the model uses, on one held-out fold."""
     used = [token for token, value in _importances(model, vocabulary) if value > 0]
-    test = rank_by_hash(rows.where("fold = 1").select("gene", "class", "tokens"), [], hash_key(F.col("gene").cast("string")), "gene")
+    test = rank_by_hash(rows.select("gene", "class", "tokens"), [], hash_key(F.col("gene").cast("string")), "gene")
     test = materialise(test)
     n = test.count()
     shift = lambda token: 1 + F.pmod(F.xxhash64(token), F.lit(max(n - 1, 1)))
@@ -216,18 +228,19 @@ def permutation_importance(
         F.array_except("tokens", alone), F.when(F.col("on"), alone).otherwise(F.array().cast("array<string>"))))
     accuracy = F.avg((F.col("prediction") == F.col("class")).cast("double"))
     base = model.transform(vectoriser.transform(test)).agg(accuracy.alias("base"))
-    lost = model.transform(vectoriser.transform(changed)).groupBy("feature").agg(accuracy.alias("permuted")).join(
+    return model.transform(vectoriser.transform(changed)).groupBy("feature").agg(accuracy.alias("permuted")).join(
         F.broadcast(base)).select("feature", (F.col("base") - F.col("permuted")).alias("lost"))
-    every = spark.createDataFrame([(t,) for t in vocabulary], "feature string")
-    return every.join(lost, "feature", "left").select("feature", F.coalesce("lost", F.lit(0.0)).alias("importance"))
 
 
 def rf_cv_unbalanced(vectors: DataFrame, replicates: int = 10, folds: int = 10, trees: int = 500) -> DataFrame:
-    """Confusion and F1 per replicate of k-fold forests on the given data, without balancing."""
-    rows = kfold(vectors, folds)
-    makers = {str(r): (lambda n, r=r: forest(trees, "gini", seed=r)) for r in range(replicates)}
-    predictions = cross_val_predict(rows, makers, [], folds)
-    return confusion(predictions, ["setting"]).withColumnRenamed("setting", "replicate")
+    """Confusion and F1 per replicate of forests on the given data, without balancing.
+
+    Each replicate draws its own stratified folds.
+    """
+    every = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
+    rows = stratified_kfold(vectors.select("*", every), folds, by=["replicate"], seeded=True)
+    predictions = cross_val_predict(rows, {"rf": lambda n: forest(trees, "gini")}, ["replicate"], folds)
+    return confusion(predictions, ["replicate"])
 
 
 def run_summary(scores: DataFrame, genes: DataFrame, n_features: int, method: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 ``kmers`` is a (kmer) table, ``genes`` a (gene, class) table and ``hits`` has at least
 (gene, kmer). Joins are left to the optimiser, which broadcasts a side by its measured size.
-Hits are counted map-side before any shuffle, so a frequent k-mer sends one row per task.
+Hits are counted by k-mer and gene, map-side first, before they meet the genes.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kmerlake.functions.exact import fisher_two_sided, odds_ratio
+from kmerlake.functions.exact import ln_fisher_two_sided, odds_ratio
 from kmerlake.functions.welch import t_two_tailed, welch
 from kmerlake.functions.words import windows
 
@@ -25,9 +25,9 @@ def attach(base: DataFrame, other: DataFrame, key: str = "kmer") -> DataFrame:
 
 
 def attach_enrichment(base: DataFrame, enrichment: DataFrame) -> DataFrame:
-    """Add percent_positives and pvalue."""
+    """Add percent_positives, pvalue and ln_p."""
     facts = enrichment.select(
-        F.col("token").alias("kmer"), (100.0 * F.col("pos_count") / F.col("n_pos")).alias("percent_positives"), "pvalue")
+        F.col("token").alias("kmer"), (100.0 * F.col("pos_count") / F.col("n_pos")).alias("percent_positives"), "pvalue", "ln_p")
     return attach(base, facts)
 
 
@@ -117,44 +117,47 @@ def _two_by_two(df: DataFrame, fill: str) -> DataFrame:
         "*", zero(F.col("hits_pos") - t1).alias("t2"), zero(F.col("hits_neg") - t3).alias("t4")).withColumns(
         {"t1": zero(F.col("t1")), "t3": zero(F.col("t3"))})
     cells = [F.col("t1"), F.col("t1") + F.col("t2"), F.col("t3"), F.col("t3") + F.col("t4")]
-    return counts.withColumn("odds", odds_ratio(*cells)).withColumn("pvalue", fisher_two_sided(*cells))
+    return counts.withColumn("odds", odds_ratio(*cells)).withColumn("ln_p", ln_fisher_two_sided(*cells)).withColumn(
+        "pvalue", F.exp("ln_p"))
 
 
 def _overlap_counts(feature_hits: DataFrame, kmers: DataFrame, genes: DataFrame, *by: str) -> DataFrame:
-    rows = semi_filter(overlapping(feature_hits), kmers, genes)
-    count = lambda label: F.nullif(F.count_if(_is(label)), F.lit(0))
+    """Hits are counted by k-mer and gene first; only the counts meet the genes."""
+    counted = overlapping(feature_hits).groupBy(*by, "kmer", "gene").agg(F.count("*").alias("_hits"))
+    rows = semi_filter(counted, kmers, genes)
+    count = lambda label: F.sum(F.when(_is(label), F.col("_hits")))
     return rows.groupBy(*by, "kmer").agg(count(1).alias("t1"), count(0).alias("t3"))
 
 
 def overlap_enrichment(
     totals: DataFrame, feature_hits: DataFrame, kmers: DataFrame, genes: DataFrame, fill: str = "late"
 ) -> DataFrame:
-    """(kmer, t1, t2, t3, t4, odds, pvalue) of hits that overlap a feature, positives against negatives.
+    """(kmer, t1, t2, t3, t4, odds, pvalue, ln_p) of hits that overlap a feature, positives against negatives.
 
     ``totals`` is the output of ``copy_number``.
     """
     counts = _overlap_counts(feature_hits, kmers, genes)
     rows = totals.select("kmer", "hits_pos", "hits_neg").join(counts, "kmer", "left")
-    return _two_by_two(rows, fill).select("kmer", "t1", "t2", "t3", "t4", "odds", "pvalue")
+    return _two_by_two(rows, fill).select("kmer", "t1", "t2", "t3", "t4", "odds", "pvalue", "ln_p")
 
 
 def overlap_by_mark(
     totals: DataFrame, tagged_hits: DataFrame, marks: list[str], kmers: DataFrame, genes: DataFrame, fill: str = "late"
 ) -> DataFrame:
-    """``overlap_enrichment`` for all marks at once, in long form (mark, kmer, odds, pvalue)."""
+    """``overlap_enrichment`` for all marks at once, in long form (mark, kmer, odds, pvalue, ln_p)."""
     counts = _overlap_counts(tagged_hits, kmers, genes, "mark")
     grid = totals.select("kmer", "hits_pos", "hits_neg", F.explode(F.array(*map(F.lit, marks))).alias("mark"))
-    return _two_by_two(grid.join(counts, ["mark", "kmer"], "left"), fill).select("mark", "kmer", "odds", "pvalue")
+    return _two_by_two(grid.join(counts, ["mark", "kmer"], "left"), fill).select("mark", "kmer", "odds", "pvalue", "ln_p")
 
 
 def feature_enrichment(
     totals: DataFrame, tagged_hits: DataFrame, marks: list[str], kmers: DataFrame, genes: DataFrame,
-    odds: str = "odds", pval: str = "pval",
+    odds: str = "odds", pval: str = "pval", ln_p: str = "ln_p",
 ) -> DataFrame:
-    """One row per k-mer with ``<mark>_odds`` and ``<mark>_pval`` for each mark."""
+    """One row per k-mer with ``<mark>_odds``, ``<mark>_pval`` and ``<mark>_ln_p`` for each mark."""
     long = overlap_by_mark(totals, tagged_hits, marks, kmers, genes)
     return long.groupBy("kmer").pivot("mark", marks).agg(
-        F.first("odds").alias(odds), F.first("pvalue").alias(pval))
+        F.first("odds").alias(odds), F.first("pvalue").alias(pval), F.first("ln_p").alias(ln_p))
 
 
 def histone_enrichment(
@@ -185,11 +188,13 @@ def diversity_evidence(diversity: DataFrame, kmers: DataFrame, genes: DataFrame)
         F.col("t").alias("div_t"), F.col("pvalue").alias("div_pval"))
 
 
-def fs_overlap(kmers: DataFrame, selected: DataFrame, lengths: list[int]) -> DataFrame:
-    """1 when any selected word (of the given lengths) is contained in the k-mer.
+def fs_overlap(kmers: DataFrame, selected: DataFrame, lengths: list[int] | None = None) -> DataFrame:
+    """1 when any selected word is contained in the k-mer. Lengths are read from the words unless stated.
 
     Containment is an equi-join on the windows of the k-mer, not a comparison of all pairs.
     """
+    if lengths is None:
+        lengths = sorted(r[0] for r in selected.select(F.length("token")).distinct().collect()) or [1]  # one row for each length
     inside = F.array_distinct(F.concat(*[windows(F.col("kmer"), k) for k in lengths]))
     matched = kmers.select("kmer", F.explode(inside).alias("token")).join(
         selected.select("token"), "token", "left_semi").select("kmer").distinct()

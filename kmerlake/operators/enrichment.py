@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kmerlake.functions import exact
 from kmerlake.operators.presence import pair_kinds, presence_matrix, presence_pair_stranded, presence_stranded
-from kmerlake.operators.ranking import BUCKET, attach_one_row, probability_bucket, running
+from kmerlake.operators.ranking import BUCKET, attach_one_row, log_probability_bucket, running
 from kmerlake.session import materialise
 
 
@@ -31,46 +31,57 @@ def class_sizes(seqs: DataFrame) -> DataFrame:
 
 
 def fisher_greater(counts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Add n_pos, n_neg and the one-sided p-value."""
-    pval = exact.fisher_greater(F.col("pos_count"), F.col("n_pos"), F.col("neg_count"), F.col("n_neg"))
-    return attach_one_row(counts, sizes).withColumn("pvalue", pval)
+    """Add n_pos, n_neg, the one-sided p-value and its natural logarithm ``ln_p``."""
+    ln_p = exact.ln_fisher_greater(F.col("pos_count"), F.col("n_pos"), F.col("neg_count"), F.col("n_neg"))
+    return _with_p(attach_one_row(counts, sizes), ln_p)
+
+
+def _with_p(df: DataFrame, ln_p: Column) -> DataFrame:
+    return df.withColumn("ln_p", ln_p).withColumn("pvalue", F.exp("ln_p"))
 
 
 def fisher_balanced(counts: DataFrame, sizes: DataFrame) -> DataFrame:
     """One-sided p-value with both classes taken as half of the data rows (floored)."""
     rows = F.col("n_pos") + F.col("n_neg")
-    return attach_one_row(counts, sizes).withColumn(
-        "pvalue", exact.fisher_balanced(F.col("pos_count"), F.col("neg_count"), rows))
+    return _with_p(attach_one_row(counts, sizes), exact.ln_fisher_balanced(F.col("pos_count"), F.col("neg_count"), rows))
 
 
 def fisher_two_sided(counts: DataFrame, sizes: DataFrame) -> DataFrame:
     """Add the odds ratio and the two-sided p-value."""
     cells = [F.col(c) for c in ("pos_count", "n_pos", "neg_count", "n_neg")]
-    return attach_one_row(counts, sizes).withColumn("odds", exact.odds_ratio(*cells)).withColumn(
-        "pvalue", exact.fisher_two_sided(*cells))
+    return _with_p(
+        attach_one_row(counts, sizes).withColumn("odds", exact.odds_ratio(*cells)), exact.ln_fisher_two_sided(*cells))
 
 
 def filter_enriched(results: DataFrame, cutoff: float = 0.01, by: str = "pvalue") -> DataFrame:
     return results.where(F.col(by) <= cutoff)
 
 
+def natural_log(p: Column) -> Column:
+    return F.when(p == 0, F.lit(float("-inf"))).otherwise(F.log(p))
+
+
 def bh_adjust(results: DataFrame, by: list[str] | None = None, p: str = "pvalue", out: str = "padj") -> DataFrame:
-    """Benjamini–Hochberg inside each family.
+    """Benjamini–Hochberg inside each family; adds ``padj`` and its logarithm ``ln_padj``.
 
+    Works on ``ln_p`` if the results have it, so that p-values too small for a double still rank.
+    Rows without a p-value stay, without an adjusted one, and do not count in the family.
     Works on distinct p-values with their counts: tied tokens (often a third of a family at
     p = 1) shrink to one row, and p-values are ranked over buckets. The results are used for
     ranks, sizes and the output, so they are written to the shared folder once.
     """
     by = by or []
-    results = materialise(results)
-    groups = results.groupBy(*by, p).agg(F.count("*").alias("_n")).withColumn(BUCKET, probability_bucket(F.col(p)))
-    sizes = results.groupBy(*by).agg(F.count("*").alias("_size"))
-    ranked = running(groups, by, [p], "sum", "_n", "_rank")
+    has_log = "ln_p" in results.columns
+    results = materialise(results.withColumn("_ln", F.col("ln_p") if has_log else natural_log(F.col(p))))
+    known = results.where("_ln is not null")
+    groups = known.groupBy(*by, "_ln").agg(F.count("*").alias("_n")).withColumn(BUCKET, log_probability_bucket(F.col("_ln")))
+    sizes = known.groupBy(*by).agg(F.count("*").alias("_size"))
+    ranked = running(groups, by, ["_ln"], "sum", "_n", "_rank")
     ranked = ranked.join(sizes, by) if by else attach_one_row(ranked, sizes)
-    ranked = ranked.withColumn("_raw", F.col(p) * F.col("_size") / F.col("_rank"))
-    adjusted = running(ranked, by, [p], "min", "_raw", "_least", descending=True).select(
-        *by, p, F.least(F.lit(1.0), "_least").alias(out))
-    return results.join(adjusted, [*by, p])
+    ranked = ranked.withColumn("_raw", F.col("_ln") + F.log(F.col("_size") / F.col("_rank")))
+    adjusted = running(ranked, by, ["_ln"], "min", "_raw", "_least", descending=True).select(
+        *by, "_ln", F.least(F.lit(0.0), "_least").alias(f"ln_{out}"))
+    return results.join(adjusted, [*by, "_ln"], "left").drop("_ln").withColumn(out, F.exp(f"ln_{out}"))
 
 
 def stranded_presence(seqs: DataFrame, tokens: DataFrame, lengths: Iterable[int] | None = None) -> DataFrame:
@@ -90,7 +101,11 @@ def tested_tokens(
 ) -> DataFrame:
     """Counts → one-sided test → optional adjustment, one row per token."""
     results = fisher_greater(class_counts(presence, tokens), sizes)
-    return bh_adjust(results) if fdr else results.withColumn("padj", F.col("pvalue"))
+    return bh_adjust(results) if fdr else unadjusted(results)
+
+
+def unadjusted(results: DataFrame) -> DataFrame:
+    return results.withColumns({"padj": F.col("pvalue"), "ln_padj": F.col("ln_p")})
 
 
 def enrich(

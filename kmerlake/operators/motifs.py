@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kmerlake.functions.exact import fisher_greater
+from kmerlake.functions.exact import ln_fisher_greater
 from kmerlake.sources.motif_text import LETTERS
 
 # The background of the shipped motif file, and the IUPAC base sets.
@@ -44,8 +46,12 @@ def logodds_to_probs(cells: DataFrame, background: dict[str, float] = BACKGROUND
     return _map_letters(cells, lambda x: F.pow(F.lit(2.0), F.col(x)) * background[x])
 
 
+# Log-odds of a letter that a position never holds: no window with it reaches any limit.
+NEVER = -10_000.0
+
+
 def probs_to_logodds(cells: DataFrame, background: dict[str, float] = BACKGROUND) -> DataFrame:
-    return _map_letters(cells, lambda x: F.log2(F.col(x) / background[x]))
+    return _map_letters(cells, lambda x: F.when(F.col(x) > 0, F.log2(F.col(x) / background[x])).otherwise(NEVER))
 
 
 def information(background: dict[str, float] = BACKGROUND) -> Column:
@@ -64,6 +70,24 @@ def trim(cells: DataFrame, bits: float = 0.4, background: dict[str, float] = BAC
         "_bits", "_from", "_to")
 
 
+def without_information(cells: DataFrame, bits: float = 0.4, background: dict[str, float] = BACKGROUND) -> DataFrame:
+    """Ids of the motifs that ``trim`` leaves out, as no position reaches ``bits``."""
+    return cells.groupBy("motif_id").agg(F.max(information(background)).alias("_most")).where(F.col("_most") < bits).select("motif_id")
+
+
+def core(cells: DataFrame, width: int, background: dict[str, float] = BACKGROUND) -> DataFrame:
+    """The ``width`` adjacent positions of each motif that hold the most information (the first of equals).
+
+    Positions count from 0 again; narrower motifs stay whole. A group is one motif's width.
+    """
+    by = Window.partitionBy("motif_id")
+    bits = F.round(F.sum(information(background)).over(by.orderBy("pos").rowsBetween(0, width - 1)), 9)
+    start = F.when(F.col("pos") <= F.max("pos").over(by) - width + 1, F.struct(bits.alias("bits"), (-F.col("pos")).alias("at")))
+    first = cells.withColumn("_start", start).withColumn("_first", F.coalesce(-F.max("_start").over(by)["at"], F.lit(0)))
+    kept = first.where((F.col("pos") >= F.col("_first")) & (F.col("pos") < F.col("_first") + width))
+    return kept.withColumn("pos", F.col("pos") - F.col("_first")).drop("_start", "_first")
+
+
 def pack(cells: DataFrame) -> DataFrame:
     """(motif_id, p): positions as an array of [a, c, g, t]; bounded by the motif's width."""
     rows = F.array_sort(F.collect_list(F.struct("pos", F.array(*LETTERS).alias("p"))))
@@ -141,7 +165,7 @@ def split_singletons(clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def group_specificity(motif_genes: DataFrame, genes: DataFrame) -> DataFrame:
-    """(motif_id, hits, overlap, pvalue): are targets (class 1) over-represented among hit genes.
+    """(motif_id, hits, overlap, ln_p, pvalue): are targets (class 1) over-represented among hit genes.
 
     ``motif_genes``: (motif_id, gene); hypergeometric upper tail over all ``genes`` (gene, class).
     """
@@ -149,17 +173,16 @@ def group_specificity(motif_genes: DataFrame, genes: DataFrame) -> DataFrame:
         F.count_if(F.col("class") == 1).alias("n_pos"), F.count_if(F.col("class") == 0).alias("n_neg"))
     counts = motif_genes.select("motif_id", "gene").distinct().join(genes, "gene").groupBy("motif_id").agg(
         F.count_if(F.col("class") == 1).alias("overlap"), F.count_if(F.col("class") == 0).alias("others"))
-    p = fisher_greater(F.col("overlap"), F.col("n_pos"), F.col("others"), F.col("n_neg"))
+    p = ln_fisher_greater(F.col("overlap"), F.col("n_pos"), F.col("others"), F.col("n_neg"))
     return counts.join(F.broadcast(sizes)).select(
-        "motif_id", (F.col("overlap") + F.col("others")).alias("hits"), "overlap", p.alias("pvalue"))
+        "motif_id", (F.col("overlap") + F.col("others")).alias("hits"), "overlap", p.alias("ln_p")).withColumn("pvalue", F.exp("ln_p"))
 
 
 def top_motif(scores: DataFrame, at_least: float = 2.0) -> DataFrame:
     """Per cluster the motif with the greatest −log10 p, if that reaches ``at_least``."""
-    strength = -F.log10(F.greatest(F.col("pvalue"), F.lit(5e-324)))
-    rated = scores.withColumn("strength", strength)
+    rated = scores.withColumn("strength", F.col("ln_p") / -math.log(10))
     return rated.groupBy("cluster").agg(
-        F.max_by("motif_id", F.struct("strength", -F.col("motif_id"))).alias("motif_id"),
+        F.max_by("motif_id", F.struct(F.round("strength", 9), -F.col("motif_id"))).alias("motif_id"),
         F.max("strength").alias("strength"),
     ).where(F.col("strength") >= at_least)
 

@@ -19,6 +19,10 @@ KEYS = ["gene", "class"]
 
 
 def _lengths(words: DataFrame, lengths: Iterable[int] | None) -> list[int]:
+    """Lengths of the words: one row for each, read from the words unless the caller states them.
+
+    A stated list is the caller's word for it that no token has another length.
+    """
     if lengths is not None:
         return sorted(set(lengths))
     return sorted(r[0] for r in words.select(F.length("word")).distinct().collect())
@@ -61,8 +65,8 @@ def _members(pairs: DataFrame) -> DataFrame:
 def _both_members(units: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs whose two units are present: join on the first, semi-join on the second."""
     first = units.select(*KEYS, F.col("token").alias("first"))
-    second = units.select("gene", F.col("token").alias("second"))
-    return first.join(pairs, "first").join(second, ["gene", "second"], "left_semi").select(*KEYS, "token")
+    second = units.select(*KEYS, F.col("token").alias("second"))
+    return first.join(pairs, "first").join(second, [*KEYS, "second"], "left_semi").select(*KEYS, "token")
 
 
 def _unit_tokens(pairs: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ split over its buckets.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,15 +16,16 @@ from pyspark.sql.window import Window
 BUCKET = "_bucket"
 
 
-def probability_bucket(p: Column) -> Column:
-    """Rising bucket for values in [0, 1]: even steps, logarithmic near 0."""
-    return F.when(p > 0.01, F.floor(p * 256)).otherwise(
-        F.floor(F.log2(F.greatest(p, F.lit(5e-324))) * 8)).cast("long")
+def log_probability_bucket(ln_p: Column) -> Column:
+    """Rising bucket for the logarithms of values in [0, 1]: even steps of the value, logarithmic near 0."""
+    return F.when(ln_p > math.log(0.01), F.floor(F.exp(ln_p) * 256)).otherwise(F.floor(ln_p * (8 / math.log(2)))).cast("long")
 
 
 def score_bucket(score: Column) -> Column:
-    """Rising bucket for any real score; scores beyond ±64 share the end buckets."""
-    return F.floor(F.greatest(F.lit(-64.0), F.least(F.lit(64.0), score)) * 256).cast("long")
+    """Rising bucket for any real score: 256 steps a unit up to ±64, then 4096 steps for each doubling."""
+    size = F.abs(score)
+    far = 64 * 256 + F.log2(F.greatest(size, F.lit(64.0)) / 64) * 4096
+    return F.floor(F.when(size <= 64, score * 256).otherwise(F.signum(score) * far)).cast("long")
 
 
 def hash_key(*parts: Column) -> Column:

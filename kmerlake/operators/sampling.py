@@ -40,6 +40,7 @@ def kfold(rows: DataFrame, k: int = 10, seed: int = FOLD_SEED, by: list[str] | N
     return _folds(rows, by or [], hash_key(F.col("gene").cast("string"), F.lit(str(seed))), k)
 
 
-def stratified_kfold(rows: DataFrame, k: int = 10, by: list[str] | None = None) -> DataFrame:
-    """Folds that each hold the same share of every class; no seed."""
-    return _folds(rows, [*(by or []), "class"], hash_key(F.col("gene").cast("string")), k)
+def stratified_kfold(rows: DataFrame, k: int = 10, by: list[str] | None = None, seeded: bool = False) -> DataFrame:
+    """Folds that each hold the same share of every class; with ``seeded`` each group of ``by`` has an order of its own."""
+    seed = [F.col(c).cast("string") for c in by or []] if seeded else []
+    return _folds(rows, [*(by or []), "class"], hash_key(F.col("gene").cast("string"), *seed), k)

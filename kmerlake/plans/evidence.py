@@ -14,17 +14,29 @@ from kmerlake.session import materialise
 
 def criteria_table(
     presence: DataFrame, genes: DataFrame, hits: DataFrame, features: dict[str, Callable[[DataFrame], DataFrame]],
-    diversity: DataFrame | None = None,
+    diversity: DataFrame | None = None, importance: dict[str, DataFrame] | None = None, selected: DataFrame | None = None,
+    known: list[DataFrame] | None = None,
 ) -> DataFrame:
-    """Enrichment, copy number, overlap with each feature and diversity, joined by k-mer.
+    """Enrichment, importances, copy number, overlap with each feature, diversity and motifs, joined by k-mer.
 
-    ``features`` maps a prefix to a function that gives the annotated hits (with ``details``).
+    ``features`` maps a prefix to a function that gives the annotated hits (with ``details``);
+    histone marks are features named ``<mark>_A`` or ``<mark>_R``. ``importance`` maps a column to
+    (feature, importance), ``selected`` holds the selected words for ``fs_overlap``, and ``known``
+    the outputs of ``best_match`` and ``best_match_dap``.
     All features share one test over (feature, k-mer). The counts and copy numbers, one row per
     k-mer and used several times, are written to the shared folder once.
     """
     counts = materialise(class_counts(presence))
     base = counts.select(F.col("token").alias("kmer"))
     table = C.attach_enrichment(base, fisher_greater(counts, class_sizes(genes)))
+    for name, scores in (importance or {}).items():
+        table = C.attach_importance(table, scores, name)
+    if selected is not None:
+        forward = base.select("kmer", F.element_at(F.split("kmer", r"\."), 1).alias("word"))
+        inside = C.fs_overlap(forward.select(F.col("word").alias("kmer")).distinct(), selected).withColumnRenamed("kmer", "word")
+        table = C.attach(table, forward.join(inside, "word").select("kmer", "fs_overlap"))
+    for best in known or []:
+        table = C.attach(table, best)
     copies = materialise(C.copy_evidence(hits, base, genes))
     totals = copies.where("hits_pos is not null")
     table = C.attach(table, copies)

@@ -35,12 +35,7 @@ def sizes(spark, sf):
     return E.class_sizes(X.genes(spark, sf))
 
 
-def log_p(p="pvalue"):
-    return X.r6(-F.log10(F.greatest(F.col(p), F.lit(1e-300)))).alias("log_p")
-
-
-def log_p_sql(p="pvalue"):
-    return f"round(-log10(greatest({p}, 1e-300)), 6) AS log_p"
+log_p, log_p_sql = X.log_p, X.log_p_sql
 
 
 def base_sql(k: int = K) -> str:
@@ -65,44 +60,46 @@ def e2(spark, sf):
     return E.fisher_greater(counts(spark, sf), sizes(spark, sf)).select(*COUNTED, X.r6(F.col("pvalue")).alias("pvalue"), log_p())
 
 
-_BALANCED = X.fisher_sql("pos_count", "half", "neg_count", "half")
+_BALANCED = X.ln_fisher_sql("pos_count", "half", "neg_count", "half")
 
 
 @query("e3_fisher_balanced", f"""{base_sql()}
-SELECT token, pos_count, neg_count, CASE WHEN pos_count > half OR neg_count > half THEN 1.0 ELSE round({_BALANCED}, 6) END AS pvalue
-FROM (SELECT *, (n_pos + n_neg) // 2 AS half FROM tested)""")
+SELECT token, pos_count, neg_count, round(exp(ln_p), 6) AS pvalue, {log_p_sql()}
+FROM (SELECT token, pos_count, neg_count, CASE WHEN pos_count > half OR neg_count > half THEN 0.0::DOUBLE ELSE {_BALANCED} END AS ln_p
+  FROM (SELECT * EXCLUDE (ln_p), (n_pos + n_neg) // 2 AS half FROM tested))""")
 def e3(spark, sf):
     return E.fisher_balanced(counts(spark, sf), sizes(spark, sf)).select(
-        "token", "pos_count", "neg_count", X.r6(F.col("pvalue")).alias("pvalue"))
+        "token", "pos_count", "neg_count", X.r6(F.col("pvalue")).alias("pvalue"), log_p())
 
 
 _ARGS = ("pos_count", "n_pos", "neg_count", "n_neg")
 
 
 @query("e4_fisher_two_sided", f"""{base_sql()}
-SELECT {COUNTED_SQL}, round({X.odds_sql(*_ARGS)}, 6) AS odds, round({X.fisher_two_sql(*_ARGS)}, 6) AS pvalue FROM tested""")
+SELECT {COUNTED_SQL}, odds, round(exp(ln_two), 6) AS pvalue, {log_p_sql('ln_two')}
+FROM (SELECT *, round({X.odds_sql(*_ARGS)}, 6) AS odds, {X.ln_fisher_two_sql(*_ARGS)} AS ln_two FROM tested)""")
 def e4(spark, sf):
     return E.fisher_two_sided(counts(spark, sf), sizes(spark, sf)).select(
-        *COUNTED, X.r6(F.col("odds")).alias("odds"), X.r6(F.col("pvalue")).alias("pvalue"))
+        *COUNTED, X.r6(F.col("odds")).alias("odds"), X.r6(F.col("pvalue")).alias("pvalue"), log_p())
 
 
-@query("e5_filter_enriched", f"{base_sql()} SELECT token, pos_count, neg_count, round(pvalue, 6) AS pvalue FROM tested WHERE pvalue <= 0.05")
+@query("e5_filter_enriched", f"{base_sql()} SELECT token, pos_count, neg_count, round(pvalue, 6) AS pvalue, {log_p_sql()} FROM tested WHERE pvalue <= 0.05")
 def e5(spark, sf):
     tested = E.fisher_greater(counts(spark, sf), sizes(spark, sf))
-    return E.filter_enriched(tested, 0.05).select("token", "pos_count", "neg_count", X.r6(F.col("pvalue")).alias("pvalue"))
+    return E.filter_enriched(tested, 0.05).select("token", "pos_count", "neg_count", X.r6(F.col("pvalue")).alias("pvalue"), log_p())
 
 
-@query("e6_bh_adjust", f"{base_sql()}, {X.bh_sql()} SELECT token, round(pvalue, 6) AS pvalue, round(padj, 6) AS padj FROM adjusted")
+@query("e6_bh_adjust", f"{base_sql()}, {X.bh_sql()} SELECT token, round(pvalue, 6) AS pvalue, round(padj, 6) AS padj, {log_p_sql('ln_padj')} FROM adjusted")
 def e6(spark, sf):
     tested = E.fisher_greater(counts(spark, sf), sizes(spark, sf))
-    return E.bh_adjust(tested).select("token", X.r6(F.col("pvalue")).alias("pvalue"), X.r6(F.col("padj")).alias("padj"))
+    return E.bh_adjust(tested).select("token", X.r6(F.col("pvalue")).alias("pvalue"), X.r6(F.col("padj")).alias("padj"), log_p("ln_padj"))
 
 
 @query("e6_bh_adjust_families", f"""{base_sql()}, families AS (SELECT *, substr(token, 1, 2) AS family FROM tested),
-{X.bh_sql('families', by='family')} SELECT family, token, round(padj, 6) AS padj FROM adjusted""")
+{X.bh_sql('families', by='family')} SELECT family, token, round(padj, 6) AS padj, {log_p_sql('ln_padj')} FROM adjusted""")
 def e6_families(spark, sf):
     tested = E.fisher_greater(counts(spark, sf), sizes(spark, sf)).withColumn("family", F.substring("token", 1, 2))
-    return E.bh_adjust(tested, ["family"]).select("family", "token", X.r6(F.col("padj")).alias("padj"))
+    return E.bh_adjust(tested, ["family"]).select("family", "token", X.r6(F.col("padj")).alias("padj"), log_p("ln_padj"))
 
 
 def flagship(spark, sf):
@@ -206,16 +203,16 @@ def seeds(spark):
 def seed_result(spark, sf):
     tested = E.fisher_greater(
         E.class_counts(P.presence_stranded(X.sequences(spark, sf), seeds(spark), [SEED]), seeds(spark)), sizes(spark, sf))
-    return materialise(E.filter_enriched(tested, CUTOFF).withColumn("padj", F.col("pvalue")))
+    return materialise(E.unadjusted(E.filter_enriched(tested, CUTOFF)))
 
 
 def level_sql(level: int, parents: str, family: str | None = None) -> str:
-    """CTEs from a parents table (token, padj) to the survivors ``level<n>``."""
+    """CTEs from a parents table (token, ln_padj) to the survivors ``level<n>``."""
     k, n = SEED + level, f"_{level}"
     children = " UNION ALL ".join(
-        f"SELECT token AS parent, padj AS parent_padj, {expr} AS token FROM {parents}"
+        f"SELECT token AS parent, ln_padj AS parent_ln_padj, {expr} AS token FROM {parents}"
         for b in "ATGC" for expr in (f"token || '{b}'", f"'{b}' || token"))
-    adjust = f", {X.bh_sql('linked' + n, 'adj' + n, family)}" if family else f", adj{n} AS (SELECT *, pvalue AS padj FROM linked{n})"
+    adjust = f", {X.bh_sql('linked' + n, 'adj' + n, family)}" if family else f", adj{n} AS (SELECT *, pvalue AS padj, ln_p AS ln_padj FROM linked{n})"
     return f"""{X.windows_sql(k, 'sequences', 'w' + n)}, links{n} AS (SELECT DISTINCT * FROM ({children})),
 kids{n} AS (SELECT DISTINCT token FROM links{n}),
 tw{n} AS (SELECT token, token AS word FROM kids{n} UNION SELECT token, {X.rc_sql('token')} FROM kids{n}),
@@ -223,14 +220,14 @@ pres{n} AS (SELECT DISTINCT w.gene, w.class, t.token FROM (SELECT DISTINCT gene,
 cnt{n} AS (SELECT k.token, count(*) FILTER (p.class = 1) AS pos_count, count(*) FILTER (p.class = 0) AS neg_count
   FROM kids{n} k LEFT JOIN pres{n} p ON p.token = k.token GROUP BY 1),
 {X.tested_sql('cnt' + n, 'test' + n)},
-linked{n} AS (SELECT l.parent, l.parent_padj, t.* FROM links{n} l JOIN test{n} t ON t.token = l.token){adjust},
-level{level} AS (SELECT token, pos_count, neg_count, min(pvalue) AS pvalue, min(padj) AS padj FROM adj{n}
-  WHERE padj <= {CUTOFF} AND padj <= parent_padj GROUP BY 1, 2, 3)"""
+linked{n} AS (SELECT l.parent, l.parent_ln_padj, t.* FROM links{n} l JOIN test{n} t ON t.token = l.token){adjust},
+level{level} AS (SELECT token, pos_count, neg_count, min(pvalue) AS pvalue, min(padj) AS padj, min(ln_p) AS ln_p, min(ln_padj) AS ln_padj FROM adj{n}
+  WHERE padj <= {CUTOFF} AND ln_padj <= parent_ln_padj GROUP BY 1, 2, 3)"""
 
 
 def seeds_sql() -> str:
     """CTEs up to the enriched seeds ``level0``; seed tokens are the forward words."""
-    return f"""{base_sql(SEED)}, level0 AS (SELECT split_part(token, '.', 1) AS token, pos_count, neg_count, pvalue, pvalue AS padj
+    return f"""{base_sql(SEED)}, level0 AS (SELECT split_part(token, '.', 1) AS token, pos_count, neg_count, pvalue, pvalue AS padj, ln_p, ln_p AS ln_padj
   FROM tested WHERE pvalue <= {CUTOFF})"""
 
 
@@ -240,30 +237,30 @@ def g1(spark, sf):
     return G.extend(seed_result(spark, sf))
 
 
-@query("g2_grow_level", f"{seeds_sql()}, {level_sql(1, 'level0')} SELECT token, pos_count, neg_count, round(padj, 6) AS padj FROM level1")
+@query("g2_grow_level", f"{seeds_sql()}, {level_sql(1, 'level0')} SELECT token, pos_count, neg_count, round(padj, 6) AS padj, {log_p_sql('ln_padj')} FROM level1")
 def g2(spark, sf):
     return G.grow_level(X.sequences(spark, sf), seed_result(spark, sf), CUTOFF, None, [SEED + 1]).select(
-        "token", "pos_count", "neg_count", X.r6(F.col("padj")).alias("padj"))
+        "token", "pos_count", "neg_count", X.r6(F.col("padj")).alias("padj"), log_p("ln_padj"))
 
 
-@query("g2_grow_level_fdr", f"{seeds_sql()}, {level_sql(1, 'level0', 'parent')} SELECT token, pos_count, neg_count, round(padj, 6) AS padj FROM level1")
+@query("g2_grow_level_fdr", f"{seeds_sql()}, {level_sql(1, 'level0', 'parent')} SELECT token, pos_count, neg_count, round(padj, 6) AS padj, {log_p_sql('ln_padj')} FROM level1")
 def g2_fdr(spark, sf):
     return G.grow_level(X.sequences(spark, sf), seed_result(spark, sf), CUTOFF, "parent", [SEED + 1]).select(
-        "token", "pos_count", "neg_count", X.r6(F.col("padj")).alias("padj"))
+        "token", "pos_count", "neg_count", X.r6(F.col("padj")).alias("padj"), log_p("ln_padj"))
 
 
-_LEVELS = 3
+_LEVELS = 7
 _GROWN = f"{seeds_sql()}, " + ", ".join(level_sql(n, f"level{n - 1}") for n in range(1, _LEVELS + 1))
-_UNION = " UNION ALL ".join(f"SELECT {n} AS level, token, pos_count, neg_count, pvalue FROM level{n}" for n in range(_LEVELS + 1))
+_UNION = " UNION ALL ".join(f"SELECT {n} AS level, token, pos_count, neg_count, pvalue, ln_p FROM level{n}" for n in range(_LEVELS + 1))
 
 
 def grown(spark, sf):
     return G.grow(X.sequences(spark, sf), seeds(spark), _LEVELS, CUTOFF, None, [SEED])
 
 
-@query("g3_grow", f"{_GROWN} SELECT level, token, pos_count, neg_count, round(pvalue, 6) AS pvalue FROM ({_UNION})")
+@query("g3_grow", f"{_GROWN} SELECT level, token, pos_count, neg_count, round(pvalue, 6) AS pvalue, {log_p_sql()} FROM ({_UNION})")
 def g3(spark, sf):
-    return grown(spark, sf).select("level", "token", "pos_count", "neg_count", X.r6(F.col("pvalue")).alias("pvalue"))
+    return grown(spark, sf).select("level", "token", "pos_count", "neg_count", X.r6(F.col("pvalue")).alias("pvalue"), log_p())
 
 
 

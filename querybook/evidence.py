@@ -60,17 +60,17 @@ def c1(spark, sf):
         genes.select(F.lit("gene").alias("kind"), F.col("gene").cast("string").alias("name"), "class"))
 
 
-@query("c2_attach", f"""{HITS} SELECT u.kmer, coalesce(t.hits_pos, 0) AS hits_pos FROM (SELECT DISTINCT kmer FROM hits) u LEFT JOIN (SELECT * FROM totals WHERE hits_pos > 1000) t ON t.kmer = u.kmer""")
+@query("c2_attach", f"""{HITS} SELECT u.kmer, coalesce(t.hits_pos, 0) AS hits_pos FROM (SELECT DISTINCT kmer FROM hits) u LEFT JOIN (SELECT * FROM totals WHERE hits_pos * 7 >= hits_neg) t ON t.kmer = u.kmer""")
 def c2(spark, sf):
     hits = hit_table(spark, sf)
-    totals = C.copy_number(hits, kmers(spark), X.genes(spark, sf)).where("hits_pos > 1000").select("kmer", "hits_pos")
+    totals = C.copy_number(hits, kmers(spark), X.genes(spark, sf)).where("hits_pos * 7 >= hits_neg").select("kmer", "hits_pos")
     return C.attach(hits.select("kmer").distinct(), totals).fillna(0)
 
 
-@query("c3_attach_enrichment", f"{base_sql(K)} SELECT token AS kmer, round(100.0::DOUBLE * pos_count / n_pos, 6) AS percent_positives, round(pvalue, 6) AS pvalue FROM tested")
+@query("c3_attach_enrichment", f"{base_sql(K)} SELECT token AS kmer, round(100.0::DOUBLE * pos_count / n_pos, 6) AS percent_positives, round(pvalue, 6) AS pvalue, {X.log_p_sql()} FROM tested")
 def c3(spark, sf):
     tested = E.fisher_greater(counts(spark, sf, K), sizes(spark, sf))
-    return round_all(C.attach_enrichment(kmers(spark), tested), "percent_positives", "pvalue")
+    return logged(round_all(C.attach_enrichment(kmers(spark), tested), "percent_positives", "pvalue"))
 
 
 _CHI2 = """chi AS (SELECT token AS feature, power(pos_count - tot * n_pos / n, 2) / (tot * n_pos / n) + power(neg_count - tot * n_neg / n, 2) / (tot * n_neg / n) AS chi2
@@ -114,16 +114,24 @@ def c7(spark, sf):
 def overlap_sql(m: int, fill: str = "late") -> str:
     t1, t3 = ("coalesce(t1, 0)", "coalesce(t3, 0)") if fill == "early" else ("t1", "t3")
     args = ("t1", "(t1 + t2)", "t3", "(t3 + t4)")
-    return f"""SELECT kmer, t1, t2, t3, t4, round({X.odds_sql(*args)}, 6) AS odds, round({X.fisher_two_sql(*args)}, 6) AS pvalue
-FROM (SELECT kmer, coalesce(t1, 0) AS t1, coalesce(hits_pos - {t1}, 0) AS t2, coalesce(t3, 0) AS t3, coalesce(hits_neg - {t3}, 0) AS t4
+    return f"""SELECT kmer, t1, t2, t3, t4, odds, round(exp(ln_p), 6) AS pvalue, {X.log_p_sql()}
+FROM (SELECT *, round({X.odds_sql(*args)}, 6) AS odds, {X.ln_fisher_two_sql(*args)} AS ln_p FROM (SELECT kmer, coalesce(t1, 0) AS t1, coalesce(hits_pos - {t1}, 0) AS t2, coalesce(t3, 0) AS t3, coalesce(hits_neg - {t3}, 0) AS t4
   FROM totals LEFT JOIN (SELECT kmer, nullif(count(*) FILTER (class = 1), 0) AS t1, nullif(count(*) FILTER (class = 0), 0) AS t3
-    FROM hits WHERE (start + gene) % {m} = 0 GROUP BY 1) USING (kmer))"""
+    FROM hits WHERE (start + gene) % {m} = 0 GROUP BY 1) USING (kmer)))"""
 
 
-def overlap(spark, sf, m, fill="late", keep=lambda hits: hits):
+def logged(df):
+    """Replace every ``ln_p`` column by its −log10 form ``log_p``."""
+    for name in [c for c in df.columns if c.endswith("ln_p")]:
+        out = name.removesuffix("ln_p") + "log_p"
+        df = df.withColumn(name, X.log_p(name, out)).withColumnRenamed(name, out)
+    return df
+
+
+def overlap(spark, sf, m, fill="late"):
     hits, words, genes = hit_table(spark, sf), kmers(spark), X.genes(spark, sf)
     totals = C.copy_number(hits, words, genes)
-    return round_all(C.overlap_enrichment(totals, keep(X.annotate(hits, m)), words, genes, fill), "odds", "pvalue")
+    return logged(round_all(C.overlap_enrichment(totals, X.annotate(hits, m), words, genes, fill), "odds", "pvalue"))
 
 
 # Peaks at every 397th place: some k-mers have no overlapping hit, so the fill rule shows.
@@ -141,11 +149,12 @@ def feature(spark, sf, name, m):
     hits, words, genes = hit_table(spark, sf), kmers(spark), X.genes(spark, sf)
     tagged = X.annotate(hits, m).withColumn("mark", F.lit(name))
     out = C.feature_enrichment(C.copy_number(hits, words, genes), tagged, [name], words, genes)
-    return round_all(out.withColumnsRenamed({"odds": f"{name}_odds", "pval": f"{name}_pval"}), f"{name}_odds", f"{name}_pval")
+    named = out.withColumnsRenamed({c: f"{name}_{c}" for c in ("odds", "pval", "ln_p")})
+    return logged(round_all(named, f"{name}_odds", f"{name}_pval"))
 
 
 for _name, _m, _row in (("DAP", 5, "c9"), ("DHS", 7, "c10"), ("CNS", 11, "c11")):
-    query(f"{_row}_{_name.lower()}_enrichment", f"{HITS} SELECT kmer, odds AS {_name}_odds, pvalue AS {_name}_pval FROM ({overlap_sql(_m)})")(
+    query(f"{_row}_{_name.lower()}_enrichment", f"{HITS} SELECT kmer, odds AS {_name}_odds, pvalue AS {_name}_pval, log_p AS {_name}_log_p FROM ({overlap_sql(_m)})")(
         lambda spark, sf, name=_name, m=_m: feature(spark, sf, name, m))
 
 MARKS = {"mark1_A": 3, "mark2_R": 4, "mark3_A": 6, "mark4_R": 9}
@@ -161,11 +170,11 @@ def histone(spark, sf):
 
 
 @query("c12_histone_enrichment", f"{HITS} SELECT kmer, " + ", ".join(
-    f"a{i}.odds AS {n}_Odds, a{i}.pvalue AS {n}_pval" for i, n in enumerate(MARKS)) + " FROM " + " JOIN ".join(
+    f"a{i}.odds AS {n}_Odds, a{i}.pvalue AS {n}_pval, a{i}.log_p AS {n}_log_p" for i, n in enumerate(MARKS)) + " FROM " + " JOIN ".join(
     f"({overlap_sql(m)}) a{i}" + (" USING (kmer)" if i else "") for i, m in enumerate(MARKS.values())))
 def c12(spark, sf):
     out = histone(spark, sf)
-    return round_all(out, *[c for c in out.columns if c != "kmer"])
+    return logged(round_all(out, *[c for c in out.columns if c != "kmer" and not c.endswith("ln_p")]))
 
 
 def diversity(spark, sf):
@@ -201,12 +210,12 @@ def c15(spark, sf):
 
 
 def known(spark, sf, dap: bool):
-    """Distances of each motif to the members of two families, standing for k-mer × known motif."""
+    """Distances of all other motifs to the members of two families, standing for k-mer × known motif."""
     from kmerlake.operators.distance import pcc_distance_2
     cells = X.motif_probs(spark, sf)
     family = X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("motif_id"), "label")
     side = family.where("label >= 8" if dap else "label < 2").select("motif_id")
-    rest = family.where("label between 2 and 7").select("motif_id")
+    rest = family.where("label < 8" if dap else "label >= 2").select("motif_id")
     d = pcc_distance_2(cells.join(rest, "motif_id", "left_semi"), cells.join(side, "motif_id", "left_semi"))
     return d.select(F.concat(F.lit("k"), "i").alias("kmer"), F.concat(F.lit("m"), "j").alias("motif"),
                     F.col("j").alias("pos"), X.r6(F.col("d")).alias("d"))
@@ -231,36 +240,46 @@ def _family(side: str, cond: str) -> str:
 
 
 for _dap, _row, _col, _val in ((False, "c16_best_match", "TFBM", "TFBM_PCCD"), (True, "c17_best_match_dap", "DAPSeq_TFBM", "DAPSeq_TFBM_PCCD")):
-    query(_row, f"""WITH {X.PROBS}, {distance_sql(_family('x', 'BETWEEN 2 AND 7'), _family('y', '>= 8' if _dap else '< 2'), 'true')}
+    query(_row, f"""WITH {X.PROBS}, {distance_sql(_family('x', '< 8' if _dap else '>= 2'), _family('y', '>= 8' if _dap else '< 2'), 'true')}
 SELECT 'k' || i AS kmer, 'm' || arg_min(j, round(d, 6) * 1000000 * 100000 + j) AS {_col}, min(round(d, 6)) AS {_val} FROM dist GROUP BY i""")(
         lambda spark, sf, dap=_dap: (C.best_match_dap if dap else C.best_match)(known(spark, sf, dap)))
 
 
+# Annotations and histone marks of the criteria table, with the step of their made peaks.
+FEATURES = {"DAP": 5, "DHS": 7, "CNS": 11, **MARKS}
+
+
 def _criteria(spark, sf):
     from kmerlake.plans.evidence import criteria_table
     seqs, genes = X.sequences(spark, sf), X.genes(spark, sf)
+    held = P.presence_stranded(seqs, U.canonical_words(spark, K), [K])
+    scores = chi2_scores(held, genes).withColumnRenamed("chi2", "importance")
+    selected = spark.createDataFrame([("CAG",), ("GTA",)], "token string")
     return criteria_table(
-        P.presence_stranded(seqs, U.canonical_words(spark, K), [K]), genes, hit_table(spark, sf),
-        {"DAP": lambda h: X.annotate(h, 5), "DHS": lambda h: X.annotate(h, 7), "CNS": lambda h: X.annotate(h, 11)},
-        diversity(spark, sf))
+        held, genes, hit_table(spark, sf), {name: lambda h, m=m: X.annotate(h, m) for name, m in FEATURES.items()},
+        diversity(spark, sf), {"chi2_imp": scores}, selected)
 
 
-_TABLE = f"""{HITS}, {X.counts_sql('(SELECT DISTINCT gene, class, kmer AS token FROM hits)', 'counts')}, {X.tested_sql()},
+_TABLE = f"""{HITS}, {X.counts_sql('(SELECT DISTINCT gene, class, kmer AS token FROM hits)', 'counts')}, {X.tested_sql()}, {_CHI2},
 div AS (SELECT kmer, class, CASE WHEN start % 7 = 0 THEN 0.0::DOUBLE ELSE ((start * 31 + gene) % 100) / 997.0::DOUBLE END AS nt_div FROM hits),
 w1 AS ({'WITH ' + welch_sql('per_gene', 'copies')}), w2 AS ({'WITH ' + welch_sql('div', 'nt_div')}),
 dm AS (SELECT kmer, avg(nt_div) FILTER (class = 1) AS div_pos, avg(nt_div) FILTER (class = 0) AS div_neg FROM div GROUP BY 1)
 SELECT b.token AS kmer, round(100.0::DOUBLE * b.pos_count / b.n_pos, 6) AS percent_positives, round(b.pvalue, 6) AS pvalue,
+  {X.log_p_sql('b.ln_p')}, c2.chi2_imp, coalesce(f.fs_overlap, 0) AS fs_overlap,
   round(t.copy_pos, 6) AS copy_pos, round(t.copy_neg, 6) AS copy_neg, t.hits_pos::DOUBLE AS hits_pos, t.hits_neg::DOUBLE AS hits_neg, w1.t AS copy_t, w1.pvalue AS copy_pval,
-  x5.odds AS DAP_odds, x5.pvalue AS DAP_pval, x7.odds AS DHS_odds, x7.pvalue AS DHS_pval, x11.odds AS CNS_odds, x11.pvalue AS CNS_pval,
+  {', '.join(f'x{m}.odds AS {n}_odds, x{m}.pvalue AS {n}_pval, x{m}.log_p AS {n}_log_p' for n, m in FEATURES.items())},
   round(dm.div_pos, 6) AS div_pos, round(dm.div_neg, 6) AS div_neg, w2.t AS div_t, w2.pvalue AS div_pval
 FROM tested b LEFT JOIN totals t ON t.kmer = b.token LEFT JOIN w1 ON w1.kmer = b.token LEFT JOIN w2 ON w2.kmer = b.token
-LEFT JOIN dm ON dm.kmer = b.token {' '.join(f'LEFT JOIN ({overlap_sql(m)}) x{m} ON x{m}.kmer = b.token' for m in (5, 7, 11))}"""
+LEFT JOIN dm ON dm.kmer = b.token {' '.join(f'LEFT JOIN ({overlap_sql(m)}) x{m} ON x{m}.kmer = b.token' for m in FEATURES.values())}
+LEFT JOIN (SELECT feature, round(chi2, 6) AS chi2_imp FROM chi) c2 ON c2.feature = b.token
+LEFT JOIN (SELECT token, 1 AS fs_overlap FROM tested WHERE contains(split_part(token, '.', 1), 'CAG') OR contains(split_part(token, '.', 1), 'GTA')) f ON f.token = b.token"""
 
 
 @query("c18_criteria_table", _TABLE)
 def c18(spark, sf):
     out = _criteria(spark, sf)
-    return round_all(out, *[c for c in out.columns if c not in ("kmer", "hits_pos", "hits_neg")]).withColumns(
+    skip = [c for c in out.columns if c in ("kmer", "hits_pos", "hits_neg", "fs_overlap") or c.endswith("ln_p")]
+    return logged(round_all(out, *[c for c in out.columns if c not in skip])).withColumns(
         {c: F.col(c).cast("double") for c in ("hits_pos", "hits_neg")})
 
 
@@ -274,6 +293,20 @@ def c19(spark, sf):
     return C.label_sites(matrix, labels.where("quality = 0"), labels.where("toxic = 0"))
 
 
+_SHORT = ["AC", "CAG.CTG", "GATTC", "TTGACA"]
+
+
+@query("c21_map_kmers_mixed", f"""WITH {X.SEQ}, listed AS (SELECT kmer, split_part(kmer, '.', 1) AS word FROM (VALUES {', '.join(f"('{w}')" for w in _SHORT)}) t(kmer)),
+target AS (SELECT kmer, word, '+' AS dir FROM listed UNION ALL SELECT kmer, {X.rc_sql('word')}, '-' FROM listed),
+places AS (SELECT gene, seq, unnest(generate_series(1, length(seq))) AS start FROM sequences)
+SELECT gene, kmer, dir, count(*) AS n, sum(start)::BIGINT AS sum_start, max(start + length(word) - 1) AS last_end
+FROM places JOIN target ON substr(seq, start, length(word)) = word GROUP BY 1, 2, 3""")
+def c21_mixed(spark, sf):
+    words = spark.createDataFrame([(w,) for w in _SHORT], "kmer string")
+    return map_kmers(X.sequences(spark, sf), words).groupBy("gene", "kmer", "dir").agg(
+        F.count("*").alias("n"), F.sum("start").alias("sum_start"), F.max("end").alias("last_end"))
+
+
 @query("c21_map_kmers", f"""{HITS} SELECT gene, dir, count(*) AS n, count(DISTINCT kmer) AS n_kmers, sum(start)::BIGINT AS sum_start, max(stop) AS last_end
 FROM (SELECT gene, kmer, start, stop, dir FROM hits UNION ALL
       SELECT gene, kmer, start, stop, '-' FROM hits WHERE dir = '+' AND split_part(kmer, '.', 1) = split_part(kmer, '.', 2)) GROUP BY 1, 2""")

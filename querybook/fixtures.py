@@ -5,6 +5,8 @@ Whole tables and whole texts are used: every document gives a sequence, every em
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,22 +140,43 @@ def _lnc(n: str, k: str) -> str:
     return f"(lgamma({n} + 1.0) - lgamma({k} + 1.0) - lgamma({n} - ({k}) + 1.0))"
 
 
-def pmf_sql(x: str, a: str, m: str, b: str, n: str) -> str:
-    return f"exp({_lnc(m, x)} + {_lnc(n, f'({a} + {b} - {x})')} - {_lnc(f'({m} + {n})', f'({a} + {b})')})"
+def ln_pmf_sql(x: str, a: str, m: str, b: str, n: str) -> str:
+    """ln of the probability of a table, without the part that all tables share."""
+    return f"({_lnc(m, x)} + {_lnc(n, f'({a} + {b} - {x})')})"
+
+
+def ln_fisher_sql(a: str, m: str, b: str, n: str) -> str:
+    """ln of the one-sided p: the terms of all tables at least as extreme, taken against the observed one."""
+    own = ln_pmf_sql(a, a, m, b, n)
+    term = f"exp({ln_pmf_sql('x', a, m, b, n)} - {own})"
+    rest = f"ln(list_sum(list_transform(generate_series({a}, least({m}, {a} + {b})), lambda x: {term})))"
+    return f"least(0.0::DOUBLE, {own} - {_lnc(f'({m} + {n})', f'({a} + {b})')} + {rest})"
 
 
 def fisher_sql(a: str, m: str, b: str, n: str) -> str:
-    """One-sided p by the sum of all tables at least as extreme."""
-    term = pmf_sql("x", a, m, b, n)
-    return f"least(1.0, list_sum(list_transform(generate_series({a}, least({m}, {a} + {b})), lambda x: {term})))"
+    return f"exp({ln_fisher_sql(a, m, b, n)})"
 
 
-def fisher_two_sql(a: str, m: str, b: str, n: str) -> str:
-    term = pmf_sql("x", a, m, b, n)
+def ln_fisher_two_sql(a: str, m: str, b: str, n: str) -> str:
+    own = ln_pmf_sql(a, a, m, b, n)
     series = f"generate_series(greatest(0, {a} + {b} - {n}), least({m}, {a} + {b}))"
-    limit = f"{pmf_sql(a, a, m, b, n)} * 1.0000001"
-    return f"""CASE WHEN {m} = 0 OR {n} = 0 OR {a} + {b} = 0 OR {a} + {b} = {m} + {n} THEN 1.0 ELSE
-  least(1.0, list_sum(list_filter(list_transform({series}, lambda x: {term}), lambda v: v <= {limit}))) END"""
+    terms = f"list_filter(list_transform({series}, lambda x: {ln_pmf_sql('x', a, m, b, n)} - {own}), lambda v: v <= ln(1.0000001::DOUBLE))"
+    rest = f"ln(list_sum(list_transform({terms}, lambda v: exp(v))))"
+    return f"""CASE WHEN {m} = 0 OR {n} = 0 OR {a} + {b} = 0 OR {a} + {b} = {m} + {n} THEN 0.0::DOUBLE ELSE
+  least(0.0::DOUBLE, {own} - {_lnc(f'({m} + {n})', f'({a} + {b})')} + {rest}) END"""
+
+
+def fisher_two_sql(a: str, m: str, b: str, n: str) -> str:
+    return f"exp({ln_fisher_two_sql(a, m, b, n)})"
+
+
+def log_p(ln: str = "ln_p", out: str = "log_p") -> Column:
+    """−log10 of a p-value given by its natural logarithm."""
+    return F.round((0.0 - F.col(ln)) / math.log(10), 4).alias(out)
+
+
+def log_p_sql(ln: str = "ln_p", out: str = "log_p") -> str:
+    return f"round((0.0::DOUBLE - {ln}) / ln(10.0::DOUBLE), 4) AS {out}"
 
 
 def odds_sql(a: str, m: str, b: str, n: str) -> str:
@@ -172,14 +195,14 @@ def t_two_tailed_sql(t: str, df: str, steps: int = 4000) -> str:
 
 
 def tested_sql(counts: str = "counts", name: str = "tested") -> str:
-    p = fisher_sql("pos_count", "n_pos", "neg_count", "n_neg")
-    return f"{name} AS (SELECT token, pos_count, neg_count, n_pos, n_neg, {p} AS pvalue FROM {counts}, sizes)"
+    p = ln_fisher_sql("pos_count", "n_pos", "neg_count", "n_neg")
+    return f"{name} AS (SELECT *, exp(ln_p) AS pvalue FROM (SELECT token, pos_count, neg_count, n_pos, n_neg, {p} AS ln_p FROM {counts}, sizes))"
 
 
 def bh_sql(source: str = "tested", name: str = "adjusted", by: str = "") -> str:
     part = f"PARTITION BY {by} " if by else ""
-    return f"""{name} AS (SELECT *, least(1.0, min(pvalue * n / rnk) OVER ({part}ORDER BY rnk DESC ROWS UNBOUNDED PRECEDING)) AS padj
-  FROM (SELECT *, count(*) OVER ({part}) AS n, row_number() OVER ({part}ORDER BY pvalue, token) AS rnk FROM {source}))"""
+    return f"""{name} AS (SELECT *, exp(ln_padj) AS padj FROM (SELECT *, least(0.0::DOUBLE, min(ln_p + ln(n::DOUBLE / rnk)) OVER ({part}ORDER BY rnk DESC ROWS UNBOUNDED PRECEDING)) AS ln_padj
+  FROM (SELECT *, count(*) OVER ({part}) AS n, row_number() OVER ({part}ORDER BY ln_p, token) AS rnk FROM {source})))"""
 
 
 PROBS = f"""expd AS (

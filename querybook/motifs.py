@@ -185,36 +185,44 @@ def w14(spark, sf):
     return single.withColumn("part", F.lit("single")).unionByName(grouped.withColumn("part", F.lit("merge")))
 
 
-# A motif hits a gene when the consensus word of its first six positions stands in the sequence.
-_CONS = """cons AS (SELECT motif_id, string_agg(CASE greatest(a, c, g, t) WHEN a THEN 'A' WHEN c THEN 'C' WHEN g THEN 'G' ELSE 'T' END, '' ORDER BY pos) AS word
-  FROM probs WHERE pos < 6 GROUP BY 1)"""
-_SPEC = f"""WITH {X.PROBS}, {X.SEQ}, {X.windows_sql(6)}, {_CONS},
-hit AS (SELECT DISTINCT motif_id, gene, class FROM (SELECT DISTINCT gene, class, word FROM wins) JOIN cons USING (word)),
+# A motif hits a gene where its core, the six adjacent positions with the most information, scores on either strand.
+CORE = 6
+_CORE = f"""summed AS (SELECT *, round(sum(bits) OVER (PARTITION BY motif_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {CORE - 1} FOLLOWING), 9) AS s
+  FROM (SELECT *, {_BITS} AS bits FROM probs)),
+begins AS (SELECT motif_id, min(pos) AS lo FROM (SELECT *, max(s) OVER (PARTITION BY motif_id) AS top FROM summed WHERE pos <= {X.WIDTH - CORE}) WHERE s = top GROUP BY 1),
+core AS (SELECT motif_id, pos - lo AS pos, {', '.join(f"log2({x} / {W.BACKGROUND[x]}::DOUBLE) AS {x}" for x in LETTERS)}
+  FROM probs JOIN begins USING (motif_id) WHERE pos BETWEEN lo AND lo + {CORE - 1}),
+least_score AS (SELECT motif_id, {FRACTION}::DOUBLE * sum(greatest(a, c, g, t)) - 1e-9::DOUBLE AS least_s FROM core GROUP BY 1),
+{X.universe_sql(CORE)},
+letters AS (SELECT word, pos, substr(word, pos::INTEGER + 1, 1) AS l FROM universe, range({CORE}) r(pos)),
+scores AS (SELECT motif_id, word, sum(CASE l WHEN 'A' THEN a WHEN 'C' THEN c WHEN 'G' THEN g ELSE t END) AS score FROM core JOIN letters USING (pos) GROUP BY 1, 2),
+good AS (SELECT motif_id, word, score, '+' AS dir FROM scores JOIN least_score USING (motif_id) WHERE score >= least_s),
+sites AS (SELECT * FROM good UNION ALL SELECT motif_id, {X.rc_sql('word')}, score, '-' FROM good)"""
+_SPEC = f"""WITH {X.PROBS}, {X.SEQ}, {X.windows_sql(CORE)}, {_CORE},
+hit AS (SELECT DISTINCT motif_id, gene, class FROM (SELECT DISTINCT gene, class, word FROM wins) JOIN (SELECT DISTINCT motif_id, word FROM sites) USING (word)),
 oc AS (SELECT motif_id, count(*) FILTER (class = 1) AS overlap, count(*) FILTER (class = 0) AS others FROM hit GROUP BY 1),
-spec AS (SELECT motif_id, overlap + others AS hits, overlap, {X.fisher_sql('overlap', 'n_pos', 'others', 'n_neg')} AS pvalue FROM oc, sizes)"""
+spec AS (SELECT motif_id, overlap + others AS hits, overlap, {X.ln_fisher_sql('overlap', 'n_pos', 'others', 'n_neg')} AS ln_p FROM oc, sizes)"""
 
 
-def consensus_genes(spark, sf, cells=None):
-    from kmerlake.operators.windows import words_in
-    cells = X.motif_probs(spark, sf) if cells is None else cells
-    best = F.greatest(*LETTERS)
-    letter = F.when(best == F.col("a"), "A").when(best == F.col("c"), "C").when(best == F.col("g"), "G").otherwise("T")
-    words = cells.where("pos < 6").groupBy("motif_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", letter.alias("l")))).alias("r")).select(
-        "motif_id", F.concat_ws("", F.col("r")["l"]).alias("word"))
-    return words_in(X.sequences(spark, sf).select("gene", "seq"), [6]).join(words, "word").select("motif_id", "gene")
+def core_odds(spark, sf):
+    return W.probs_to_logodds(W.core(X.motif_probs(spark, sf), CORE))
 
 
-@query("w15_group_specificity", f"{_SPEC} SELECT motif_id, hits, overlap, round(pvalue, 6) AS pvalue FROM spec")
+def core_genes(spark, sf):
+    return D.motif_genes(X.sequences(spark, sf), core_odds(spark, sf), FRACTION)
+
+
+@query("w15_group_specificity", f"{_SPEC} SELECT motif_id, hits, overlap, round(exp(ln_p), 6) AS pvalue, {X.log_p_sql()} FROM spec")
 def w15(spark, sf):
-    return r6(W.group_specificity(consensus_genes(spark, sf), X.genes(spark, sf)), "pvalue")
+    rated = W.group_specificity(core_genes(spark, sf), X.genes(spark, sf))
+    return r6(rated, "pvalue").select("motif_id", "hits", "overlap", "pvalue", X.log_p())
 
 
-@query("w16_top_motif", f"""{_SPEC}, r AS (SELECT c.cluster, s.motif_id, -log10(pvalue) AS strength FROM spec s JOIN ({_SIZES}) c USING (motif_id))
-SELECT cluster, arg_max(motif_id, strength) AS motif_id, round(max(strength), 6) AS strength FROM (SELECT * FROM r ORDER BY motif_id) GROUP BY 1 HAVING max(strength) >= 2""")
+@query("w16_top_motif", f"""{_SPEC}, r AS (SELECT c.cluster, s.motif_id, -ln_p / ln(10.0::DOUBLE) AS strength FROM spec s JOIN ({_SIZES}) c USING (motif_id))
+SELECT cluster, motif_id, round(strength, 4) AS strength FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(strength, 9) DESC, motif_id) AS k FROM r) WHERE k = 1 AND strength >= 2""")
 def w16(spark, sf):
-    rated = W.group_specificity(consensus_genes(spark, sf), X.genes(spark, sf)).join(label_clusters(spark, sf), "motif_id")
-    return r6(W.top_motif(rated), "strength")
+    rated = W.group_specificity(core_genes(spark, sf), X.genes(spark, sf)).join(label_clusters(spark, sf), "motif_id")
+    return W.top_motif(rated).withColumn("strength", F.round("strength", 4))
 
 
 @query("w17_consensus_profile")
@@ -231,14 +239,23 @@ def w18(spark, sf):
     return r6(L.merge_motifs(X.motif_probs(spark, sf), X.genes(spark, sf), sites, HEIGHT, True, BITS), *LETTERS)
 
 
-@query("w19_missing_clusters", f"""{_SPEC}, c AS ({_SIZES}), done AS (SELECT cluster FROM c JOIN spec USING (motif_id) GROUP BY 1 HAVING max(-log10(pvalue)) >= 2)
+@query("w19_missing_clusters", f"""{_SPEC}, c AS ({_SIZES}), done AS (SELECT cluster FROM c JOIN spec USING (motif_id) GROUP BY 1 HAVING max(-ln_p / ln(10.0::DOUBLE)) >= 2)
 SELECT DISTINCT cluster FROM c WHERE cluster NOT IN (SELECT cluster FROM done)""")
 def w19(spark, sf):
     clusters = label_clusters(spark, sf)
-    rated = W.group_specificity(consensus_genes(spark, sf), X.genes(spark, sf)).join(clusters, "motif_id")
+    rated = W.group_specificity(core_genes(spark, sf), X.genes(spark, sf)).join(clusters, "motif_id")
     return W.missing_clusters(clusters, W.top_motif(rated))
 
 
+@query("w20_scan_cores", f"""WITH {X.PROBS}, {X.SEQ}, {X.windows_sql(CORE)}, {_CORE},
+seen AS (SELECT gene, word, count(*) AS n FROM wins GROUP BY 1, 2)
+SELECT motif_id, dir, sum(n)::BIGINT AS sites, count(DISTINCT gene) AS genes, round(max(score), 6) AS best FROM seen JOIN sites USING (word) GROUP BY 1, 2""")
+def w20_cores(spark, sf):
+    found = D.scan_motifs(X.sequences(spark, sf), core_odds(spark, sf), FRACTION)
+    return found.groupBy("motif_id", "dir").agg(
+        F.count("*").alias("sites"), F.countDistinct("gene").alias("genes"), X.r6(F.max("score")).alias("best"))
+
+
 @query("w20_scan_motifs")
 def w20(spark, sf):
     found = D.scan_motifs(X.sequences(spark, sf), logodds(spark, sf), FRACTION)

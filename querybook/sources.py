@@ -88,28 +88,32 @@ def s4(spark, sf):
         F.count("*").alias("n"), F.countDistinct("gene").alias("n_genes"))
 
 
-def _block_files(spark, sf, label):
+def _block_files(spark, sf, label, root=None, name=None):
     """A head line led by a number, then the locus, led by a letter."""
-    folder = scratch_path(spark, f"blocks{label}")
+    folder = f"{root}/{name}" if root else scratch_path(spark, f"blocks{label}")
     rows = hit_table(spark, sf).join(X.genes(spark, sf), "gene").where(F.col("class") == label)
     locus = F.concat_ws("\t", F.concat(F.lit("g"), F.col("gene").cast("string")), "start", "end", "dir", F.lit("x"))
     rows.select(F.concat(F.lit("1\t"), F.col("kmer"), F.lit("\n"), locus)).write.text(folder)
     return folder
 
 
-@query("s5_read_block_map", f"""{HITS} SELECT kmer, count(*) AS n, min('g' || gene || ':' || start || ':' || stop || ':' || dir) AS first_locus,
-  max('g' || gene || ':' || start || ':' || stop || ':' || dir) AS last_locus FROM hits WHERE class = 1 GROUP BY 1""")
+@query("s5_read_block_map", f"""{HITS} SELECT class, kmer, count(*) AS n, min('g' || gene || ':' || start || ':' || stop || ':' || dir) AS first_locus,
+  max('g' || gene || ':' || start || ':' || stop || ':' || dir) AS last_locus FROM hits GROUP BY 1, 2""")
 def s5(spark, sf):
-    return S.read_block_map(spark, _block_files(spark, sf, 1)).groupBy("kmer").agg(
+    root = scratch_path(spark, "blocks")
+    for label, name in ((1, "pos_0.9max.out.pvalue"), (0, "neg_0.9max.out.pvalue"), (1, "pos_other")):
+        _block_files(spark, sf, label, root, name)
+    parts = [S.read_block_map(spark, f"{root}/*", tag).withColumn("class", F.lit(label)) for tag, label in (("pos", 1), ("neg", 0))]
+    return parts[0].unionByName(parts[1]).groupBy("class", "kmer").agg(
         F.count("*").alias("n"), F.min("locus").alias("first_locus"), F.max("locus").alias("last_locus"))
 
 
 @query("c20_map_loci", f"""{HITS} SELECT kmer, class, 'g' || gene || ':' || start || ':' || stop || ':' || dir AS locus FROM hits
-WHERE kmer IN (SELECT kmer FROM totals WHERE hits_pos * 7 >= hits_neg AND hits_pos < 1000)""")
+WHERE kmer IN (SELECT kmer FROM totals WHERE hits_pos * 7 >= hits_neg)""")
 def c20(spark, sf):
     pos, neg = (S.read_block_map(spark, _block_files(spark, sf, label)) for label in (1, 0))
     totals = C.copy_number(hit_table(spark, sf), kmers(spark), X.genes(spark, sf))
-    return C.map_loci(pos, neg, totals.where("hits_pos * 7 >= hits_neg and hits_pos < 1000").select("kmer"))
+    return C.map_loci(pos, neg, totals.where("hits_pos * 7 >= hits_neg").select("kmer"))
 
 
 @query("s6_read_diversity", f"""{HITS} SELECT kmer, count(*) AS n, sum(start)::BIGINT AS sum_start, sum(gene)::BIGINT AS sum_gene,
@@ -178,6 +182,14 @@ def s11(spark, sf):
     return back.select("gene", "Class", total.alias("n_ones"))
 
 
+@query("s11_write_matrix_rows", f"WITH {X.SEQ}, {X.stranded_sql(4)} SELECT CAST(gene AS VARCHAR) AS gene, CAST(class AS VARCHAR) AS \"Class\", token FROM stranded")
+def s11_rows(spark, sf):
+    path = scratch_path(spark, "rows")
+    seqs, tokens = X.sequences(spark, sf), U.canonical_words(spark, 4)
+    O.write_matrix(P.presence_stranded(seqs, tokens, [4]), X.genes(spark, sf), O.numbered_tokens(tokens), path)
+    return O.read_matrix_rows(spark, path)
+
+
 @query("s11_append_run", f"WITH {X.SEQ} SELECT run, CAST(class AS VARCHAR) AS label, count(*)::VARCHAR AS n FROM genes, (VALUES ('run1'), ('run2')) r(run) GROUP BY 1, 2")
 def s11_append(spark, sf):
     path = scratch_path(spark, "runs")

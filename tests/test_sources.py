@@ -11,7 +11,9 @@ def test_fasta(spark, tmp_path):
     (tmp_path / "pos.fa").write_text(">g1 first > second\nACGT\nAC\r\nGG\n>g2\nTTTT\n>g1 again\nCCCC\n")
     (tmp_path / "neg.fa").write_text(">g2\nAAAA\n>g3\nGG\n")
     pos, neg = (S.read_fasta(spark, str(tmp_path / f), c) for f, c in (("pos.fa", 1), ("neg.fa", 0)))
-    assert sorted(map(tuple, pos.collect())) == [("g1", 1, "ACGTACGG"), ("g1", 1, "CCCC"), ("g2", 1, "TTTT")]
+    rows = sorted((r["gene"].split("#")[0], r["class"], r["seq"]) for r in pos.collect())
+    assert rows == [("g1", 1, "ACGTACGG"), ("g1", 1, "CCCC"), ("g2", 1, "TTTT")]
+    assert pos.select("gene").distinct().count() == 3  # records that share an id count each
     last = S.read_fasta(spark, str(tmp_path / "pos.fa"), 1, keep="last")
     assert sorted(map(tuple, S.sequence_set(last, neg).collect())) == [("g1", 1, "CCCC"), ("g2", 0, "AAAA"), ("g3", 0, "GG")]
 
@@ -57,17 +59,17 @@ def test_matrix_and_hits(spark, tmp_path):
     assert [tuple(r)[1:] for r in S.read_importance(spark, str(tmp_path)).collect()] == [("AAC", 0.5)]
 
 
-MOTIFS = """Log-odds matrix for Motif   0 ..gC (1)
+MOTIFS = """Log-odds matrix for Motif   0 ..tA (1)
 #        0         1
-#A    -0.786    -0.921
-#C     0.775     0.409
-#T    -0.217     0.318
-#G     0.460     0.151
+#A     0.125     1.250
+#C    -0.500    -2.000
+#T     0.875     0.750
+#G    -1.500    -0.250
 Sequence Logo
 #  --
-Motif   0 ..gC (1)            (Bits:  1.96  MAP:  0.00   D: 0.000  -1) E:  0.000
-AC 0 -2.992
-GT 0 1.78
+Motif   0 ..tA (1)            (Bits:  1.50  MAP:  0.00   D: 0.000  -1) E:  0.000
+TA 0 2.125
+CG 0 -0.75
 **********
 MAP Score: 0.000000
 Log-odds matrix for Motif   1 A (1)
@@ -83,8 +85,8 @@ def test_motif_text(spark, tmp_path):
     (tmp_path / "m.tm").write_text(MOTIFS)
     cells = T.read_motifs(spark, str(tmp_path / "m.tm"))
     assert sorted(map(tuple, cells.collect())) == [
-        (0, "..gC", 0, -0.786, 0.775, 0.46, -0.217), (0, "..gC", 1, -0.921, 0.409, 0.151, 0.318), (1, "A", 0, 1.0, -1.0, 2.0, 0.0)]
-    assert sorted(map(tuple, T.read_motif_sites(spark, str(tmp_path / "m.tm")).collect())) == [(0, 0, "AC", -2.992), (0, 1, "GT", 1.78)]
+        (0, "..tA", 0, 0.125, -0.5, -1.5, 0.875), (0, "..tA", 1, 1.25, -2.0, -0.25, 0.75), (1, "A", 0, 1.0, -1.0, 2.0, 0.0)]
+    assert sorted(map(tuple, T.read_motif_sites(spark, str(tmp_path / "m.tm")).collect())) == [(0, 0, "TA", 2.125), (0, 1, "CG", -0.75)]
     text = T.transfac_text(cells.where("motif_id = 1")).first().value
     assert text == "DE\tA\tA\n0\t200\t50\t400\t100\t\nXX"
     T.write_transfac(cells, str(tmp_path / "tf"))
