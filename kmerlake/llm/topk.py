@@ -5,10 +5,12 @@ vector's distances to all of them are computed once. For a query q and a candida
 |d(q, p) - d(x, p)| over the pivots p is a lower bound of d(q, x), and as
 2 q.x = |q|^2 + |x|^2 - d(q, x)^2 it bounds the score from above, as |q||x| does. Candidates are
 evaluated in the order of their bounds until the next bound is below the k-th best score, so the
-result is exact whatever the pivots are.
+result is exact whatever the pivots are. A block of queries is evaluated together, in the order of
+the highest bound that any of them gives a candidate, and ends when that is below the k-th best of
+all of them. Bounds only save evaluations.
 
 Queries are cut into groups and candidates into shards of bounded size; a task streams one shard
-past one group in Arrow batches and keeps k rows for each query. Bounds only save evaluations.
+past one group in Arrow batches and keeps k rows for each query.
 
 Rows whose id or vector is null, or whose vector is empty or holds null or non-finite components,
 take no part. Shorter vectors count as padded with zeros. Equal rows are held once with their
@@ -30,7 +32,7 @@ from kmerlake.llm.common import stored
 
 GROUP, SHARD = 4096, 1_000_000
 _ROWS = 64  # queries whose bounds are held at once
-_FIRST = 64  # candidates evaluated before the first look at the next bound
+_CHUNK = 256  # candidates evaluated before the next look at the bounds
 _SLACK = 1e-5  # relative, far above the rounding of single-precision distances
 
 
@@ -49,12 +51,10 @@ def _matrix(lists: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer rows: in doubles while all sums stay below 2^53, else in Python integers."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if most < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return (a.astype(object) @ b.astype(object).T).astype(np.int64)
+def _exact_kind(a: np.ndarray, b: np.ndarray) -> type:
+    """A number type in which all sums of a product of integer rows are exact: its sums stay below |a||b|."""
+    most = math.sqrt(float((a.astype(np.float64) ** 2).sum(1).max(initial=0)) * float((b.astype(np.float64) ** 2).sum(1).max(initial=0)))
+    return np.float32 if most < 2**23 else np.float64 if most < 2**52 else object
 
 
 def distances(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -90,32 +90,48 @@ class Best:
         least = np.zeros((rows.stop - rows.start, len(d)), np.float32)
         for p in range(d.shape[1]):
             np.maximum(least, np.abs(self.d[rows, p][:, None] - d[:, p][None, :]), out=least)
-        size = self.norm[rows][:, None] ** 2 + norm[None, :] ** 2
-        by_pivots = (size - np.maximum(least - _SLACK * np.sqrt(size), 0).astype(np.float64) ** 2) / 2
-        return np.minimum(by_pivots, self.norm[rows][:, None] * norm[None, :]) + _SLACK * size + 0.5
+        mine, theirs = self.norm[rows].astype(np.float32)[:, None], norm.astype(np.float32)[None, :]
+        size = mine**2 + theirs**2
+        least -= _SLACK * np.sqrt(size)
+        np.maximum(least, 0, out=least)
+        return np.minimum((size - least**2) / 2, mine * theirs) + (_SLACK * size + 0.5)
 
     def offer(self, ids: np.ndarray, v: np.ndarray, d: np.ndarray, copies: np.ndarray) -> None:
         norm = np.sqrt((v.astype(np.float64) ** 2).sum(1))
+        kind = _exact_kind(self.v, v)
+        queries, candidates = self.v.astype(kind), v.astype(kind)
         for start in range(0, len(self.ids), _ROWS):
             rows = slice(start, min(start + _ROWS, len(self.ids)))
             bounds = self._bounds(rows, d, norm)
-            for i in range(rows.start, rows.stop):
-                self._search(i, bounds[i - start], ids, v, copies)
-
-    def _search(self, i: int, bound: np.ndarray, ids: np.ndarray, v: np.ndarray, copies: np.ndarray) -> None:
-        near = np.flatnonzero(bound >= self.floor_of(i))
-        near = near[np.argsort(-bound[near], kind="stable")]
-        at, step = 0, _FIRST
-        while at < len(near) and bound[near[at]] >= self.floor_of(i):
-            part = near[at : at + step]
-            scores = _inner(self.v[i : i + 1], v[part])[0]
-            self.evaluated += len(part)
-            times = np.minimum(copies[part] - ((ids[part] == self.ids[i]) & (v[part] == self.v[i]).all(1)), self.k)
-            scores = np.concatenate([self.top[i][0], np.repeat(scores, times)])
-            found = np.concatenate([self.top[i][1], np.repeat(ids[part], times)])
-            order = np.lexsort((found, -scores))[: self.k]
-            self.top[i] = scores[order], found[order]
-            at, step = at + step, step * 2
+            order = np.argsort(-bounds.max(axis=0), kind="stable")
+            bounds, ordered = bounds[:, order], candidates[order]
+            floors = np.array([self.floor_of(i) for i in range(rows.start, rows.stop)])
+            for at in range(0, len(order), _CHUNK):
+                if bounds[:, at].max() < floors.min():
+                    break  # no later candidate reaches any of these queries
+                open_ = np.flatnonzero((bounds[:, at : at + _CHUNK] >= floors[:, None]).any(axis=1))
+                scores = queries[rows][open_] @ ordered[at : at + _CHUNK].T
+                self.evaluated += scores.size
+                reached = scores >= floors[open_][:, None]
+                for n in np.flatnonzero(reached.any(axis=1)):
+                    i = rows.start + open_[n]
+                    self._keep(i, scores[n], np.flatnonzero(reached[n]), order[at : at + _CHUNK], ids, v, copies)
+                    floors[open_[n]] = self.floor_of(i)
+
+    def _keep(self, i: int, scores: np.ndarray, reach: np.ndarray, part: np.ndarray, ids: np.ndarray, v: np.ndarray, copies: np.ndarray) -> None:
+        """Merge those of the candidates ``part`` that reach the k-th best into the best of query ``i``."""
+        if len(reach) > 4 * self.k:  # below the (k + 1)-th of this part nothing can stay: one may be the query's own row
+            least = np.partition(scores[reach], len(reach) - self.k - 1)[len(reach) - self.k - 1]
+            reach = reach[scores[reach] >= least]
+        rows = part[reach]
+        times = copies[rows].copy()
+        for n in np.flatnonzero(ids[rows] == self.ids[i]):
+            times[n] -= (v[rows[n]] == self.v[i]).all()
+        times = np.minimum(times, self.k)
+        every = np.concatenate([self.top[i][0], np.repeat(scores[reach].astype(np.int64), times)])
+        found = np.concatenate([self.top[i][1], np.repeat(ids[rows], times)])
+        order = np.lexsort((found, -every))[: self.k]
+        self.top[i] = every[order], found[order]
 
 
 def _search_groups(k: int, batches):
@@ -185,7 +201,7 @@ def top_k(
         place(F.pmod("uid", F.lit(groups)), F.col("_s")).alias("part"), F.lit(0).alias("kind"), "id", "uid", "copies", "v", "d")
     candidates = ready.withColumn("_g", every(groups)).select(
         place(F.col("_g"), F.pmod(F.shiftright("uid", 20), F.lit(shards))).alias("part"), F.lit(1).alias("kind"), "id", "uid", "copies", "v", "d")
-    dealt = queries.union(candidates).repartition(min(groups * shards, 100_000), "part").sortWithinPartitions("part", "kind")
+    dealt = queries.union(candidates).repartitionByRange(min(groups * shards, 100_000), "part").sortWithinPartitions("part", "kind")
     found = dealt.mapInArrow(partial(_search_groups, k), "query_id long, uid long, times long, vec_id long, score long")
     order = Window.partitionBy("query_id", "uid").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
