@@ -12,8 +12,9 @@ A byte goes if a string of ``length`` bytes that covers it also starts anywhere
    first and last row of each run. Only at samples are suffixes compared with their neighbours; the
    matching statistics of all other places follow in one stream through the text, since they fall
    by one from place to place. Windows whose statistic reaches ``length`` are marked.
-4. Groups with more than ``most`` runs are not indexed: their windows are hashed one by one (128 bits)
-   and counted with map-side sums, which marks the same windows.
+4. Groups with more than ``most`` runs are cut before they are indexed: the windows of a half (by
+   their start against the anchor) all cover a core of bytes, so only runs that agree on the core
+   stay together. Halves are cut again until a group is small, or is one repeated string.
 
 Null and empty texts have no bytes, texts shorter than ``length`` no windows. Rows are documents:
 repeated rows repeat each other, also with one doc_id. Matches never cross documents.
@@ -21,7 +22,7 @@ repeated rows repeat each other, also with one doc_id. Matches never cross docum
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 from itertools import islice
 
 import numpy as np
@@ -37,6 +38,8 @@ GRAM = 64
 BLOCK = 1 << 18  # bytes hashed at once
 INDEX = 1 << 20  # bytes in one index
 FLUSH = 500  # rows worked on at once
+CROWDED = ["doc_id", "hash", "anchor", "alone", "start", "place", "low", "high", "bytes"]
+_CROWDED_TYPES = "doc_id long, hash int, anchor long, alone boolean, start long, place int, low int, high int, bytes binary"
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -205,7 +208,7 @@ def matching_statistics(strings: list[bytes]) -> np.ndarray:
 
 
 def _mark(length: int, batches):
-    """Marked windows of the contexts that occur once; rows arrive grouped by anchor."""
+    """Marked windows of the contexts that occur once; rows arrive grouped."""
     held: list[tuple] = []
     size = 0
 
@@ -228,30 +231,64 @@ def _mark(length: int, batches):
 
     last = None
     for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in ("anchor", "doc_id", "hash", "alone", "start", "bytes")]
-        for anchor, *row in zip(*columns):
-            if size > INDEX and anchor != last:
+        columns = [batch.column(n).to_pylist() for n in ("group", "doc_id", "hash", "alone", "start", "bytes")]
+        for group, *row in zip(*columns):
+            if size > INDEX and group != last:
                 yield from index()
                 held, size = [], 0
             held.append(tuple(row))
             size += len(row[-1])
-            last = anchor
+            last = group
     yield from index()
 
 
-def _window_hashes(length: int, batches):
-    names = ["doc_id", "hash", "anchor", "alone", "start", "key"]
+def _anchor_place(text: bytes, length: int) -> int:
+    """Place of the anchor of the first window."""
+    h = gram_hashes(np.frombuffer(text, np.uint8)[:length])
+    return int(((h & _HIGH) | np.arange(len(h), dtype=np.uint64)).argmin())
+
+
+def _halves(length: int, batches):
+    """Cut the windows of each row by their start against the anchor, [low, high), in two halves.
+
+    All windows of a half cover a core of bytes; only rows that agree on it can share a window.
+    """
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
     for batch in batches:
         for first in range(0, batch.num_rows, FLUSH):
-            part = batch.slice(first, FLUSH)
-            texts = part.column("bytes").to_pylist()
-            count = np.array([len(t) - length + 1 for t in texts])
-            each = pa.array(np.repeat(np.arange(len(texts)), count))
-            start = np.concatenate([np.arange(a, a + n) for a, n in zip(part.column("start").to_pylist(), count.tolist())])
-            keys = [xxhash.xxh3_128_digest(t[i : i + length]) for t, n in zip(texts, count.tolist()) for i in range(n)]
-            yield pa.RecordBatch.from_arrays(
-                [*[part.column(c).take(each) for c in ("doc_id", "hash", "anchor", "alone")], pa.array(start), pa.array(keys, pa.binary())],
-                names=names)
+            out: list[tuple] = []
+            for row in zip(*[batch.slice(first, FLUSH).column(c).to_pylist() for c in CROWDED]):
+                doc, hash_, anchor, alone, start, place, low, high, text = row
+                place = _anchor_place(text, length) if place is None else place
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle, high)):
+                    one, end = max(a, -place), min(b, len(text) - length + 1 - place)
+                    if one < end:
+                        core = xxhash.xxh3_128_digest(text[b - 1 + place : a + length + place])
+                        part = text[one + place : end - 1 + length + place]
+                        out.append((doc, hash_, anchor, alone, start + one + place, -one, a, b, part, core))
+            columns = list(zip(*out)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[*CROWDED, "core"])
+
+
+def _split_crowded(rows: DataFrame, length: int, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(groups of up to ``most`` rows to index, marked windows) of the runs of crowded anchors.
+
+    Halves are grouped by anchor, half and core. Groups of one vanish, small ones are indexed, and
+    the others are cut again, down to halves of one window, where a group is one repeated string.
+    """
+    whole = [F.lit(None).cast("int").alias("place"), F.lit(GRAM - length).alias("low"), F.lit(1).alias("high")]
+    rows = rows.select("doc_id", "hash", "anchor", "alone", "start", *whole, "bytes")
+    small, marked, by = [], [], ["anchor", "low", "high", "core"]
+    while not rows.isEmpty():
+        halves = stored(rows.mapInArrow(partial(_halves, length), f"{_CROWDED_TYPES}, core binary"), "repeat-halves")
+        sizes = stored(halves.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeat-sizes")
+        shared = stored(halves.join(sizes, by), "repeat-shared")
+        marked.append(shared.where("high - low = 1 and alone").select("doc_id", "hash", "start", F.lit(1).alias("windows")))
+        small.append(shared.where((F.col("high") - F.col("low") > 1) & (F.col("n") <= most)).select(
+            F.xxhash64(*by).alias("group"), "doc_id", "hash", "alone", "start", "bytes"))
+        rows = shared.where((F.col("high") - F.col("low") > 1) & (F.col("n") > most)).select(*CROWDED)
+    return small, marked
 
 
 def repeated_windows(docs: DataFrame, length: int = 200, most: int = 1000, text: str = "text") -> DataFrame:
@@ -279,13 +316,11 @@ def repeated_windows(docs: DataFrame, length: int = 200, most: int = 1000, text:
     fetched = stored(with_packed(source, wanted, "inner").mapInArrow(
         partial(_contexts, length), "doc_id long, hash int, anchor long, alone boolean, crowded boolean, start long, bytes binary"),
         "repeat-bytes")
-    grouped = fetched.where("not crowded").repartition("anchor").sortWithinPartitions("anchor")
-    marked = grouped.mapInArrow(partial(_mark, length), "doc_id long, hash int, start long, windows int")
-    hashed = fetched.where("crowded").mapInArrow(
-        partial(_window_hashes, length), "doc_id long, hash int, anchor long, alone boolean, start long, key binary")
-    often = stored(hashed.groupBy("anchor", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "key"), "repeat-keys")
-    counted = hashed.where("alone").join(often, ["anchor", "key"]).select("doc_id", "hash", "start", F.lit(1).alias("windows"))
-    return whole.unionByName(marked).unionByName(counted)
+    small, marked = _split_crowded(fetched.where("crowded"), length, most)
+    groups = fetched.where("not crowded").select(F.col("anchor").alias("group"), "doc_id", "hash", "alone", "start", "bytes")
+    groups = reduce(DataFrame.unionByName, small, groups).repartition("group").sortWithinPartitions("group")
+    indexed = groups.mapInArrow(partial(_mark, length), "doc_id long, hash int, start long, windows int")
+    return reduce(DataFrame.unionByName, [indexed, *marked], whole)
 
 
 def with_packed(source: DataFrame, per_text: DataFrame, how: str) -> DataFrame:
