@@ -6,9 +6,8 @@ vector v a table masks the bits whose vector has an odd product with v. The vect
 ``radius`` differing bits leave some v orthogonal to them all, so every pair within the radius
 agrees on all bits of that table's mask: no pair is missed.
 
-Equal fingerprints are one node. A table's bucket of two gives its pair directly; a bucket of up to
-``most`` nodes is searched in one task, which gives a spanning forest of the links in it. The nodes
-of larger buckets go another exact way: two of them are within 2d bits of each other exactly if some
+Equal fingerprints are one node. A table's bucket of up to ``most`` nodes is searched in one task,
+which gives a spanning forest of the links in it. The nodes of larger buckets go another exact way: two of them are within 2d bits of each other exactly if some
 word is within d bits of both, so each is listed under its middle words and linked to the least node
 of each. Components follow from all links.
 
@@ -24,7 +23,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,33 +87,32 @@ def _forest(radius: int, batches):
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
-def _near(a: Column, b: Column, radius: int) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)) <= radius
-
-
 def links_in_buckets(nodes: DataFrame, radius: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """(links from buckets of up to ``most`` nodes, nodes of larger buckets)."""
+    """(links from buckets of up to ``most`` nodes, nodes of larger buckets).
+
+    Buckets are counted before their members meet. A bucket is the hash of table and masked bits;
+    two that share a hash only add candidates, as the bits of every pair are compared.
+    """
     masked = F.array(*[F.col("fingerprint").bitwiseAND(F.lit(m)) for m in covering_masks(radius)])
-    tables = nodes.select("fingerprint", F.posexplode(masked).alias("table", "key"))
-    sizes = stored(
-        tables.groupBy("table", "key").agg(
-            F.count(F.lit(1)).alias("n"), F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b")).where("n > 1"),
-        "simhash-buckets")
-    pairs = sizes.where("n = 2").where(_near(F.col("a"), F.col("b"), radius)).select("a", "b")
-    members = stored(tables.join(sizes.where("n > 2").select("table", "key", "n"), ["table", "key"]), "simhash-members")
-    lists = members.where(F.col("n") <= most).groupBy("table", "key").agg(F.collect_list("fingerprint").alias("members"))
+    tables = nodes.select("fingerprint", F.posexplode(masked).alias("table", "key")).select(
+        "fingerprint", F.xxhash64("table", "key").alias("bucket"))
+    sizes = stored(tables.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-buckets")
+    members = stored(tables.join(sizes.hint("merge"), "bucket"), "simhash-members")
+    lists = members.where(F.col("n") <= most).groupBy("bucket").agg(F.collect_list("fingerprint").alias("members"))
     forest = lists.select("members").mapInArrow(partial(_forest, radius), "a long, b long")
-    return pairs.unionByName(forest), members.where(F.col("n") > most).select("fingerprint").distinct()
+    return forest, members.where(F.col("n") > most).select("fingerprint").distinct()
 
 
 def links_by_middle(nodes: DataFrame, radius: int) -> DataFrame:
     """Links of nodes listed under all words within half the radius, which must be even."""
     if radius % 2:
         raise ValueError("an even radius is needed")
-    flips = "array(0L)"
+    listed = nodes.select("fingerprint", F.col("fingerprint").alias("middle"), F.lit(-1).alias("last"))
     for _ in range(radius // 2):
-        flips = f"array_distinct(flatten(transform({flips}, f -> concat(array(f), transform(sequence(0, {BITS - 1}), i -> f ^ shiftleft(1L, i))))))"
-    listed = nodes.select("fingerprint", F.explode(F.expr(f"transform({flips}, f -> f ^ fingerprint)")).alias("middle"))
+        # Flip one more bit beyond the last one, or none (64) from here on: every set of bits comes once.
+        more = f"if(last < {BITS - 1}, transform(sequence(last + 1, {BITS - 1}), i -> struct(middle ^ shiftleft(1L, i) AS middle, i AS last)), array())"
+        listed = listed.select("fingerprint", F.explode(F.expr(f"concat(array(struct(middle, {BITS} AS last)), {more})")).alias("x")).select(
+            "fingerprint", "x.middle", "x.last")
     least = stored(
         listed.groupBy("middle").agg(F.min("fingerprint").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"),
         "simhash-middles")
@@ -131,7 +129,10 @@ def near_duplicates(
     small = stored(add_columns(rest, text, {"fingerprint": T.LongType()}, partial(_fingerprints, width), ["doc_id"]), "simhash")
     nodes = stored(small.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
     direct, crowded = links_in_buckets(nodes, radius, most)
-    links = stored(direct.unionByName(links_by_middle(stored(crowded, "simhash-crowded"), radius)), "simhash-links")
+    crowded = stored(crowded, "simhash-crowded")
+    if not crowded.isEmpty():
+        direct = direct.unionByName(links_by_middle(crowded, radius))
+    links = stored(direct, "simhash-links")
     found = components(links)
     placed = nodes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
         "fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root"))
