@@ -294,13 +294,15 @@ def c19(spark, sf):
 
 
 _SHORT = ["AC", "CAG.CTG", "GATTC", "TTGACA"]
+_LENGTHS = sorted({len(w.split(".")[0]) for w in _SHORT})
 
 
 @query("c21_map_kmers_mixed", f"""WITH {X.SEQ}, listed AS (SELECT kmer, split_part(kmer, '.', 1) AS word FROM (VALUES {', '.join(f"('{w}')" for w in _SHORT)}) t(kmer)),
 target AS (SELECT kmer, word, '+' AS dir FROM listed UNION ALL SELECT kmer, {X.rc_sql('word')}, '-' FROM listed),
-places AS (SELECT gene, seq, unnest(generate_series(1, length(seq))) AS start FROM sequences)
+{', '.join(X.windows_sql(k, 'sequences', f'wins{k}') for k in _LENGTHS)},
+places AS ({' UNION ALL '.join(f'SELECT gene, start, word FROM wins{k}' for k in _LENGTHS)})
 SELECT gene, kmer, dir, count(*) AS n, sum(start)::BIGINT AS sum_start, max(start + length(word) - 1) AS last_end
-FROM places JOIN target ON substr(seq, start, length(word)) = word GROUP BY 1, 2, 3""")
+FROM places JOIN target USING (word) GROUP BY 1, 2, 3""")
 def c21_mixed(spark, sf):
     words = spark.createDataFrame([(w,) for w in _SHORT], "kmer string")
     return map_kmers(X.sequences(spark, sf), words).groupBy("gene", "kmer", "dir").agg(

@@ -15,7 +15,7 @@ QUICK = [
 def test_registry():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 90
-    without = {q for q in queries if q not in oracles}
+    without = {q for q in queries if q not in oracles and not q.startswith("op") and q != "pipeline"}
     assert all(q.split("_")[0] in {"f2", "m4", "m5", "m6", "m7", "m8", "m10", "m11", "w13", "w17", "w18", "w20"} for q in without)
 
 
