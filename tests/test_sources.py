@@ -59,6 +59,18 @@ def test_matrix_and_hits(spark, tmp_path):
     assert [tuple(r)[1:] for r in S.read_importance(spark, str(tmp_path)).collect()] == [("AAC", 0.5)]
 
 
+def test_distance_table_headers(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("note\nTF1\tTF2\n0.1\t0.2\n0.3\tnan\n")
+    got = sorted(map(tuple, S.read_distance_table(spark, str(tmp_path / "a.txt")).collect()))
+    assert got == [(0, "TF1", "0.1"), (0, "TF2", "0.2"), (1, "TF1", "0.3"), (1, "TF2", "nan")]
+    (tmp_path / "b.txt").write_text("0.1\t0.2\n0.3\t0.4\n")
+    names = spark.createDataFrame([(0, "A"), (1, "B")], "pos long, name string")
+    table = S.read_distance_table(spark, str(tmp_path / "b.txt"), names)
+    assert sorted(map(tuple, table.collect())) == [(0, "A", "0.1"), (0, "B", "0.2"), (1, "A", "0.3"), (1, "B", "0.4")]
+    rows = W.attach_names(table.withColumnRenamed("name", "column"), names).where("pos = 1")
+    assert {tuple(r) for r in rows.select("name", "column", "cell").collect()} == {("B", "A", "0.3"), ("B", "B", "0.4")}
+
+
 MOTIFS = """Log-odds matrix for Motif   0 ..tA (1)
 #        0         1
 #A     0.125     1.250
