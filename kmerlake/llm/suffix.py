@@ -14,7 +14,8 @@ A byte goes if a string of ``length`` bytes that covers it also starts anywhere
    by one from place to place. Windows whose statistic reaches ``length`` are marked.
 4. Groups with more than ``most`` runs are cut before they are indexed: the windows of a half (by
    their start against the anchor) all cover a core of bytes, so only runs that agree on the core
-   stay together. Halves are cut again until a group is small, or is one repeated string.
+   stay together. Equal parts are repeats as a whole; halves of others are cut again until a group
+   is small.
 
 Null and empty texts have no bytes, texts shorter than ``length`` no windows. Rows are documents:
 repeated rows repeat each other, also with one doc_id. Matches never cross documents.
@@ -253,7 +254,7 @@ def _halves(length: int, batches):
 
     All windows of a half cover a core of bytes; only rows that agree on it can share a window.
     """
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 3]
     for batch in batches:
         for first in range(0, batch.num_rows, FLUSH):
             out: list[tuple] = []
@@ -266,28 +267,34 @@ def _halves(length: int, batches):
                     if one < end:
                         core = xxhash.xxh3_128_digest(text[b - 1 + place : a + length + place])
                         part = text[one + place : end - 1 + length + place]
-                        out.append((doc, hash_, anchor, alone, start + one + place, -one, a, b, part, core))
+                        same = xxhash.xxh3_128_digest(part)
+                        out.append((doc, hash_, anchor, alone, start + one + place, -one, a, b, part, core, same))
             columns = list(zip(*out)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[*CROWDED, "core"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[*CROWDED, "core", "part"])
 
 
 def _split_crowded(rows: DataFrame, length: int, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """(groups of up to ``most`` rows to index, marked windows) of the runs of crowded anchors.
 
-    Halves are grouped by anchor, half and core. Groups of one vanish, small ones are indexed, and
-    the others are cut again, down to halves of one window, where a group is one repeated string.
+    Halves are grouped by anchor, half and core. Equal parts of a group are repeats as a whole and
+    go on as one row; groups of one part vanish, small ones are indexed, and the others are cut
+    again. A half of one window is its core, so the cutting ends there.
     """
     whole = [F.lit(None).cast("int").alias("place"), F.lit(GRAM - length).alias("low"), F.lit(1).alias("high")]
     rows = rows.select("doc_id", "hash", "anchor", "alone", "start", *whole, "bytes")
     small, marked, by = [], [], ["anchor", "low", "high", "core"]
     while not rows.isEmpty():
-        halves = stored(rows.mapInArrow(partial(_halves, length), f"{_CROWDED_TYPES}, core binary"), "repeat-halves")
-        sizes = stored(halves.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeat-sizes")
-        shared = stored(halves.join(sizes, by), "repeat-shared")
-        marked.append(shared.where("high - low = 1 and alone").select("doc_id", "hash", "start", F.lit(1).alias("windows")))
-        small.append(shared.where((F.col("high") - F.col("low") > 1) & (F.col("n") <= most)).select(
-            F.xxhash64(*by).alias("group"), "doc_id", "hash", "alone", "start", "bytes"))
-        rows = shared.where((F.col("high") - F.col("low") > 1) & (F.col("n") > most)).select(*CROWDED)
+        halves = stored(rows.mapInArrow(partial(_halves, length), f"{_CROWDED_TYPES}, core binary, part binary"), "repeat-halves")
+        parts = stored(halves.groupBy(*by, "part").agg(
+            F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "hash", "alone", "start", "place", "bytes")).alias("first")), "repeat-parts")
+        marked.append(halves.where("alone").join(parts.where("m > 1").select(*by, "part"), [*by, "part"]).select(
+            "doc_id", "hash", "start", (F.length("bytes") - length + 1).alias("windows")))
+        groups = stored(parts.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeat-groups")
+        open_ = stored(parts.join(groups, by).select(
+            *by, "n", "first.doc_id", "first.hash", (F.col("first.alone") & (F.col("m") == 1)).alias("alone"),
+            "first.start", "first.place", "first.bytes"), "repeat-open")
+        small.append(open_.where(F.col("n") <= most).select(F.xxhash64(*by).alias("group"), "doc_id", "hash", "alone", "start", "bytes"))
+        rows = open_.where(F.col("n") > most).select(*CROWDED)
     return small, marked
 
 
