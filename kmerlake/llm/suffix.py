@@ -55,11 +55,20 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+def _scramble(words: np.ndarray) -> np.ndarray:
+    """One-to-one, so that words that differ in any byte keep different values."""
+    x = words * _K[0]
+    x ^= x >> np.uint64(32)
+    x *= _K[3]
+    x ^= x >> np.uint64(29)
+    return x
+
+
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the GRAM bytes at each place of ``data`` (uint8)."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     h = np.ndarray(len(data) - 7, "<u8", padded, strides=(1,))
-    h, width = _mix(h, h), 8
+    h, width = _scramble(h), 8
     while width < GRAM:
         h, width = _mix(h[:-width], h[width:]), 2 * width
     return h

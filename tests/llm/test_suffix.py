@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from kmerlake.llm.suffix import matching_statistics, remove_repeats, runs_of, suffix_order
+from kmerlake.llm.suffix import gram_hashes, matching_statistics, remove_repeats, runs_of, suffix_order
 
 
 def longest(strings):
@@ -54,6 +54,14 @@ def test_equal_windows_have_equal_anchors():
     assert (found[0] == found[1]).all()
 
 
+def test_hashes_tell_single_bytes_apart():
+    rng = np.random.default_rng(9)
+    for place in range(64):
+        grams = np.repeat(rng.integers(0, 256, (1, 64), dtype=np.uint8), 256, axis=0)
+        grams[:, place] = np.arange(256)
+        assert len({int(gram_hashes(g)[0]) for g in grams}) == 256
+
+
 def brute(texts, length):
     data = [(t or "").encode() for t in texts]
     times = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
