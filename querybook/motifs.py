@@ -261,3 +261,25 @@ def w20(spark, sf):
     found = D.scan_motifs(X.sequences(spark, sf), logodds(spark, sf), FRACTION)
     return found.groupBy("motif_id", "dir").agg(
         F.count("*").alias("sites"), F.countDistinct("gene").alias("genes"), X.r6(F.max("score")).alias("best"))
+
+
+# The same as w15, w16 and w19 for whole motifs, which SQL cannot score.
+def motif_specificity(spark, sf):
+    return W.group_specificity(D.motif_genes(X.sequences(spark, sf), logodds(spark, sf), FRACTION), X.genes(spark, sf))
+
+
+@query("w20_group_specificity_motifs")
+def w20_specificity(spark, sf):
+    return r6(motif_specificity(spark, sf), "pvalue").select("motif_id", "hits", "overlap", "pvalue", X.log_p())
+
+
+@query("w20_top_motif_motifs")
+def w20_top(spark, sf):
+    rated = motif_specificity(spark, sf).join(label_clusters(spark, sf), "motif_id")
+    return W.top_motif(rated).withColumn("strength", F.round("strength", 4))
+
+
+@query("w20_missing_clusters_motifs")
+def w20_missing(spark, sf):
+    clusters = label_clusters(spark, sf)
+    return W.missing_clusters(clusters, W.top_motif(motif_specificity(spark, sf).join(clusters, "motif_id")))
