@@ -92,7 +92,9 @@ def runs_of(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     windows = np.diff(np.append(start, len(least)))
     wide = lambda at: _mix(h[at], h[at + GRAM])  # noqa: E731  hash of 2 * GRAM bytes
     last = start + windows + length - 1 - 2 * GRAM
-    context = _mix(_mix(wide(start), wide((start + last) // 2)), _mix(wide(last), windows.astype(np.uint64)))
+    context = windows.astype(np.uint64)
+    for step in range(0, 2 * length - GRAM, 2 * GRAM):  # no context has more bytes than 2 * length - GRAM
+        context = _mix(context, wide(np.minimum(start + step, last)))
     return start, windows, h[least[start]].view(np.int64), context.view(np.int64)
 
 

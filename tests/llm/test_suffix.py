@@ -101,3 +101,17 @@ def test_rows(spark, odd_docs):
     assert remove_repeats(odd_docs.limit(0)).count() == 0
     long = odd_docs.where("doc_id = 7").selectExpr("cast(null as long) as doc_id", "text")
     assert [len(r["kept"]) for r in remove_repeats(long.union(long)).collect()] == [0, 0]
+
+
+def test_context_hash_reads_every_byte():
+    from kmerlake.llm.suffix import runs_of
+
+    data = np.random.default_rng(9).integers(97, 123, 900).astype(np.uint8)
+    start, windows, anchor, context = runs_of(data, 300)
+    for at in range(len(data)):
+        other = data.copy()
+        other[at] = 65
+        places = {(s, w): c for s, w, c in zip(*(x.tolist() for x in (lambda r: (r[0], r[1], r[3]))(runs_of(other, 300))))}
+        for s, w, c in zip(start.tolist(), windows.tolist(), context.tolist()):
+            if (s, w) in places:
+                assert (places[s, w] != c) == (s <= at < s + w + 299)
