@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from kmerlake.llm import bpe, fertility, langid, mixing, pii, quality, simhash, suffix, topk, urls
+from kmerlake.llm import bpe, fertility, langid, mixing, phrases, pii, quality, simhash, suffix, topk, urls
 from kmerlake.llm.common import id_remainder, table, tokenizer_path
 
 QUERIES, ORACLES = {}, {}
@@ -134,3 +134,24 @@ def op8(spark, sf_dir):
     return found.select(
         "doc_id", *[F.size(listed([k])).cast("long").alias(f"n_{k}") for k in pii.BASE],
         F.sha2(words(listed(pii.BASE)).cast("binary"), 256).alias("base_sha256"), words(F.col("pii")).alias("spans"))
+
+
+@query("op12_phrase_collocations", """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i : i + m - 1], ' '))) AS phrase FROM w, range(1, 6) r(m)),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+s AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+i AS (SELECT lang, a, unnest(range(2, m)) AS k, w, m FROM s),
+h AS (SELECT lang, array_to_string(w[j : j + k - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(range(1, m - k + 2)) AS j FROM i) GROUP BY ALL),
+c AS (SELECT s.*, unnest(range(1, m)) AS k FROM s LEFT JOIN h USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+x AS (SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, n, ((1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a))::BIGINT AS score FROM c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1 :], ' ')
+  JOIN t ON t.lang = c.lang),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b
+QUALIFY rank <= 2000""")
+def op12(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
