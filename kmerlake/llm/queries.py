@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from kmerlake.llm import bpe, fertility, langid, mixing, phrases, pii, quality, simhash, suffix, topk, urls
+from kmerlake.llm import bpe, fertility, langid, mixing, phrases, pii, quality, simhash, suffix, topk, urls, whitening
 from kmerlake.llm.common import id_remainder, table, tokenizer_path
 
 QUERIES, ORACLES = {}, {}
@@ -155,3 +155,12 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 QUALIFY rank <= 2000""")
 def op12(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
+@query("op11_whitening")
+def op11(spark, sf_dir):
+    """``deviation`` is null where 64 bits do not hold it (some 400,000 vectors on); ``deviation_digits`` has it up to 38 digits."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=8, scale=1024.0, shift=100_000)
+    return found.select(
+        "vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error",
+        F.col("deviation").alias("deviation_digits"))
