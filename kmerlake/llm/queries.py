@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from kmerlake.llm import bpe, fertility, langid, mixing, phrases, pii, quality, simhash, suffix, topk, urls, whitening
+from kmerlake.llm import bpe, fertility, langid, mixing, phrases, pii, quality, simhash, suffix, topk, toxicity, urls, whitening
 from kmerlake.llm.common import id_remainder, table, tokenizer_path
 
 QUERIES, ORACLES = {}, {}
@@ -164,3 +164,10 @@ def op11(spark, sf_dir):
     return found.select(
         "vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error",
         F.col("deviation").alias("deviation_digits"))
+
+
+@query("op13_toxicity")
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", id_remainder(4) == 2)
+    model = toxicity.fit(docs.where("not held_out"), table(spark, sf_dir, "labels"), "toxic")
+    return toxicity.score(docs, model, keep=["doc_id", "held_out"])
