@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerlake.llm import bpe, jaccard, mixing, pii, quality
+from kmerlake.llm import bpe, mixing, pii, quality, simhash
 from kmerlake.llm.common import id_remainder, stored, table, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near-duplicates: words in a shingle and tenths of all shingles that two texts share at least.
-WIDTH, TENTHS = 5, 8
+#: Near-duplicates: words in a shingle and bits in which two linked fingerprints may differ.
+WIDTH, RADIUS = 4, 4
 TARGET_ENTROPY, MAX_REPEATS = 0.9, 2.0
 
 
@@ -26,18 +26,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates, of rows with and without an id.
+    """One row of each group of near-duplicates by SimHash, of rows with and without an id.
 
     Rows are told apart by all their columns, not by their id. Of a group stays the least id that no other row has, else a row
-    without an id, else the least of the shared ids.
+    without an id, else the least of the shared ids: rows go to the operator under the struct that sorts this way.
     """
     keyed = docs.select(*COLUMNS, F.unhex(F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in COLUMNS]))).alias("_key"))
     ids = stored(keyed.select("_key", "doc_id").distinct(), "pipeline-ids")
     shared = stored(ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(2).alias("_rank")), "pipeline-shared")
-    ranked = ids.join(shared, "doc_id", "left").withColumn("_rank", F.coalesce("_rank", F.when(F.col("doc_id").isNull(), 1).otherwise(0)))
-    found = jaccard.near_copies(keyed, "_key", WIDTH, TENTHS)
-    least = ranked.join(found, "_key").groupBy("component").agg(F.min(F.struct("_rank", "doc_id", "_key")).alias("least"))
-    kept = stored(least.select("least._key"), "pipeline-kept")
+    ranked = keyed.select("_key", "doc_id", "text").join(shared, "doc_id", "left")
+    rank = F.coalesce("_rank", F.when(F.col("doc_id").isNull(), 1).otherwise(0)).alias("rank")
+    found = simhash.near_duplicates(ranked.select(F.struct(rank, "doc_id", "_key").alias("doc_id"), "text"), WIDTH, RADIUS, keep=["doc_id"])
+    kept = stored(found.where("doc_id = component_id").select("doc_id._key").distinct(), "pipeline-kept")
     return keyed.dropDuplicates(["_key"]).join(kept, "_key", "left_semi").select(*COLUMNS)
 
 
