@@ -7,13 +7,14 @@ import __spark_entry__ as entry
 import corpus_pipeline as P
 from check import connect, difference
 from kmerlake.llm.common import stored, table
+from kmerlake.llm.simhash import fingerprint
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_registry():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", ["op3_topk", "op6_url_filter", "op9_temperature_mixing"])
@@ -43,6 +44,28 @@ def test_stages(spark):
         assert stage(spark, empty, SF).count() == 0, name
 
 
+def test_near_dedup_against_all_pairs(spark):
+    docs = table(spark, SF, "documents")
+    rows = docs.collect()
+    marks = [fingerprint(r["text"], P.WIDTH) & (2**64 - 1) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (marks[i] ^ marks[j]).bit_count() <= P.RADIUS:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(find(i), []).append(r["doc_id"])
+    assert any(len(g) > 1 for g in groups.values())
+    assert sorted(r["doc_id"] for r in P.keep_one_of_each(spark, docs, SF).collect()) == sorted(min(g) for g in groups.values())
+
+
 def test_clean_documents_stay(spark):
     docs = table(spark, SF, "documents")
     good = table(spark, SF, "labels").where("quality = 1").select("doc_id")
