@@ -6,8 +6,9 @@ prefix's own total (occurrences without a counted next word are held under the e
 
 One pass over the texts for each length. A phrase can only be frequent if both phrases it has by leaving out its last or first word are; the pass of
 length m therefore counts only where a bitmap of a fixed size (``FILTER_BITS``, by hash of language and words) has both. The bitmap is a filter:
-two phrases with one bit only add work. A stripe is cut by the hash of its next words into as many segments as there are shuffle partitions, so that
-a prefix that everything follows, such as the empty one, is spread over all tasks.
+two phrases with one bit only add work. The stripe of the empty prefix and of each prefix said ``SPLIT`` times or more (a second bitmap) is cut by the
+hash of its next words into as many segments as there are shuffle partitions, so that it is spread over all tasks; other stripes have fewer
+elements than that.
 
 Words are folded (A-Z only) and cut from pieces between punctuation and line ends; null texts are empty, a null language is ``und``. Repeated rows
 count again. Ties are ordered by count and phrase. A table without frequent phrases gives no rows.
@@ -29,6 +30,8 @@ from kmerlake.llm.common import stored
 #: Words that a task turns into stripes at once; a longer text stands alone.
 WINDOW = 2_000_000
 FILTER_BITS = 25
+#: Occurrences of a prefix from which its stripe is cut into segments.
+SPLIT = 200_000
 LONGEST = 5
 NO_LANG = "und"
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
@@ -59,6 +62,11 @@ def _bit(hashes: np.ndarray) -> np.ndarray:
     return ((hashes ^ (hashes >> np.uint64(32))) * _ODD) >> np.uint64(64 - FILTER_BITS)
 
 
+def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bits = _bit(hashes)
+    return (bitmap[bits >> np.uint64(6)] >> (bits & np.uint64(63))) & np.uint64(1) > 0
+
+
 class _Numbers(dict):
     """Numbers of one language's words in a window; 0 is the mark."""
 
@@ -92,7 +100,7 @@ class _Window:
         return np.array([xxhash.xxh64_intdigest(w, seeds[k]) for w, k in zip(self.words, self.langs)], np.uint64)
 
     def pairs(self, length: int, passed: np.ndarray | None, hashes: np.ndarray):
-        """(numbers of the prefix's words, next word, count) of each distinct phrase, as arrays.
+        """(numbers of the prefix's words, hash of the prefix, next word, count) of each distinct phrase, as arrays.
 
         The next word is 0 for occurrences of the prefix that no phrase of ``length`` can follow.
         """
@@ -101,14 +109,13 @@ class _Window:
             counts = np.bincount(words, minlength=many)
             counts[0] = 0
             seen = np.flatnonzero(counts)
-            return [], seen, counts[seen]
+            return [], None, seen, counts[seen]
         size = max(len(words) - length + 2, 0)
         alive, held = words[:size] > 0, hashes[words[:size]]
         for j in range(1, length - 1):
             alive &= words[j : j + size] > 0
             held = _chain(held, hashes[words[j : j + size]])
-        bits = _bit(held)
-        alive &= (passed[bits >> np.uint64(6)] >> (bits & np.uint64(63))) & np.uint64(1) > 0
+        alive &= _marked(passed, held)
         at = np.flatnonzero(alive)
         going = np.append(alive[1:], False)[at]  # the next place starts a passed phrase too
         following = np.where(going, words[np.minimum(at + length - 1, len(words) - 1)], 0)
@@ -116,16 +123,19 @@ class _Window:
         for j in range(1, length - 1):
             _, prefix = np.unique(prefix * many + words[at + j], return_inverse=True)
         pair, first, counts = np.unique(prefix * many + following, return_index=True, return_counts=True)
-        return [words[at[first] + j] for j in range(length - 1)], pair % many, counts
+        return [words[at[first] + j] for j in range(length - 1)], held[at[first]], pair % many, counts
 
-    def stripes(self, length: int, passed: np.ndarray | None, segments: int):
+    def stripes(self, length: int, passed: np.ndarray | None, heavy: np.ndarray | None, segments: int):
         hashes = self.hashes()
-        prefix, following, counts = self.pairs(length, passed, hashes)
+        prefix, held, following, counts = self.pairs(length, passed, hashes)
         if not len(following):
             return
         lang_numbers = {k: i for i, k in enumerate(self.numbers)}
         lang = np.array([lang_numbers.get(k, 0) for k in self.langs])[prefix[0] if prefix else following]
-        segment = np.where(following > 0, hashes[following] % np.uint64(segments), 0).astype(np.int32)
+        cut = following > 0
+        if length > 1:
+            cut &= _marked(heavy, held) if heavy is not None else False
+        segment = np.where(cut, hashes[following] % np.uint64(segments), 0).astype(np.int32)
         order = np.lexsort([segment, *prefix[::-1], lang])
         keys = [k[order] for k in (lang, *prefix, segment)]
         starts = np.flatnonzero(np.append(True, reduce(np.logical_or, [k[1:] != k[:-1] for k in keys])))
@@ -145,17 +155,17 @@ class _Window:
                 names=["lang", "prefix", "segment", "words", "counts"])
 
 
-def _stripes(length: int, passed, segments: int, batches):
-    bitmap = None if passed is None else np.frombuffer(passed.value, np.uint64)
+def _stripes(length: int, passed, heavy, segments: int, batches):
+    passed, heavy = (None if b is None else np.frombuffer(b.value, np.uint64) for b in (passed, heavy))
     window = _Window()
     for batch in batches:
         for lang, text in zip(batch.column("lang"), batch.column("text")):
             window.add(lang.as_py(), text.as_py())
             if window.size >= WINDOW:
-                yield from window.stripes(length, bitmap, segments)
+                yield from window.stripes(length, passed, heavy, segments)
                 window = _Window()
     if window.size:
-        yield from window.stripes(length, bitmap, segments)
+        yield from window.stripes(length, passed, heavy, segments)
 
 
 def _merge(least: int, batches):
@@ -217,10 +227,10 @@ def phrase_filter(phrases: DataFrame) -> bytes:
     return bitmap.tobytes()
 
 
-def merged_stripes(texts: DataFrame, length: int, least: int, passed=None) -> DataFrame:
-    """Stripes of all prefixes of ``length`` - 1 words that ``passed`` lets through, in segments; next words from ``least`` on are listed."""
+def merged_stripes(texts: DataFrame, length: int, least: int, passed=None, heavy=None) -> DataFrame:
+    """Stripes of all prefixes of ``length`` - 1 words that ``passed`` lets through, those in ``heavy`` in segments; next words from ``least`` on are listed."""
     segments = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stripes = texts.mapInArrow(partial(_stripes, length, passed, segments), STRIPES)
+    stripes = texts.mapInArrow(partial(_stripes, length, passed, heavy, segments), STRIPES)
     met = stripes.repartition("lang", "prefix", "segment").sortWithinPartitions("lang", "prefix", "segment")
     binary = MERGED.replace("string", "binary")
     merged = met.mapInArrow(partial(_merge, least), binary)
@@ -250,15 +260,17 @@ def collocations(
     texts = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).cast("binary").alias("lang"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
-    levels, passed = [], None
+    levels, passed, heavy = [], None, None
     for length in range(1, longest + 1):
-        levels.append(stored(merged_stripes(texts, length, least, passed), f"stripes-{length}"))
-        if passed is not None:
-            passed.destroy()
+        levels.append(stored(merged_stripes(texts, length, least, passed, heavy), f"stripes-{length}"))
+        for bitmap in filter(None, (passed, heavy)):
+            bitmap.destroy()
         found = _entries(levels[-1])
         if length == longest or found.isEmpty():
             break
         passed = spark.sparkContext.broadcast(phrase_filter(found))
+        many = found.where(F.col("n") >= SPLIT)
+        heavy = None if many.isEmpty() else spark.sparkContext.broadcast(phrase_filter(many))
     union = lambda frames: reduce(DataFrame.unionByName, frames)
     whole = levels[0].groupBy("lang").agg(F.sum("total").alias("n"))
     if len(levels) == 1:

@@ -58,6 +58,7 @@ def random_rows(count, seed):
 @pytest.mark.parametrize("least,window", [(3, 50), (2, 2_000_000), (40, 500)])
 def test_against_brute_force(spark, monkeypatch, least, window):
     monkeypatch.setattr(phrases, "WINDOW", window)
+    monkeypatch.setattr(phrases, "SPLIT", window // 2)
     rows = random_rows(150, least)
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(5).withColumns({"phrase": F.lit(1), "words": F.lit("x"), "n": F.lit(2)})
     got = rows_of(phrases.collocations(docs, least=least))
