@@ -6,9 +6,9 @@ prefix's own total (occurrences without a counted next word are held under the e
 
 One pass over the texts for each length. A phrase can only be frequent if both phrases it has by leaving out its last or first word are; the pass of
 length m therefore counts only where a bitmap of a fixed size (``FILTER_BITS``, by hash of language and words) has both. The bitmap is a filter:
-two phrases with one bit only add work. The stripe of the empty prefix and of each prefix said ``SPLIT`` times or more (a second bitmap) is cut by the
-hash of its next words into as many segments as there are shuffle partitions, so that it is spread over all tasks; other stripes have fewer
-elements than that.
+two phrases with one bit only add work. Stripes travel in buckets, by the hash of the prefix, a row for each bucket of a window. The stripe of the
+empty prefix and of each prefix said ``SPLIT`` times or more (a second bitmap) is dealt over all buckets by the hash of its next words; other stripes
+have fewer elements than that. Buckets follow the shuffle partitions; a task merges one bucket at a time.
 
 Words are folded (A-Z only) and cut from pieces between punctuation and line ends; null texts are empty, a null language is ``und``. Repeated rows
 count again. Ties are ordered by count and phrase. A table without frequent phrases gives no rows.
@@ -20,7 +20,6 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +29,9 @@ from kmerlake.llm.common import stored
 #: Words that a task turns into stripes at once; a longer text stands alone.
 WINDOW = 2_000_000
 FILTER_BITS = 25
-#: Occurrences of a prefix from which its stripe is cut into segments.
+#: Occurrences of a prefix from which its stripe is dealt over all buckets.
 SPLIT = 200_000
+BUCKETS = 8  # for each shuffle partition
 LONGEST = 5
 NO_LANG = "und"
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
@@ -40,7 +40,8 @@ _FOLD = bytes.maketrans(_UPPER + _CUTS, _LOWER + b"\n" * len(_CUTS))
 _END = b"."  # free as a mark once the cuts are folded
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ROWS = 20_000
-STRIPES = "lang binary, prefix binary, segment int, words binary, counts array<long>"
+#: One bucket of a window: prefixes and words are joined by line ends; sizes (words of each prefix) and counts are packed numbers.
+STRIPES = "lang binary, bucket int, prefixes binary, sizes binary, words binary, counts binary"
 MERGED = "lang string, prefix string, total long, words array<string>, counts array<long>"
 
 
@@ -125,78 +126,79 @@ class _Window:
         pair, first, counts = np.unique(prefix * many + following, return_index=True, return_counts=True)
         return [words[at[first] + j] for j in range(length - 1)], held[at[first]], pair % many, counts
 
-    def stripes(self, length: int, passed: np.ndarray | None, heavy: np.ndarray | None, segments: int):
+    def stripes(self, length: int, passed: np.ndarray | None, heavy: np.ndarray | None, buckets: int):
         hashes = self.hashes()
         prefix, held, following, counts = self.pairs(length, passed, hashes)
         if not len(following):
             return
         lang_numbers = {k: i for i, k in enumerate(self.numbers)}
         lang = np.array([lang_numbers.get(k, 0) for k in self.langs])[prefix[0] if prefix else following]
-        cut = following > 0
-        if length > 1:
-            cut &= _marked(heavy, held) if heavy is not None else False
-        segment = np.where(cut, hashes[following] % np.uint64(segments), 0).astype(np.int32)
-        order = np.lexsort([segment, *prefix[::-1], lang])
-        keys = [k[order] for k in (lang, *prefix, segment)]
-        starts = np.flatnonzero(np.append(True, reduce(np.logical_or, [k[1:] != k[:-1] for k in keys])))
-        text, following, counts = pa.array(self.words, pa.binary()), following[order], counts[order]
-        langs = pa.array(list(self.numbers), pa.binary())
-        ends = np.append(starts[1:], len(order))
-        for a in range(0, len(starts), _ROWS):
-            some, last = starts[a : a + _ROWS], ends[min(a + _ROWS, len(starts)) - 1]
-            offsets = pa.array(np.append(some, last) - some[0], pa.int32())
-            rows = slice(some[0], last)
-            said = [text.take(pa.array(k[some])) for k in keys[1:-1]]
-            joined = pc.binary_join_element_wise(*said, pa.scalar(b" ", pa.binary())) if said else pa.array([b""] * len(some), pa.binary())
-            nexts = pc.binary_join(pa.ListArray.from_arrays(offsets, text.take(pa.array(following[rows]))), pa.scalar(b" ", pa.binary()))
-            yield pa.RecordBatch.from_arrays(
-                [langs.take(pa.array(keys[0][some])), joined, pa.array(keys[-1][some]), nexts,
-                 pa.ListArray.from_arrays(offsets, pa.array(counts[rows], pa.int64()))],
-                names=["lang", "prefix", "segment", "words", "counts"])
+        by = hashes[following] if held is None else held
+        if held is not None and heavy is not None:
+            by = np.where(_marked(heavy, held) & (following > 0), _chain(held, hashes[following]), held)
+        bucket = (by % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort([*prefix[::-1], bucket, lang])
+        keys = [k[order] for k in (lang, bucket, *prefix)]
+        changed = [k[1:] != k[:-1] for k in keys]
+        stripe_starts = np.flatnonzero(np.append(True, reduce(np.logical_or, changed)))
+        starts = np.flatnonzero(np.append(True, changed[0] | changed[1]))
+        sizes = np.diff(np.append(stripe_starts, len(order))).astype(np.int32)
+        text, following, counts = np.array(self.words, object), following[order], counts[order].astype(np.int64)
+        langs, rows = list(self.numbers), []
+        for at, end in zip(starts, np.append(starts[1:], len(order))):
+            first, last = np.searchsorted(stripe_starts, [at, end])
+            said = [text[k[stripe_starts[first:last]]].tolist() for k in keys[2:]]
+            prefixes = said[0] if len(said) == 1 else [b" ".join(p) for p in zip(*said)] if said else [b""]
+            rows.append((langs[keys[0][at]], int(keys[1][at]), b"\n".join(prefixes), sizes[first:last].tobytes(),
+                         b"\n".join(text[following[at:end]].tolist()), counts[at:end].tobytes()))
+        kinds = (pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["lang", "bucket", "prefixes", "sizes", "words", "counts"])
 
 
-def _stripes(length: int, passed, heavy, segments: int, batches):
+def _stripes(length: int, passed, heavy, buckets: int, batches):
     passed, heavy = (None if b is None else np.frombuffer(b.value, np.uint64) for b in (passed, heavy))
     window = _Window()
     for batch in batches:
         for lang, text in zip(batch.column("lang"), batch.column("text")):
             window.add(lang.as_py(), text.as_py())
             if window.size >= WINDOW:
-                yield from window.stripes(length, passed, heavy, segments)
+                yield from window.stripes(length, passed, heavy, buckets)
                 window = _Window()
     if window.size:
-        yield from window.stripes(length, passed, heavy, segments)
+        yield from window.stripes(length, passed, heavy, buckets)
 
 
 def _merge(least: int, batches):
-    """Stripes of one prefix and segment, which follow each other, added up element by element."""
-    key, stripe = None, {}
-    out: list[tuple] = []
+    """Stripes of one bucket, whose rows follow each other, added up element by element."""
+    key, stripes = None, {}
 
-    def close():
-        kept = sorted((w, n) for w, n in stripe.items() if n >= least and w)
-        out.append((key[0], key[1], sum(stripe.values()), [w for w, _ in kept], [n for _, n in kept]))
-
-    def batch_of(rows):
+    def merged():
         kinds = (pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-        names = ["lang", "prefix", "total", "words", "counts"]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        rows = []
+        for prefix, stripe in stripes.items():
+            kept = sorted((w, n) for w, n in stripe.items() if n >= least and w)
+            rows.append((key[0], prefix, sum(stripe.values()), [w for w, _ in kept], [n for _, n in kept]))
+        for a in range(0, len(rows), _ROWS):
+            columns = zip(*rows[a : a + _ROWS])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "prefix", "total", "words", "counts"])
 
     for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in ("lang", "prefix", "segment", "words", "counts")]
-        for lang, prefix, segment, words, counts in zip(*columns):
-            if (lang, prefix, segment) != key:
+        for i in range(batch.num_rows):
+            lang, bucket, prefixes, sizes, words, counts = (batch.column(n)[i].as_py() for n in batch.schema.names)
+            if (lang, bucket) != key:
                 if key is not None:
-                    close()
-                key, stripe = (lang, prefix, segment), {}
-                if len(out) >= _ROWS:
-                    yield batch_of(out)
-                    out.clear()
-            for word, n in zip(words.split(b" "), counts):
-                stripe[word] = stripe.get(word, 0) + n
+                    yield from merged()
+                key, stripes = (lang, bucket), {}
+            words, counts, at = words.split(b"\n"), np.frombuffer(counts, np.int64).tolist(), 0
+            for prefix, size in zip(prefixes.split(b"\n"), np.frombuffer(sizes, np.int32).tolist()):
+                stripe = stripes.setdefault(prefix, {})
+                for word, n in zip(words[at : at + size], counts[at : at + size]):
+                    stripe[word] = stripe.get(word, 0) + n
+                at += size
     if key is not None:
-        close()
-        yield batch_of(out)
+        yield from merged()
 
 
 def _phrase_bits(batches):
@@ -228,10 +230,10 @@ def phrase_filter(phrases: DataFrame) -> bytes:
 
 
 def merged_stripes(texts: DataFrame, length: int, least: int, passed=None, heavy=None) -> DataFrame:
-    """Stripes of all prefixes of ``length`` - 1 words that ``passed`` lets through, those in ``heavy`` in segments; next words from ``least`` on are listed."""
-    segments = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stripes = texts.mapInArrow(partial(_stripes, length, passed, heavy, segments), STRIPES)
-    met = stripes.repartition("lang", "prefix", "segment").sortWithinPartitions("lang", "prefix", "segment")
+    """Stripes of all prefixes of ``length`` - 1 words that ``passed`` lets through, those in ``heavy`` in several rows; next words from ``least`` on are listed."""
+    buckets = BUCKETS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stripes = texts.mapInArrow(partial(_stripes, length, passed, heavy, buckets), STRIPES)
+    met = stripes.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
     binary = MERGED.replace("string", "binary")
     merged = met.mapInArrow(partial(_merge, least), binary)
     return merged.select(
