@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kmerlake.functions.words import reverse_complement
+from kmerlake.operators.bitmaps import KEYS, held_units, met_bitmaps, open_bitmaps, pair_counts, unit_bitmaps
+from kmerlake.operators.universe import canonical_kmers, canonical_pairs, canonical_size, kmer_pairs, kmer_universe
 from kmerlake.operators.windows import words_in
 
-KEYS = ["gene", "class"]
-
 
 def _lengths(words: DataFrame, lengths: Iterable[int] | None) -> list[int]:
     """Lengths of the words: one row for each, read from the words unless the caller states them.
@@ -62,11 +62,20 @@ def _members(pairs: DataFrame) -> DataFrame:
         "token", F.element_at(parts, 1).alias("first"), F.element_at(parts, 2).alias("second"))
 
 
-def _both_members(units: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs whose two units are present: join on the first, semi-join on the second."""
-    first = units.select(*KEYS, F.col("token").alias("first"))
-    second = units.select(*KEYS, F.col("token").alias("second"))
-    return first.join(pairs, "first").join(second, [*KEYS, "second"], "left_semi").select(*KEYS, "token")
+def _word_lengths(words: DataFrame, lengths: Iterable[int] | None) -> list[int]:
+    return _lengths(words, lengths) or [1]
+
+
+def _opened(seqs: DataFrame, words: DataFrame, terms: DataFrame, lengths: Iterable[int] | None) -> DataFrame:
+    """Genes where the tokens' terms hold (``terms`` as in ``met_bitmaps``); ``words`` maps words to units."""
+    words = words.distinct()
+    held = held_units(seqs, words, _word_lengths(words, lengths))
+    return open_bitmaps(met_bitmaps(unit_bitmaps(held), terms), held)
+
+
+def _both_terms(members: DataFrame) -> DataFrame:
+    units = F.array_distinct(F.array("first", "second"))
+    return members.select("token", F.lit(0).alias("term"), F.size(units).alias("size"), F.explode(units).alias("unit")).distinct()
 
 
 def _unit_tokens(pairs: DataFrame) -> DataFrame:
@@ -76,7 +85,8 @@ def _unit_tokens(pairs: DataFrame) -> DataFrame:
 def presence_pair(seqs: DataFrame, pairs: DataFrame, lengths: Iterable[int] | None = None) -> DataFrame:
     """Both members present on the forward strand; ``pairs`` has tokens ``A B``."""
     members = _members(pairs)
-    return _both_members(presence_single(seqs, _unit_tokens(members), lengths), members)
+    words = _unit_tokens(members).select(F.col("token").alias("word"), F.col("token").alias("unit"))
+    return _opened(seqs, words, _both_terms(members), lengths)
 
 
 def presence_pair_stranded(
@@ -88,16 +98,31 @@ def presence_pair_stranded(
     """
     members = _members(pairs)
     if precedence == "strict":
-        return _both_members(presence_stranded(seqs, _unit_tokens(members), lengths), members)
-    second_words = _both_strands(F.col("second"))
-    reverse_second = F.element_at(second_words, -1)
-    alone = members.select("token", F.explode(F.array(_forward(F.col("first")), reverse_second)).alias("word"))
-    crossed = members.select(
-        "token", F.element_at(_both_strands(F.col("first")), -1).alias("first"),
-        _forward(F.col("second")).alias("second"))
-    words = _unit_tokens(crossed)
-    both = _both_members(presence_single(seqs, words, lengths), crossed)
-    return _presence(seqs, alone.distinct(), lengths).unionByName(both).distinct()
+        words = _unit_tokens(members).select(F.explode(_both_strands(F.col("token"))).alias("word"), F.col("token").alias("unit"))
+        return _opened(seqs, words, _both_terms(members), lengths)
+    second = _both_strands(F.col("second"))
+    terms = F.array(
+        F.array(_forward(F.col("first"))),
+        F.array_distinct(F.array(F.element_at(_both_strands(F.col("first")), -1), _forward(F.col("second")))),
+        F.array(F.element_at(second, -1)))
+    listed = members.select("token", F.posexplode(terms).alias("term", "units"))
+    terms = listed.select("token", "term", F.size("units").alias("size"), F.explode("units").alias("unit")).distinct()
+    return _opened(seqs, terms.select(F.col("unit").alias("word"), "unit"), terms, lengths)
+
+
+def pair_class_counts(seqs: DataFrame, k: int, stranded: bool = True) -> DataFrame:
+    """(token, pos_count, neg_count) of every pair of k-mers (strand classes with ``stranded``), pairs no gene holds with zeros."""
+    spark = seqs.sparkSession
+    if stranded:
+        units = canonical_kmers(spark, k)
+        words = units.select(F.explode(_both_strands(F.col("token"))).alias("word"), F.col("rank").cast("long").alias("unit")).distinct()
+        pairs, n = canonical_pairs(spark, k), canonical_size(k)
+    else:
+        words = kmer_universe(spark, k).select("word", F.col("idx").alias("unit"))
+        pairs, n = kmer_pairs(spark, k), 4**k
+    counts = pair_counts(held_units(seqs, words, [k]), n)
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return pairs.join(counts, ["i", "j"], "left").select("token", zero("pos_count"), zero("neg_count"))
 
 
 def pair_kinds(tokens: DataFrame) -> tuple[bool, bool]:
@@ -110,18 +135,15 @@ def pair_kinds(tokens: DataFrame) -> tuple[bool, bool]:
 def presence_matrix(seqs: DataFrame, tokens: DataFrame, lengths: Iterable[int] | None = None) -> DataFrame:
     """All token shapes at once: ``K`` forward, ``K.RC`` stranded, ``A B`` and ``A.RA B.RB`` pairs."""
     pair, strand = F.col("token").contains(" "), F.col("token").contains(".")
-    any_pairs, only_pairs = pair_kinds(tokens)
+    any_pairs, _ = pair_kinds(tokens)
     units = tokens.select(F.explode(F.split("token", " ")).alias("token")).distinct()
     words = units.select("token", F.explode(
         F.when(strand, _both_strands(F.col("token"))).otherwise(F.array("token"))).alias("word"))
-    present = _presence(seqs, words, lengths)
     if not any_pairs:
-        return present
-    both = _both_members(present, _members(tokens.where(pair)))
-    if only_pairs:
-        return both
-    single = present.join(tokens.where(~pair).select("token").distinct(), "token", "left_semi").select(*KEYS, "token")
-    return single.unionByName(both)
+        return _presence(seqs, words, lengths)
+    single = tokens.where(~pair).select("token", F.lit(0).alias("term"), F.lit(1).alias("size"), F.col("token").alias("unit")).distinct()
+    terms = _both_terms(_members(tokens.where(pair))).unionByName(single)
+    return _opened(seqs, words.withColumnRenamed("token", "unit"), terms, lengths)
 
 
 def with_structure(matrix: DataFrame, structure: DataFrame) -> DataFrame:

@@ -51,18 +51,18 @@ def _pair_indices(spark: SparkSession, n: int) -> DataFrame:
 
 
 def kmer_pairs(spark: SparkSession, k: int) -> DataFrame:
-    """(first, second, token): every unordered pair of distinct words, ``A B`` in universe order."""
+    """(i, j, first, second, token): every unordered pair of distinct words, ``A B`` in universe order."""
     pairs = _pair_indices(spark, 4**k).select(
-        word_from_index(F.col("i"), k).alias("first"), word_from_index(F.col("j"), k).alias("second"))
+        F.col("i").cast("long"), F.col("j").cast("long"), word_from_index(F.col("i"), k).alias("first"), word_from_index(F.col("j"), k).alias("second"))
     return pairs.withColumn("token", F.concat_ws(" ", "first", "second"))
 
 
 def canonical_pairs(spark: SparkSession, k: int) -> DataFrame:
-    """(first, second, token): every unordered pair of strand tokens, ``A.RA B.RB``."""
+    """(i, j, first, second, token): every unordered pair of strand tokens, ``A.RA B.RB``, with their ranks."""
     units = canonical_kmers(spark, k)
     pairs = _pair_indices(spark, canonical_size(k))
     return (
         pairs.join(units.select(F.col("rank").alias("i"), F.col("token").alias("first")), "i")
         .join(units.select(F.col("rank").alias("j"), F.col("token").alias("second")), "j")
-        .select("first", "second", F.concat_ws(" ", "first", "second").alias("token"))
+        .select(F.col("i").cast("long"), F.col("j").cast("long"), "first", "second", F.concat_ws(" ", "first", "second").alias("token"))
     )

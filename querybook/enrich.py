@@ -12,6 +12,7 @@ from kmerlake.operators import universe as U
 from kmerlake.operators.windows import words_in
 from kmerlake.session import materialise
 from querybook import fixtures as X
+from querybook.words import canon_sql
 
 QUERIES, ORACLES = {}, {}
 K = 6
@@ -124,6 +125,33 @@ def e7_matrix(spark, sf):
     return E.enrich(X.sequences(spark, sf), tokens, 0.01, False, [4])[1]
 
 
+def _pair_tests(spark, sf):
+    return E.bh_adjust(E.fisher_greater(P.pair_class_counts(X.sequences(spark, sf), 4), sizes(spark, sf)))
+
+
+_PAIR_TESTS = f"""WITH {X.SEQ}, {canon_sql(4)}, {X.windows_sql(4)},
+present AS (SELECT DISTINCT gene, class, {X.token_sql('word')} AS word FROM (SELECT DISTINCT gene, class, word FROM wins)),
+held AS (SELECT p.gene, p.class, t.token FROM pairs t JOIN present p ON p.word = t.first JOIN present q ON q.gene = p.gene AND q.word = t.second),
+counts AS (SELECT t.token, count(*) FILTER (h.class = 1) AS pos_count, count(*) FILTER (h.class = 0) AS neg_count
+  FROM pairs t LEFT JOIN held h ON h.token = t.token GROUP BY 1),
+{X.tested_sql()}, {X.bh_sql()}, kept AS (SELECT * FROM adjusted WHERE padj <= 0.01)"""
+
+
+@query("e7_enrich_pairs", f"{_PAIR_TESTS} SELECT {COUNTED_SQL}, round(padj, 6) AS padj, {log_p_sql('ln_padj')} FROM kept")
+def e7_pairs(spark, sf):
+    """Pairs of strand classes that are enriched in the positives, all 9,180 of 4-mers tested."""
+    return E.filter_enriched(_pair_tests(spark, sf), 0.01, "padj").select(*COUNTED, X.r6(F.col("padj")).alias("padj"), log_p("ln_padj"))
+
+
+@query("e7_enrich_pairs_matrix", f"{_PAIR_TESTS} SELECT gene, class, count(*) AS n_tokens, min(token) AS first_token, max(token) AS last_token FROM held WHERE token IN (SELECT token FROM kept) GROUP BY 1, 2")
+def e7_pairs_matrix(spark, sf):
+    """Which genes hold the enriched pairs: only these are opened to rows."""
+    kept = materialise(E.filter_enriched(_pair_tests(spark, sf), 0.01, "padj").select("token"))
+    rows = P.presence_pair_stranded(X.sequences(spark, sf), kept, [4])
+    return rows.groupBy("gene", "class").agg(
+        F.count("*").alias("n_tokens"), F.min("token").alias("first_token"), F.max("token").alias("last_token"))
+
+
 def gc(spark, sf):
     share = F.length(F.regexp_replace("seq", "[AT]", "")) / F.length("seq")
     return X.sequences(spark, sf).where("seq <> ''").select("gene", "class", share.alias("gc"))

@@ -29,27 +29,36 @@ def k1(spark, sf):
     return U.kmer_universe(spark, 4).join(found, "word", "left").select("idx", "word", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-_PAIRS = f"""{X.universe_sql(2)},
+_PAIRS = f"""{X.universe_sql(4)},
 pairs AS (SELECT a.word AS first, b.word AS second, a.word || ' ' || b.word AS token FROM universe a JOIN universe b ON a.idx < b.idx)"""
-_CANON = f"""{X.universe_sql(2)},
+
+
+def canon_sql(k: int) -> str:
+    """Strand classes of k-mers and all their pairs."""
+    return f"""{X.universe_sql(k)},
 units AS (SELECT idx, word, {X.token_sql('word')} AS token FROM universe WHERE word = {X.canon_sql('word')}),
 pairs AS (SELECT a.token AS first, b.token AS second, a.word AS fa, b.word AS fb, a.token || ' ' || b.token AS token
   FROM units a JOIN units b ON a.idx < b.idx)"""
-_FWD = f"{X.windows_sql(2)}, present AS (SELECT DISTINCT gene, word FROM wins)"
-_HELD = "SELECT p.gene, t.token FROM pairs t JOIN present p ON p.word = t.first JOIN present q ON q.gene = p.gene AND q.word = t.second"
-_UNITS = f"{X.windows_sql(2)}, present AS (SELECT DISTINCT gene, {X.token_sql('word')} AS word FROM (SELECT DISTINCT gene, word FROM wins))"
 
 
-def _with_counts(pairs, held):
-    counts = held.groupBy("token").agg(F.count("*").alias("n_genes"))
-    return pairs.join(counts, "token", "left").select("token", F.coalesce("n_genes", F.lit(0)).alias("n_genes"))
+_CANON = canon_sql(4)
+_FWD = f"{X.windows_sql(4)}, present AS (SELECT DISTINCT gene, class, word FROM wins)"
+_HELD = "SELECT p.gene, p.class, t.token FROM pairs t JOIN present p ON p.word = t.first JOIN present q ON q.gene = p.gene AND q.word = t.second"
+_UNITS = f"{X.windows_sql(4)}, present AS (SELECT DISTINCT gene, class, {X.token_sql('word')} AS word FROM (SELECT DISTINCT gene, class, word FROM wins))"
+_BY_TOKEN = "token, count(*) AS n_genes, min(gene) AS first_gene, max(gene) AS last_gene, sum(gene)::BIGINT AS sum_genes"
+_COUNTED = """SELECT t.token, count(*) FILTER (h.class = 1) AS pos_count, count(*) FILTER (h.class = 0) AS neg_count
+FROM pairs t LEFT JOIN ({}) h ON h.token = t.token GROUP BY 1"""
+
+
+def _by_token(rows):
+    """The genes of each token in a few numbers."""
+    return rows.groupBy("token").agg(
+        F.count("*").alias("n_genes"), F.min("gene").alias("first_gene"), F.max("gene").alias("last_gene"), F.sum("gene").alias("sum_genes"))
 
 
-@query("k2_kmer_pairs", f"""WITH {X.SEQ}, {_PAIRS}, {_FWD}
-SELECT t.token, count(h.gene) AS n_genes FROM pairs t LEFT JOIN ({_HELD}) h ON h.token = t.token GROUP BY 1""")
+@query("k2_kmer_pairs", f"WITH {X.SEQ}, {_PAIRS}, {_FWD} {_COUNTED.format(_HELD)}")
 def k2(spark, sf):
-    pairs = U.kmer_pairs(spark, 2)
-    return _with_counts(pairs, P.presence_pair(X.sequences(spark, sf), pairs, [2]))
+    return P.pair_class_counts(X.sequences(spark, sf), 4, stranded=False)
 
 
 @query("k3_canonical_kmers", f"""WITH {X.SEQ}, {X.windows_sql(4)}, {X.universe_sql(4)},
@@ -63,11 +72,28 @@ def k3(spark, sf):
     return U.canonical_kmers(spark, 4).join(found, "token", "left").select("rank", "word", "token", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("k4_canonical_pairs", f"""WITH {X.SEQ}, {_CANON}, {_UNITS}
-SELECT t.token, count(h.gene) AS n_genes FROM pairs t LEFT JOIN ({_HELD}) h ON h.token = t.token GROUP BY 1""")
+@query("k4_canonical_pairs", f"WITH {X.SEQ}, {_CANON}, {_UNITS} {_COUNTED.format(_HELD)}")
 def k4(spark, sf):
-    pairs = U.canonical_pairs(spark, 2)
-    return _with_counts(pairs, P.presence_pair_stranded(X.sequences(spark, sf), pairs, [2]))
+    return P.pair_class_counts(X.sequences(spark, sf), 4)
+
+
+@query("k4_canonical_pairs_6", f"""WITH {X.SEQ}, {canon_sql(6)}, {X.windows_sql(6)},
+present AS (SELECT DISTINCT gene, class, idx FROM (SELECT DISTINCT gene, class, {X.token_sql('word')} AS token FROM (SELECT DISTINCT gene, class, word FROM wins)) JOIN units USING (token)),
+held AS (SELECT p.idx AS i, q.idx AS j, count(*) FILTER (p.class = 1) AS pos_count, count(*) FILTER (p.class = 0) AS neg_count
+  FROM present p JOIN present q ON q.gene = p.gene AND p.idx < q.idx GROUP BY 1, 2)
+SELECT a.token AS first, count(h.i) AS n_pairs, coalesce(sum(pos_count), 0)::BIGINT AS pos_sum, coalesce(sum(neg_count), 0)::BIGINT AS neg_sum,
+  coalesce(max(pos_count), 0)::BIGINT AS pos_max, coalesce(sum(pos_count * pos_count), 0)::BIGINT AS pos_squares
+FROM units a LEFT JOIN held h ON h.i = a.idx GROUP BY 1""")
+def k4_6(spark, sf):
+    """All 2,162,160 pairs of strand classes of 6-mers, told by their first member."""
+    counted = P.pair_class_counts(X.sequences(spark, sf), 6)
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias
+    told = counted.groupBy(F.substring_index("token", " ", 1).alias("first")).agg(
+        F.count_if(F.col("pos_count") + F.col("neg_count") > 0).alias("n_pairs"), F.sum("pos_count").alias("pos_sum"),
+        F.sum("neg_count").alias("neg_sum"), F.max("pos_count").alias("pos_max"), F.sum(F.col("pos_count") * F.col("pos_count")).alias("pos_squares"))
+    every = U.canonical_words(spark, 6).select(F.col("token").alias("first"))
+    return every.join(told, "first", "left").select(
+        "first", *[zero(F.col(c))(c) for c in ("n_pairs", "pos_sum", "neg_sum", "pos_max", "pos_squares")])
 
 
 @query("k5_reverse_complement", f"""WITH {X.SEQ}
@@ -97,23 +123,23 @@ def p2(spark, sf):
     return P.presence_stranded(X.sequences(spark, sf), U.canonical_words(spark, 4), [4]).select("gene", "token")
 
 
-@query("p3_presence_pair", f"WITH {X.SEQ}, {_PAIRS}, {_FWD} {_HELD}")
+@query("p3_presence_pair", f"WITH {X.SEQ}, {_PAIRS}, {_FWD} SELECT {_BY_TOKEN} FROM ({_HELD}) GROUP BY 1")
 def p3(spark, sf):
-    return P.presence_pair(X.sequences(spark, sf), U.kmer_pairs(spark, 2), [2]).select("gene", "token")
+    return _by_token(P.presence_pair(X.sequences(spark, sf), U.kmer_pairs(spark, 4), [4]))
 
 
-@query("p4_presence_pair_stranded", f"WITH {X.SEQ}, {_CANON}, {_UNITS} {_HELD}")
+@query("p4_presence_pair_stranded", f"WITH {X.SEQ}, {_CANON}, {_UNITS} SELECT {_BY_TOKEN} FROM ({_HELD}) GROUP BY 1")
 def p4(spark, sf):
-    return P.presence_pair_stranded(X.sequences(spark, sf), U.canonical_pairs(spark, 2), [2]).select("gene", "token")
+    return _by_token(P.presence_pair_stranded(X.sequences(spark, sf), U.canonical_pairs(spark, 4), [4]))
 
 
-@query("p4_presence_pair_stranded_literal", f"""WITH {X.SEQ}, {_CANON}, {X.windows_sql(2)},
+@query("p4_presence_pair_stranded_literal", f"""WITH {X.SEQ}, {canon_sql(3)}, {X.windows_sql(3)},
 sets AS (SELECT gene, list(DISTINCT word) AS ws FROM wins GROUP BY 1)
-SELECT gene, token FROM sets, pairs WHERE list_contains(ws, fa)
-  OR (list_contains(ws, {X.rc_sql('fa')}) AND list_contains(ws, fb)) OR list_contains(ws, {X.rc_sql('fb')})""")
+SELECT {_BY_TOKEN} FROM sets, pairs WHERE list_contains(ws, fa)
+  OR (list_contains(ws, {X.rc_sql('fa')}) AND list_contains(ws, fb)) OR list_contains(ws, {X.rc_sql('fb')}) GROUP BY 1""")
 def p4_literal(spark, sf):
-    return P.presence_pair_stranded(
-        X.sequences(spark, sf), U.canonical_pairs(spark, 2), [2], precedence="literal").select("gene", "token")
+    return _by_token(P.presence_pair_stranded(
+        X.sequences(spark, sf), U.canonical_pairs(spark, 3), [3], precedence="literal"))
 
 
 @query("p5_with_structure", f"""WITH {X.SEQ}, {X.stranded_sql(4)}
@@ -127,19 +153,19 @@ def p5(spark, sf):
     return P.with_structure(matrix, structure)
 
 
-@query("p6_presence_matrix", f"""WITH {X.SEQ}, {_CANON}, {X.windows_sql(2, 'sequences')},
+@query("p6_presence_matrix", f"""WITH {X.SEQ}, {canon_sql(3)}, {X.windows_sql(3, 'sequences')},
 fwd AS (SELECT DISTINCT gene, class, word FROM wins),
 both2 AS (SELECT DISTINCT gene, class, {X.token_sql('word')} AS word FROM fwd),
 fpairs AS (SELECT a.word AS first, b.word AS second, a.word || ' ' || b.word AS token FROM universe a JOIN universe b ON a.idx < b.idx)
-SELECT gene, class, word AS token FROM fwd
+SELECT {_BY_TOKEN} FROM (SELECT gene, class, word AS token FROM fwd
 UNION ALL SELECT gene, class, word FROM both2
 UNION ALL SELECT p.gene, p.class, t.token FROM fpairs t JOIN fwd p ON p.word = t.first JOIN fwd q ON q.gene = p.gene AND q.word = t.second
-UNION ALL SELECT p.gene, p.class, t.token FROM pairs t JOIN both2 p ON p.word = t.first JOIN both2 q ON q.gene = p.gene AND q.word = t.second""")
+UNION ALL SELECT p.gene, p.class, t.token FROM pairs t JOIN both2 p ON p.word = t.first JOIN both2 q ON q.gene = p.gene AND q.word = t.second) GROUP BY 1""")
 def p6(spark, sf):
-    tokens = U.kmer_universe(spark, 2).select(F.col("word").alias("token"))
-    for more in (U.canonical_words(spark, 2), U.kmer_pairs(spark, 2), U.canonical_pairs(spark, 2)):
+    tokens = U.kmer_universe(spark, 3).select(F.col("word").alias("token"))
+    for more in (U.canonical_words(spark, 3), U.kmer_pairs(spark, 3), U.canonical_pairs(spark, 3)):
         tokens = tokens.unionByName(more.select("token"))
-    return P.presence_matrix(X.sequences(spark, sf), tokens, [2])
+    return _by_token(P.presence_matrix(X.sequences(spark, sf), tokens, [3]))
 
 
 @query("p7_feature_subset", f"""WITH {X.SEQ}, {X.stranded_sql(4)}, {X.counts_sql()}
