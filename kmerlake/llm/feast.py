@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bunch and Parlett's bound: a diagonal pivot is taken if it is this share of the largest entry beside the diagonal.
+#: The largest diagonal entry is a pivot if it is this share of the largest entry beside it in its column; else two rows are.
 _PIVOT = (1 + 17**0.5) / 8
 _POINTS = 8
 _ROUNDS = 30
@@ -21,22 +21,37 @@ _ROUNDS = 30
 def count_above(matrix: np.ndarray, shift: float) -> int:
     """Eigenvalues above ``shift``: the positive part of the inertia of the shifted matrix."""
     a = np.array(matrix, np.float64) - shift * np.eye(len(matrix))
-    positive = 0
-    while len(a):
-        diagonal = np.abs(np.diagonal(a))
-        beside = np.abs(a - np.diag(np.diagonal(a)))
-        i, largest = int(np.argmax(diagonal)), float(beside.max(initial=0.0))
-        if diagonal[i] == 0.0 and largest == 0.0:
-            break  # only zeros are left
-        if diagonal[i] >= _PIVOT * largest:
-            positive += int(a[i, i] > 0)
-            gone = [i]
-        else:  # a pivot of order two has one eigenvalue of each sign
-            gone = list(np.unravel_index(int(np.argmax(beside)), a.shape))
-            positive += 1
-        rest = np.delete(np.arange(len(a)), gone)
-        side = a[np.ix_(rest, gone)]
-        a = a[np.ix_(rest, rest)] - side @ np.linalg.solve(a[np.ix_(gone, gone)], side.T)
+    positive, left = 0, len(a)
+
+    def last(i: int, to: int) -> None:
+        if i != to:
+            a[[i, to], :left] = a[[to, i], :left]
+            a[:left, [i, to]] = a[:left, [to, i]]
+
+    while left:
+        i = int(np.argmax(np.abs(np.diagonal(a)[:left])))
+        beside = np.abs(a[:left, i])
+        beside[i] = 0.0
+        other, value = int(np.argmax(beside)), a[i, i]
+        if abs(value) >= _PIVOT * beside[other]:
+            if value == 0.0:  # the largest diagonal entry and its column are zero: so is the diagonal
+                if not a[:left, :left].any():
+                    break
+                i, other = (int(k) for k in np.unravel_index(int(np.argmax(np.abs(a[:left, :left]))), (left, left)))
+            else:
+                positive += int(value > 0)
+                last(i, left - 1)
+                left -= 1
+                side = a[:left, left].copy()
+                a[:left, :left] -= np.outer(side, side / a[left, left])
+                continue
+        # A pivot of order two has one eigenvalue of each sign, as no diagonal entry is larger than the one left aside.
+        positive += 1
+        last(max(i, other), left - 1)
+        last(min(i, other), left - 2)
+        left -= 2
+        side = a[:left, left : left + 2].copy()
+        a[:left, :left] -= side @ np.linalg.solve(a[left : left + 2, left : left + 2], side.T)
     return positive
 
 
@@ -45,41 +60,48 @@ def _bound(matrix: np.ndarray) -> float:
     return float(np.abs(matrix).sum(axis=1).max(initial=0.0)) * (1 + 1e-9)
 
 
-def _below(matrix: np.ndarray, wanted: int, low: float, high: float) -> float:
-    """A shift with at least ``wanted`` eigenvalues above it, nearly the highest one; ``low`` is such a shift."""
-    for _ in range(40):
+def _next_value(matrix: np.ndarray, above: int, low: float, high: float, step: float) -> tuple[float, float] | None:
+    """Bounds, at most ``step`` apart, of the largest eigenvalue with ``above`` others above it; none below ``low``."""
+    if count_above(matrix, low) <= above:
+        return None
+    while high - low > step:
         middle = (low + high) / 2
-        above = count_above(matrix, middle)
-        if above >= wanted:
+        if count_above(matrix, middle) > above:
             low = middle
-            if above <= wanted + 2:
-                break
         else:
             high = middle
-        if high - low <= 1e-9 * abs(high):
-            break
-    return low
+    return low, high
 
 
-def intervals(matrix: np.ndarray, wanted: int, most: int) -> list[tuple[float, float, int]]:
+def intervals(matrix: np.ndarray, wanted: int) -> list[tuple[float, float, int]]:
     """(low, high, eigenvalues inside) from the top down, together ``wanted`` eigenvalues or more.
 
-    An interval with more than ``most`` is halved, unless it is too narrow for that: eigenvalues that lie so close stay together.
+    Eigenvalues are located by inertia to a millionth of the norm; those that lie closer than three such steps share an interval.
+    It reaches half-way into the gaps to its neighbours, so the contour keeps away from all eigenvalues.
     """
     top = _bound(matrix)
-    low = _below(matrix, min(wanted, len(matrix)), -top - 1.0, top)
-    todo, out = [(low, top, count_above(matrix, low))], []
-    while todo:
-        a, b, inside = todo.pop()
-        if inside == 0:
-            continue
-        if inside > most and b - a > 1e-6 * top:
-            middle = (a + b) / 2
-            upper = count_above(matrix, middle) - count_above(matrix, b)
-            todo += [(a, middle, inside - upper), (middle, b, upper)]
-        else:
-            out.append((a, b, inside))
-    return sorted(out, reverse=True)
+    bottom, step = -top - 1.0, 1e-6 * top
+    groups, found, high = [], 0, top
+    while found < len(matrix):
+        bounds = _next_value(matrix, found, bottom, high, step)
+        if bounds is None:
+            break
+        low, above = bounds
+        inside = count_above(matrix, low)
+        while (more := count_above(matrix, low - 3 * step)) > inside:
+            low, inside = low - 3 * step, more
+        groups.append((low, above, inside - found, found >= wanted))
+        if found >= wanted:
+            break  # only its place was needed
+        found, high = inside, low
+    out = []
+    for k, (low, above, inside, beyond) in enumerate(groups):
+        if beyond:
+            break
+        gaps = [g[0] - above for g in groups[k - 1 : k] if k] + [low - g[1] for g in groups[k + 1 : k + 2]]
+        reach = min(gaps, default=top) / 2
+        out.append((low - reach, above + reach, inside))
+    return out
 
 
 def _projected(matrix: np.ndarray, low: float, high: float, vectors: np.ndarray) -> np.ndarray:
@@ -98,7 +120,17 @@ def pairs_inside(matrix: np.ndarray, low: float, high: float, inside: int, seed:
     """The ``inside`` eigenpairs between ``low`` and ``high``, falling; an error if that many do not converge."""
     order, scale = len(matrix), max(_bound(matrix), 1e-300)
     width = min(order, inside + max(4, inside // 2))
-    vectors = np.random.default_rng(seed).standard_normal((order, width))
+    while True:
+        best = _converged(matrix, low, high, inside, np.random.default_rng(seed).standard_normal((order, width)), scale)
+        if best is not None:
+            return best[0][::-1], best[1][:, ::-1]
+        if width == order:
+            raise ArithmeticError(f"{inside} eigenvalues lie between {low} and {high}, but the contour did not give them")
+        width = min(order, 2 * width)  # too many eigenvalues lie just outside: a wider projection converges faster
+
+
+def _converged(matrix, low: float, high: float, inside: int, vectors: np.ndarray, scale: float):
+    """Rounds of projection until residuals no longer fall; None if they do not get small."""
     best = None
     for _ in range(_ROUNDS):
         basis, _ = np.linalg.qr(_projected(matrix, low, high, vectors))
@@ -114,18 +146,16 @@ def pairs_inside(matrix: np.ndarray, low: float, high: float, inside: int, seed:
                 best = (error, values[found], vectors[:, found])
             if error <= 1e-15 * scale:
                 break
-    if best is None or best[0] > 1e-9 * scale:
-        raise ArithmeticError(f"{inside} eigenvalues lie between {low} and {high}, but the contour did not give them")
-    return best[1][::-1], best[2][:, ::-1]
+    return None if best is None or best[0] > 1e-9 * scale else best[1:]
 
 
-def largest(matrix: np.ndarray, wanted: int, most: int = 12) -> tuple[np.ndarray, np.ndarray]:
+def largest(matrix: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``wanted`` largest eigenvalues, falling, and their unit eigenvectors as columns."""
     matrix = np.asarray(matrix, np.float64)
     wanted = min(wanted, len(matrix))
     if wanted == 0 or not matrix.any():
         return np.zeros(wanted), np.eye(len(matrix))[:, :wanted]
-    vectors = [pairs_inside(matrix, *interval)[1] for interval in intervals(matrix, wanted, most)]
+    vectors = [pairs_inside(matrix, *interval)[1] for interval in intervals(matrix, wanted)]
     # Vectors of neighbouring intervals are only orthogonal up to the gap between them: one more Rayleigh-Ritz step over all.
     basis, _ = np.linalg.qr(np.concatenate(vectors, axis=1))
     values, turn = np.linalg.eigh(basis.T @ matrix @ basis)
