@@ -4,7 +4,7 @@ A stripe belongs to a prefix, a phrase of m - 1 words, and counts the words that
 of words at a time; stripes of one prefix are merged element by element. A merged stripe gives the counts of the phrases that extend its prefix, the
 prefix's own total (occurrences without a counted next word are held under the empty word) and the largest extension, which decides what is subsumed.
 
-One pass over the texts for each length. A phrase can only be frequent if both phrases it has by leaving out its last or first word are; the pass of
+One pass over the texts for each length; from three words on over their runs of words that frequent pairs link, which are written once. A phrase can only be frequent if both phrases it has by leaving out its last or first word are; the pass of
 length m therefore counts only where a bitmap of a fixed size (``FILTER_BITS``, by hash of language and words) has both. The bitmap is a filter:
 two phrases with one bit only add work. Stripes travel in buckets, by the hash of the prefix, a row for each bucket of a window. The stripe of the
 empty prefix and of each prefix said ``SPLIT`` times or more (a second bitmap) is dealt over all buckets by the hash of its next words; other stripes
@@ -156,16 +156,45 @@ class _Window:
             [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["lang", "bucket", "prefixes", "sizes", "words", "counts"])
 
 
-def _stripes(length: int, passed, heavy, buckets: int, batches):
-    passed, heavy = (None if b is None else np.frombuffer(b.value, np.uint64) for b in (passed, heavy))
+    def runs(self, passed: np.ndarray):
+        """(language, text) of the maximal runs of words whose neighbours all are passed pairs, with a mark after each."""
+        words, hashes = np.concatenate(self.parts), self.hashes()
+        linked = (words[:-1] > 0) & (words[1:] > 0)
+        linked &= _marked(passed, _chain(hashes[words[:-1]], hashes[words[1:]]))
+        before, after = np.append(False, linked), np.append(linked, False)
+        at = np.flatnonzero(before | after)
+        shown = np.where(after[at], words[at], -words[at])  # the last word of a run, made negative
+        text, lang_numbers = np.array([_END, *self.words[1:]], object), {k: i for i, k in enumerate(self.numbers)}
+        lang = np.array([lang_numbers.get(k, 0) for k in self.langs])[words[at]]
+        for name, number in lang_numbers.items():
+            mine = shown[lang == number]
+            if len(mine):
+                ends = np.flatnonzero(mine < 0) + 1
+                yield name, b" ".join(text[np.insert(np.abs(mine), ends, 0)].tolist())
+
+
+def _windows(batches):
     window = _Window()
     for batch in batches:
         for lang, text in zip(batch.column("lang"), batch.column("text")):
             window.add(lang.as_py(), text.as_py())
             if window.size >= WINDOW:
-                yield from window.stripes(length, passed, heavy, buckets)
+                yield window
                 window = _Window()
     if window.size:
+        yield window
+
+
+def _runs(passed, batches):
+    bitmap = np.frombuffer(passed.value, np.uint64)
+    for window in _windows(batches):
+        rows = list(window.runs(bitmap))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], names=["lang", "text"])
+
+
+def _stripes(length: int, passed, heavy, buckets: int, batches):
+    passed, heavy = (None if b is None else np.frombuffer(b.value, np.uint64) for b in (passed, heavy))
+    for window in _windows(batches):
         yield from window.stripes(length, passed, heavy, buckets)
 
 
@@ -264,6 +293,8 @@ def collocations(
         F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     levels, passed, heavy = [], None, None
     for length in range(1, longest + 1):
+        if length == 3:
+            texts = stored(texts.mapInArrow(partial(_runs, passed), "lang binary, text binary"), "phrase-runs")
         levels.append(stored(merged_stripes(texts, length, least, passed, heavy), f"stripes-{length}"))
         for bitmap in filter(None, (passed, heavy)):
             bitmap.destroy()
