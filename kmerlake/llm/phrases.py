@@ -31,7 +31,7 @@ WINDOW = 2_000_000
 FILTER_BITS = 25
 #: Occurrences of a prefix from which its stripe is dealt over all buckets.
 SPLIT = 200_000
-BUCKETS = 8  # for each shuffle partition
+BUCKETS = 2  # for each shuffle partition
 LONGEST = 5
 NO_LANG = "und"
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
@@ -40,8 +40,9 @@ _FOLD = bytes.maketrans(_UPPER + _CUTS, _LOWER + b"\n" * len(_CUTS))
 _END = b"."  # free as a mark once the cuts are folded
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ROWS = 20_000
-#: One bucket of a window: prefixes and words are joined by line ends; sizes (words of each prefix) and counts are packed numbers.
-STRIPES = "lang binary, bucket int, prefixes binary, sizes binary, words binary, counts binary"
+#: One bucket of a window: prefixes (after the language in hexadecimal) and words are joined by line ends; sizes (words of each prefix) and
+#: counts are packed numbers.
+STRIPES = "bucket int, prefixes binary, sizes binary, words binary, counts binary"
 MERGED = "lang string, prefix string, total long, words array<string>, counts array<long>"
 
 
@@ -137,23 +138,24 @@ class _Window:
         if held is not None and heavy is not None:
             by = np.where(_marked(heavy, held) & (following > 0), _chain(held, hashes[following]), held)
         bucket = (by % np.uint64(buckets)).astype(np.int32)
-        order = np.lexsort([*prefix[::-1], bucket, lang])
-        keys = [k[order] for k in (lang, bucket, *prefix)]
+        order = np.lexsort([*prefix[::-1], lang, bucket])
+        keys = [k[order] for k in (bucket, lang, *prefix)]
         changed = [k[1:] != k[:-1] for k in keys]
         stripe_starts = np.flatnonzero(np.append(True, reduce(np.logical_or, changed)))
-        starts = np.flatnonzero(np.append(True, changed[0] | changed[1]))
+        starts = np.flatnonzero(np.append(True, changed[0]))
         sizes = np.diff(np.append(stripe_starts, len(order))).astype(np.int32)
         text, following, counts = np.array(self.words, object), following[order], counts[order].astype(np.int64)
-        langs, rows = list(self.numbers), []
+        langs, rows = [k.hex().encode() for k in self.numbers], []
         for at, end in zip(starts, np.append(starts[1:], len(order))):
             first, last = np.searchsorted(stripe_starts, [at, end])
-            said = [text[k[stripe_starts[first:last]]].tolist() for k in keys[2:]]
-            prefixes = said[0] if len(said) == 1 else [b" ".join(p) for p in zip(*said)] if said else [b""]
-            rows.append((langs[keys[0][at]], int(keys[1][at]), b"\n".join(prefixes), sizes[first:last].tobytes(),
+            stripes = stripe_starts[first:last]
+            said = [text[k[stripes]].tolist() for k in keys[2:]]
+            prefixes = [b" ".join(p) for p in zip([langs[k] for k in keys[1][stripes].tolist()], *said)]
+            rows.append((int(keys[0][at]), b"\n".join(prefixes), sizes[first:last].tobytes(),
                          b"\n".join(text[following[at:end]].tolist()), counts[at:end].tobytes()))
-        kinds = (pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["lang", "bucket", "prefixes", "sizes", "words", "counts"])
+            [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "prefixes", "sizes", "words", "counts"])
 
 
     def runs(self, passed: np.ndarray):
@@ -205,9 +207,10 @@ def _merge(least: int, batches):
     def merged():
         kinds = (pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
         rows = []
-        for prefix, stripe in stripes.items():
+        for said, stripe in stripes.items():
+            lang, _, prefix = said.partition(b" ")
             kept = sorted((w, n) for w, n in stripe.items() if n >= least and w)
-            rows.append((key[0], prefix, sum(stripe.values()), [w for w, _ in kept], [n for _, n in kept]))
+            rows.append((bytes.fromhex(lang.decode()), prefix, sum(stripe.values()), [w for w, _ in kept], [n for _, n in kept]))
         for a in range(0, len(rows), _ROWS):
             columns = zip(*rows[a : a + _ROWS])
             yield pa.RecordBatch.from_arrays(
@@ -215,11 +218,11 @@ def _merge(least: int, batches):
 
     for batch in batches:
         for i in range(batch.num_rows):
-            lang, bucket, prefixes, sizes, words, counts = (batch.column(n)[i].as_py() for n in batch.schema.names)
-            if (lang, bucket) != key:
+            bucket, prefixes, sizes, words, counts = (batch.column(n)[i].as_py() for n in batch.schema.names)
+            if bucket != key:
                 if key is not None:
                     yield from merged()
-                key, stripes = (lang, bucket), {}
+                key, stripes = bucket, {}
             words, counts, at = words.split(b"\n"), np.frombuffer(counts, np.int64).tolist(), 0
             for prefix, size in zip(prefixes.split(b"\n"), np.frombuffer(sizes, np.int32).tolist()):
                 stripe = stripes.setdefault(prefix, {})
@@ -262,7 +265,7 @@ def merged_stripes(texts: DataFrame, length: int, least: int, passed=None, heavy
     """Stripes of all prefixes of ``length`` - 1 words that ``passed`` lets through, those in ``heavy`` in several rows; next words from ``least`` on are listed."""
     buckets = BUCKETS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stripes = texts.mapInArrow(partial(_stripes, length, passed, heavy, buckets), STRIPES)
-    met = stripes.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
+    met = stripes.repartition("bucket").sortWithinPartitions("bucket")
     binary = MERGED.replace("string", "binary")
     merged = met.mapInArrow(partial(_merge, least), binary)
     return merged.select(
