@@ -16,7 +16,9 @@ QUERIES, ORACLES = {}, {}
 # Embedding motifs are far apart: the cut lies where some clusters form.
 HEIGHT = 0.25
 BITS = 0.12
-FRACTION = 0.75
+FRACTION = 0.9
+# Targets of the motifs: the documents in the language that has most of their sites; AT_LEAST is the -log10 p of a winner.
+TARGETS, AT_LEAST = "en", 1.0
 
 
 def query(name: str, sql: str | None = None):
@@ -185,44 +187,56 @@ def w14(spark, sf):
     return single.withColumn("part", F.lit("single")).unionByName(grouped.withColumn("part", F.lit("merge")))
 
 
-# A motif hits a gene where its core, the six adjacent positions with the most information, scores on either strand.
-CORE = 6
-_CORE = f"""summed AS (SELECT *, round(sum(bits) OVER (PARTITION BY motif_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {CORE - 1} FOLLOWING), 9) AS s
-  FROM (SELECT *, {_BITS} AS bits FROM probs)),
-begins AS (SELECT motif_id, min(pos) AS lo FROM (SELECT *, max(s) OVER (PARTITION BY motif_id) AS top FROM summed WHERE pos <= {X.WIDTH - CORE}) WHERE s = top GROUP BY 1),
-core AS (SELECT motif_id, pos - lo AS pos, {', '.join(f"log2({x} / {W.BACKGROUND[x]}::DOUBLE) AS {x}" for x in LETTERS)}
-  FROM probs JOIN begins USING (motif_id) WHERE pos BETWEEN lo AND lo + {CORE - 1}),
-least_score AS (SELECT motif_id, {FRACTION}::DOUBLE * sum(greatest(a, c, g, t)) - 1e-9::DOUBLE AS least_s FROM core GROUP BY 1),
-{X.universe_sql(CORE)},
-letters AS (SELECT word, pos, substr(word, pos::INTEGER + 1, 1) AS l FROM universe, range({CORE}) r(pos)),
-scores AS (SELECT motif_id, word, sum(CASE l WHEN 'A' THEN a WHEN 'C' THEN c WHEN 'G' THEN g ELSE t END) AS score FROM core JOIN letters USING (pos) GROUP BY 1, 2),
-good AS (SELECT motif_id, word, score, '+' AS dir FROM scores JOIN least_score USING (motif_id) WHERE score >= least_s),
-sites AS (SELECT * FROM good UNION ALL SELECT motif_id, {X.rc_sql('word')}, score, '-' FROM good)"""
-_SPEC = f"""WITH {X.PROBS}, {X.SEQ}, {X.windows_sql(CORE)}, {_CORE},
-hit AS (SELECT DISTINCT motif_id, gene, class FROM (SELECT DISTINCT gene, class, word FROM wins) JOIN (SELECT DISTINCT motif_id, word FROM sites) USING (word)),
-oc AS (SELECT motif_id, count(*) FILTER (class = 1) AS overlap, count(*) FILTER (class = 0) AS others FROM hit GROUP BY 1),
-spec AS (SELECT motif_id, overlap + others AS hits, overlap, {X.ln_fisher_sql('overlap', 'n_pos', 'others', 'n_neg')} AS ln_p FROM oc, sizes)"""
+# A window reaches a motif's limit only if each part of it leaves the limit within reach of the others: parts of 6, 5 and 5 positions.
+PARTS = [(0, 6), (6, 5), (11, 5)]
 
 
-def core_odds(spark, sf):
-    return W.probs_to_logodds(W.core(X.motif_probs(spark, sf), CORE))
+def _part_sql(n: int, start: int, size: int) -> str:
+    """Scores of all words at some positions of each motif, and the most they can be."""
+    return f"""{X.universe_sql(size, f'u{n}')},
+s{n} AS (SELECT motif_id, word, sum(CASE substr(word, pos - {start} + 1, 1) WHEN 'A' THEN a WHEN 'C' THEN c WHEN 'G' THEN g ELSE t END) AS s
+  FROM odds JOIN u{n} ON pos BETWEEN {start} AND {start + size - 1} GROUP BY 1, 2),
+m{n} AS (SELECT motif_id, max(s) AS m FROM s{n} GROUP BY 1)"""
 
 
-def core_genes(spark, sf):
-    return D.motif_genes(X.sequences(spark, sf), core_odds(spark, sf), FRACTION)
+_SITES = f"""odds AS (SELECT motif_id, pos::INTEGER AS pos, {', '.join(f"log2({x} / {W.BACKGROUND[x]}::DOUBLE) AS {x}" for x in LETTERS)} FROM probs),
+{', '.join(_part_sql(n, *part) for n, part in enumerate(PARTS))},
+least_score AS (SELECT motif_id, {FRACTION}::DOUBLE * (m0.m + m1.m + m2.m) - 1e-9::DOUBLE AS least_s, m1.m AS m1, m2.m AS m2
+  FROM m0 JOIN m1 USING (motif_id) JOIN m2 USING (motif_id)),
+seen AS (SELECT gene, class, word, count(*) AS n FROM wins GROUP BY 1, 2, 3),
+both2 AS (SELECT word, word AS text, '+' AS dir FROM (SELECT DISTINCT word FROM seen) UNION ALL SELECT {X.rc_sql('word')}, word, '-' FROM (SELECT DISTINCT word FROM seen)),
+p0 AS (SELECT motif_id, word, s, least_s, m2 FROM s0 JOIN least_score USING (motif_id) WHERE s + m1 + m2 >= least_s),
+c0 AS (SELECT motif_id, b.word, text, dir, s, least_s, m2 FROM both2 b JOIN p0 ON p0.word = substr(b.word, 1, 6)),
+c1 AS (SELECT c.motif_id, c.word, text, dir, c.s + s1.s AS s, least_s FROM c0 c JOIN s1 ON s1.motif_id = c.motif_id AND s1.word = substr(c.word, 7, 5) WHERE c.s + s1.s + m2 >= least_s),
+sites AS (SELECT c.motif_id, text AS word, dir, c.s + s2.s AS score FROM c1 c JOIN s2 ON s2.motif_id = c.motif_id AND s2.word = substr(c.word, 12, 5) WHERE c.s + s2.s >= least_s)"""
+_SPEC = f"""WITH {X.PROBS}, {X.SEQ}, {X.windows_sql(X.WIDTH)}, {_SITES},
+aims AS (SELECT doc_id AS gene, CASE WHEN lang = '{TARGETS}' THEN 1 ELSE 0 END AS aim FROM documents),
+aimed AS (SELECT count(*) FILTER (aim = 1) AS n_pos, count(*) FILTER (aim = 0) AS n_neg FROM aims),
+hit AS (SELECT DISTINCT motif_id, gene FROM seen JOIN (SELECT DISTINCT motif_id, word FROM sites) USING (word)),
+oc AS (SELECT motif_id, count(*) FILTER (aim = 1) AS overlap, count(*) FILTER (aim = 0) AS others FROM hit JOIN aims USING (gene) GROUP BY 1),
+spec AS (SELECT motif_id, overlap + others AS hits, overlap, {X.ln_fisher_sql('overlap', 'n_pos', 'others', 'n_neg')} AS ln_p FROM oc, aimed)"""
+
+
+def targets(spark, sf):
+    return X.table(spark, sf, "documents").select(F.col("doc_id").alias("gene"), F.when(F.col("lang") == TARGETS, 1).otherwise(0).alias("class"))
+
+
+def specificity(spark, sf):
+    """Whole motifs: genes hit on either strand at ``FRACTION`` of the motif's maximum, against the positives."""
+    return W.group_specificity(D.motif_genes(X.sequences(spark, sf), logodds(spark, sf), FRACTION), targets(spark, sf))
 
 
 @query("w15_group_specificity", f"{_SPEC} SELECT motif_id, hits, overlap, round(exp(ln_p), 6) AS pvalue, {X.log_p_sql()} FROM spec")
 def w15(spark, sf):
-    rated = W.group_specificity(core_genes(spark, sf), X.genes(spark, sf))
+    rated = specificity(spark, sf)
     return r6(rated, "pvalue").select("motif_id", "hits", "overlap", "pvalue", X.log_p())
 
 
 @query("w16_top_motif", f"""{_SPEC}, r AS (SELECT c.cluster, s.motif_id, -ln_p / ln(10.0::DOUBLE) AS strength FROM spec s JOIN ({_SIZES}) c USING (motif_id))
-SELECT cluster, motif_id, round(strength, 4) AS strength FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(strength, 9) DESC, motif_id) AS k FROM r) WHERE k = 1 AND strength >= 2""")
+SELECT cluster, motif_id, round(strength, 4) AS strength FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(strength, 9) DESC, motif_id) AS k FROM r) WHERE k = 1 AND strength >= {AT_LEAST}::DOUBLE""")
 def w16(spark, sf):
-    rated = W.group_specificity(core_genes(spark, sf), X.genes(spark, sf)).join(label_clusters(spark, sf), "motif_id")
-    return W.top_motif(rated).withColumn("strength", F.round("strength", 4))
+    rated = specificity(spark, sf).join(label_clusters(spark, sf), "motif_id")
+    return W.top_motif(rated, AT_LEAST).withColumn("strength", F.round("strength", 4))
 
 
 @query("w17_consensus_profile")
@@ -236,50 +250,20 @@ def w17(spark, sf):
 @query("w18_merge_motifs")
 def w18(spark, sf):
     sites = lambda odds: D.motif_genes(X.sequences(spark, sf), odds, FRACTION)
-    return r6(L.merge_motifs(X.motif_probs(spark, sf), X.genes(spark, sf), sites, HEIGHT, True, BITS), *LETTERS)
+    return r6(L.merge_motifs(X.motif_probs(spark, sf), targets(spark, sf), sites, HEIGHT, True, BITS), *LETTERS)
 
 
-@query("w19_missing_clusters", f"""{_SPEC}, c AS ({_SIZES}), done AS (SELECT cluster FROM c JOIN spec USING (motif_id) GROUP BY 1 HAVING max(-ln_p / ln(10.0::DOUBLE)) >= 2)
+@query("w19_missing_clusters", f"""{_SPEC}, c AS ({_SIZES}), done AS (SELECT cluster FROM c JOIN spec USING (motif_id) GROUP BY 1 HAVING max(-ln_p / ln(10.0::DOUBLE)) >= {AT_LEAST}::DOUBLE)
 SELECT DISTINCT cluster FROM c WHERE cluster NOT IN (SELECT cluster FROM done)""")
 def w19(spark, sf):
     clusters = label_clusters(spark, sf)
-    rated = W.group_specificity(core_genes(spark, sf), X.genes(spark, sf)).join(clusters, "motif_id")
-    return W.missing_clusters(clusters, W.top_motif(rated))
+    rated = specificity(spark, sf).join(clusters, "motif_id")
+    return W.missing_clusters(clusters, W.top_motif(rated, AT_LEAST))
 
 
-@query("w20_scan_cores", f"""WITH {X.PROBS}, {X.SEQ}, {X.windows_sql(CORE)}, {_CORE},
-seen AS (SELECT gene, word, count(*) AS n FROM wins GROUP BY 1, 2)
+@query("w20_scan_motifs", f"""WITH {X.PROBS}, {X.SEQ}, {X.windows_sql(X.WIDTH)}, {_SITES}
 SELECT motif_id, dir, sum(n)::BIGINT AS sites, count(DISTINCT gene) AS genes, round(max(score), 6) AS best FROM seen JOIN sites USING (word) GROUP BY 1, 2""")
-def w20_cores(spark, sf):
-    found = D.scan_motifs(X.sequences(spark, sf), core_odds(spark, sf), FRACTION)
-    return found.groupBy("motif_id", "dir").agg(
-        F.count("*").alias("sites"), F.countDistinct("gene").alias("genes"), X.r6(F.max("score")).alias("best"))
-
-
-@query("w20_scan_motifs")
 def w20(spark, sf):
     found = D.scan_motifs(X.sequences(spark, sf), logodds(spark, sf), FRACTION)
     return found.groupBy("motif_id", "dir").agg(
         F.count("*").alias("sites"), F.countDistinct("gene").alias("genes"), X.r6(F.max("score")).alias("best"))
-
-
-# The same as w15, w16 and w19 for whole motifs, which SQL cannot score.
-def motif_specificity(spark, sf):
-    return W.group_specificity(D.motif_genes(X.sequences(spark, sf), logodds(spark, sf), FRACTION), X.genes(spark, sf))
-
-
-@query("w20_group_specificity_motifs")
-def w20_specificity(spark, sf):
-    return r6(motif_specificity(spark, sf), "pvalue").select("motif_id", "hits", "overlap", "pvalue", X.log_p())
-
-
-@query("w20_top_motif_motifs")
-def w20_top(spark, sf):
-    rated = motif_specificity(spark, sf).join(label_clusters(spark, sf), "motif_id")
-    return W.top_motif(rated).withColumn("strength", F.round("strength", 4))
-
-
-@query("w20_missing_clusters_motifs")
-def w20_missing(spark, sf):
-    clusters = label_clusters(spark, sf)
-    return W.missing_clusters(clusters, W.top_motif(motif_specificity(spark, sf).join(clusters, "motif_id")))

@@ -12,9 +12,10 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_specificity_of_whole_motifs(spark, monkeypatch):
+    monkeypatch.setattr(M, "FRACTION", 0.7)  # with sites on the smallest tables
     few = M.logodds(spark, SF).where("motif_id < 4")
     monkeypatch.setattr(M, "logodds", lambda *_: few)
-    genes = {r["gene"]: r["class"] for r in X.genes(spark, SF).collect()}
+    genes = {r["gene"]: r["class"] for r in M.targets(spark, SF).collect()}
     seqs = {r["gene"]: r["seq"] for r in X.sequences(spark, SF).collect()}
     odds, hits = {}, {}
     for r in few.orderBy("motif_id", "pos").collect():
@@ -24,7 +25,7 @@ def test_specificity_of_whole_motifs(spark, monkeypatch):
         turned = [{x: r[y] for x, y in zip("ACGT", "TGCA")} for r in reversed(rows)]
         hits[m] = {g for g, s in seqs.items() if any(
             sum(r.get(x, -1e9) for r, x in zip(way, s[i : i + width])) >= least for way in (rows, turned) for i in range(len(s) - width + 1))}
-    got = {r["motif_id"]: r for r in entry.queries()["w20_group_specificity_motifs"](spark, SF).collect()}
+    got = {r["motif_id"]: r for r in entry.queries()["w15_group_specificity"](spark, SF).collect()}
     n, pos = len(genes), sum(genes.values())
     assert {m for m in hits if hits[m]} == set(got) and all(len(rows) == X.WIDTH for rows in odds.values())
     for m, r in got.items():
