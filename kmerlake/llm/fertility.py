@@ -13,6 +13,7 @@ without letters take the band ``other``. Repeated rows are judged alike.
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
 from functools import partial
 
@@ -141,8 +142,19 @@ def load_ranks(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), byte_ids
 
 
+#: Blanks in a row from which a text is cut into pieces here: the encoder's own matcher runs out of stack on much longer ones.
+_BLANKS = re.compile(r"\s{20000}")
+
+
+def encode(model: tiktoken.Encoding, pattern: regex.Pattern, text: str) -> list[int]:
+    if not _BLANKS.search(text):
+        return model.encode_ordinary(text)
+    return [i for piece in pattern.findall(text) for i in model._encode_single_piece(piece)]
+
+
 def _kernel(path: str, pattern: str, bands: dict):
     model, byte_ids = once(("ranks", path, pattern), lambda: load_ranks(path, pattern))
+    cut = regex.compile(pattern)
 
     def work(texts):
         rows = []
@@ -150,7 +162,7 @@ def _kernel(path: str, pattern: str, bands: dict):
             base = base_measures(text)
             text = text or ""
             script = band_script(text)
-            ids = np.array(model.encode_ordinary(text), np.int64)
+            ids = np.array(encode(model, cut, text), np.int64)
             fit = encoding_measures(ids, len(text), byte_ids)
             rows.append((*base, script, len(ids), *fit, not base[-1] and within(bands, script, fit)))
         return dict(zip(COLUMNS, zip(*rows))) if rows else {name: [] for name in COLUMNS}

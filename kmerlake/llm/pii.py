@@ -175,7 +175,9 @@ def accounts(text: str, anchors: list[int]):
             stop = at
             while stop < len(text) and stop - at < 20 and text[stop] in " \t:#.-=/":
                 stop += 1
-            word = _run(text, stop, ALNUM)
+            word = stop
+            while word < len(text) and word - stop <= 6 and text[word] in ALNUM:
+                word += 1  # a longer word is none of these; cues may follow each other without a gap
             if word > stop and text[stop:word].lower() in {"no", "nr", "number", "num", "nummer", "id"}:
                 at = word
                 continue

@@ -37,10 +37,10 @@ def reversed_host(host: Column) -> Column:
     return F.array_join(F.reverse(F.split(host, r"\.")), ".")
 
 
-def host_suffixes(host: Column) -> Column:
-    """The reversed forms of a host and of all domains above it; none that holds the end mark."""
+def host_suffixes(host: Column, deepest: int) -> Column:
+    """The reversed forms of a host and of the domains above it, of up to ``deepest`` labels; none that holds the end mark."""
     labels = F.reverse(F.split(host, r"\."))
-    each = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, 1, n), "."))
+    each = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest))), lambda n: F.array_join(F.slice(labels, 1, n), "."))
     return F.filter(each, lambda s: ~F.contains(s, F.lit(_END)))
 
 
@@ -86,7 +86,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     judged = without(pages.withColumns({"_host": host_of(address), "_path": path_of(address)}), NEW)
     chains = stored(rule_chains(rules), "url-rules")
     places = stored(judged.select("_host", "_path").distinct(), "url-places")
-    suffixes = places.select("_host", "_path", F.explode(host_suffixes(F.col("_host"))).alias("rev"))
+    # No rule fits a longer end of a host than the deepest rule has labels.
+    deepest = chains.agg(F.max(F.size(F.split("rev", r"\.")))).first()[0] or 1
+    suffixes = places.select("_host", "_path", F.explode(host_suffixes(F.col("_host"), deepest)).alias("rev"))
     keys = suffixes.join(chains.select("rev").distinct(), "rev", "left_semi").select(
         "_host", "_path", F.concat("rev", F.lit(_END), "_path").alias("key"))
     found = keys.join(sweep(keys.select("key").distinct(), chains), "key")

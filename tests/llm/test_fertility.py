@@ -1,8 +1,11 @@
 import base64
 import random
 
+import regex
+
+from kmerlake.llm.bpe import PATTERN
 from kmerlake.llm.common import tokenizer_path
-from kmerlake.llm.fertility import base_measures, duplicate_lines, main_script, quality_rules, repeated_words
+from kmerlake.llm.fertility import base_measures, duplicate_lines, encode, load_ranks, main_script, quality_rules, repeated_words
 
 RANKS = tokenizer_path("byte_bpe_multi_50k.tiktoken")
 
@@ -86,3 +89,12 @@ def test_given_documents(spark):
     good = [r for r in rows if r["quality"] == 1]
     assert sum(r["quality"] == 0 for r in rejected) >= 10
     assert sum(r["kept"] for r in good) >= 0.99 * len(good)
+
+
+def test_long_runs_of_blanks():
+    model, _ = load_ranks(RANKS, PATTERN)
+    cut = regex.compile(PATTERN)
+    for text in ("a" + " " * 30_000 + "b c", "\n" * 25_000 + " x\t", " " * 22_000, "one two", "é" + "\n " * 15_000 + "z"):
+        assert encode(model, cut, text) == model.encode_ordinary(text)
+    ids = encode(model, cut, "start" + " " * 1_000_000 + "end")  # the encoder alone runs out of stack here
+    assert model.decode(ids) == "start" + " " * 1_000_000 + "end"

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from kmerlake.llm.pii import BASE, KINDS, automaton, find, find_pii, luhn, redact
 
@@ -51,3 +52,10 @@ def test_rows(odd_docs):
     assert [r["text"] for r in rows if r["doc_id"] == 3] == [None]
     assert "[EMAIL]" in {r["text"] for r in rows}
     assert find_pii(odd_docs.limit(0)).count() == 0
+
+
+def test_repeated_cues_take_linear_time():
+    anchors, start = automaton(), time.time()
+    text = "account" * 150_000 + " number 12345678"
+    assert ("account", len(text) - 8, len(text)) in find(text, anchors)
+    assert time.time() - start < 30

@@ -41,3 +41,11 @@ def test_empty(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     assert judge_urls(pages.limit(0), rules).count() == 0
     assert [r["verdict"] for r in judge_urls(pages, rules.limit(0), default="block").collect()] == ["block"]
+
+
+def test_hosts_of_very_many_labels(spark):
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    given = ["http://" + "a." * 100_000 + "net/es/", "http://" + "x." * 50_000 + "www.example.com/en/", "http://" + "." * 60_000]
+    pages = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
+    rows = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in judge_urls(pages, rules).collect()}
+    assert rows == {i: brute(u, RULES) for i, u in enumerate(given)}
