@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kmerlake.llm.common import pieces, stored
@@ -40,7 +40,7 @@ BLOCK = 1 << 18  # bytes hashed at once
 INDEX = 1 << 20  # bytes in one index
 FLUSH = 500  # rows worked on at once
 CROWDED = ["doc_id", "hash", "anchor", "alone", "start", "place", "low", "high", "bytes"]
-_CROWDED_TYPES = "doc_id long, hash int, anchor long, alone boolean, start long, place int, low int, high int, bytes binary"
+_CROWDED_TYPES = "doc_id long, hash binary, anchor long, alone boolean, start long, place int, low int, high int, bytes binary"
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -238,7 +238,7 @@ def _mark(length: int, batches):
             if out:
                 docs, hashes, starts, windows = zip(*out)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(hashes, pa.int32()), pa.array(starts, pa.int64()), pa.array(windows, pa.int32())],
+                    [pa.array(docs, pa.int64()), pa.array(hashes, pa.binary()), pa.array(starts, pa.int64()), pa.array(windows, pa.int32())],
                     names=["doc_id", "hash", "start", "windows"])
 
     last = None
@@ -265,7 +265,7 @@ def _halves(length: int, batches):
 
     All windows of a half cover a core of bytes; only rows that agree on it can share a window.
     """
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 3]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 3]
     for batch in batches:
         for first in range(0, batch.num_rows, FLUSH):
             out: list[tuple] = []
@@ -309,6 +309,11 @@ def _split_crowded(rows: DataFrame, length: int, most: int) -> tuple[list[DataFr
     return small, marked
 
 
+def text_key(text: Column) -> Column:
+    """128 bits of a text: rows that share an id, or have none, are told apart by it."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
 def repeated_windows(docs: DataFrame, length: int = 200, most: int = 1000, text: str = "text") -> DataFrame:
     """(doc_id, hash, start, windows): stretches of window starts whose string starts elsewhere too.
 
@@ -316,9 +321,9 @@ def repeated_windows(docs: DataFrame, length: int = 200, most: int = 1000, text:
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
-    source = docs.select(F.col("doc_id").cast("long"), F.hash(F.col(text)).alias("hash"), F.col(text).cast("string").alias("_text"))
+    source = docs.select(F.col("doc_id").cast("long"), text_key(F.col(text)).alias("hash"), F.col(text).cast("string").alias("_text"))
     runs = source.mapInArrow(
-        partial(_runs, length), "doc_id long, hash int, anchor long, context long, start long, windows int")
+        partial(_runs, length), "doc_id long, hash binary, anchor long, context long, start long, windows int")
     again = stored(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeat-anchors")
     shared = stored(runs.join(again, "anchor"), "repeat-runs")
     contexts = stored(shared.groupBy("anchor", "context").agg(
@@ -332,18 +337,18 @@ def repeated_windows(docs: DataFrame, length: int = 200, most: int = 1000, text:
                  F.col("first.start").alias("start"), F.col("first.windows").alias("windows")).alias("ask"))
     wanted = stored(asked.groupBy("doc_id", "hash").agg(F.collect_list("ask").alias("asked")), "repeat-asked")
     fetched = stored(with_packed(source, wanted, "inner").mapInArrow(
-        partial(_contexts, length), "doc_id long, hash int, anchor long, alone boolean, crowded boolean, start long, bytes binary"),
+        partial(_contexts, length), "doc_id long, hash binary, anchor long, alone boolean, crowded boolean, start long, bytes binary"),
         "repeat-bytes")
     small, marked = _split_crowded(fetched.where("crowded"), length, most)
     groups = fetched.where("not crowded").select(F.col("anchor").alias("group"), "doc_id", "hash", "alone", "start", "bytes")
     groups = reduce(DataFrame.unionByName, small, groups).repartition("group").sortWithinPartitions("group")
-    indexed = groups.mapInArrow(partial(_mark, length), "doc_id long, hash int, start long, windows int")
+    indexed = groups.mapInArrow(partial(_mark, length), "doc_id long, hash binary, start long, windows int")
     return reduce(DataFrame.unionByName, [indexed, *marked], whole)
 
 
 def with_packed(source: DataFrame, per_text: DataFrame, how: str) -> DataFrame:
     """Texts, compressed for the shuffle, joined with one row for each (doc_id, hash)."""
-    packed = source.mapInArrow(_pack, "doc_id long, hash int, packed binary")
+    packed = source.mapInArrow(_pack, "doc_id long, hash binary, packed binary")
     other = per_text.withColumnsRenamed({"doc_id": "_id", "hash": "_hash"})
     return packed.join(other, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), how).drop("_id", "_hash")
 
@@ -375,6 +380,6 @@ def remove_repeats(docs: DataFrame, length: int = 200, most: int = 1000, text: s
     """(doc_id, n_bytes, removed, kept) of every row: the maximal removed byte spans and the bytes that stay."""
     found = repeated_windows(docs, length, most, text)
     marks = stored(found.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("start", "windows")).alias("marks")), "repeat-marks")
-    source = docs.select(F.col("doc_id").cast("long"), F.hash(F.col(text)).alias("hash"), F.col(text).cast("string").alias("_text"))
+    source = docs.select(F.col("doc_id").cast("long"), text_key(F.col(text)).alias("hash"), F.col(text).cast("string").alias("_text"))
     return with_packed(source, marks, "left").mapInArrow(
         partial(_cut, length), "doc_id long, n_bytes long, removed array<struct<start: long, end: long>>, kept binary")

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kmerlake.llm.suffix import gram_hashes, matching_statistics, remove_repeats, runs_of, suffix_order
 
@@ -115,3 +116,14 @@ def test_context_hash_reads_every_byte():
         for s, w, c in zip(start.tolist(), windows.tolist(), context.tolist()):
             if (s, w) in places:
                 assert (places[s, w] != c) == (s <= at < s + w + 299)
+
+
+def test_rows_without_id_are_told_apart_by_more_than_32_bits(spark):
+    """Two texts with one 32-bit hash, neither with an id: only the one that stands elsewhere goes."""
+    text = F.concat(*[F.sha2(F.concat(F.col("id"), F.lit(f"/{k}")), 256) for k in range(5)])
+    texts = spark.range(300_000).select("id", text.alias("text"))
+    clash = texts.select("id", F.hash("text").alias("h")).groupBy("h").agg(F.collect_list("id").alias("ids")).where("size(ids) > 1").first()["ids"]
+    a, b = (texts.where(F.col("id") == k).first()["text"] for k in clash[:2])
+    docs = spark.createDataFrame([(None, a), (None, b), (7, a)], "doc_id long, text string")
+    rows = sorted((r["doc_id"] or 0, len(r["kept"])) for r in remove_repeats(docs).collect())
+    assert rows == [(0, 0), (0, 320), (7, 0)]
