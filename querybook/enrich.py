@@ -292,12 +292,26 @@ def g3(spark, sf):
 
 
 
-@query("g4_final_matrix", f"""{_GROWN}, seedw AS (SELECT token, token AS word FROM level0 UNION SELECT token, {X.rc_sql('token')} FROM level0),
+_ROWS = f"""seedw AS (SELECT token, token AS word FROM level0 UNION SELECT token, {X.rc_sql('token')} FROM level0),
 rows AS (SELECT DISTINCT w.gene, w.class, t.token FROM wins w JOIN seedw t ON t.word = w.word
-  {' '.join(f"UNION ALL SELECT gene, class, token FROM pres_{n} WHERE token IN (SELECT token FROM level{n})" for n in range(1, _LEVELS + 1))})
-SELECT gene, CASE class WHEN 1 THEN 'pos' ELSE 'neg' END AS class, count(*) AS n_tokens, min(token) AS first_token, max(token) AS last_token FROM rows GROUP BY 1, 2""")
-def g4(spark, sf):
+  {' '.join(f"UNION ALL SELECT gene, class, token FROM pres_{n} WHERE token IN (SELECT token FROM level{n})" for n in range(1, _LEVELS + 1))})"""
+_TOLD = "SELECT gene, CASE class WHEN 1 THEN 'pos' ELSE 'neg' END AS class, count(*) AS n_tokens, min(token) AS first_token, max(token) AS last_token FROM rows"
+
+
+def _final(spark, sf, fdr):
     matrix = G.final_matrix(
-        X.sequences(spark, sf), grown(spark, sf), CUTOFF, [SEED + n for n in range(_LEVELS + 1)], "pos", "neg")
+        X.sequences(spark, sf), grown(spark, sf), CUTOFF, [SEED + n for n in range(_LEVELS + 1)], "pos", "neg", fdr)
     return matrix.groupBy("gene", "class").agg(
         F.count("*").alias("n_tokens"), F.min("token").alias("first_token"), F.max("token").alias("last_token"))
+
+
+@query("g4_final_matrix", f"{_GROWN}, {_ROWS} {_TOLD} GROUP BY 1, 2")
+def g4(spark, sf):
+    return _final(spark, sf, False)
+
+
+@query("g4_final_matrix_fdr", f"""{_GROWN}, {_ROWS}, last AS (SELECT token, pvalue, ln_p FROM ({_UNION})), {X.bh_sql('last')}
+{_TOLD} WHERE token IN (SELECT token FROM adjusted WHERE padj <= {CUTOFF}) GROUP BY 1, 2""")
+def g4_fdr(spark, sf):
+    """The last test adjusted over all survivors, which are one family."""
+    return _final(spark, sf, True)
