@@ -44,21 +44,48 @@ def _is(label: int) -> Column:
     return F.col("class") == label
 
 
-def _moments(rows: DataFrame, value: str) -> DataFrame:
-    """Mean, sample variance, size and sum of ``value`` per k-mer and class."""
+SIDES = (("pos", 1), ("neg", 0))
+
+
+def _moment_columns(value: str) -> list[Column]:
+    """Mean, sample variance, size and sum of ``value`` per class."""
     def pick(label: int) -> Column:
         return F.when(_is(label) & ~F.isnan(value), F.col(value))
 
-    return rows.groupBy("kmer").agg(*[
-        fn(pick(label)).alias(f"{name}_{side}")
-        for side, label in (("pos", 1), ("neg", 0))
-        for name, fn in (("mean", F.avg), ("var", F.var_samp), ("n", F.count), ("sum", F.sum))])
+    return [
+        fn(pick(label)).alias(f"{name}_{side}") for side, label in SIDES
+        for name, fn in (("mean", F.avg), ("var", F.var_samp), ("n", F.count), ("sum", F.sum))]
+
+
+def _moments(rows: DataFrame, value: str) -> DataFrame:
+    return rows.groupBy("kmer").agg(*_moment_columns(value))
+
+
+def _gene_moments(value: str) -> list[Column]:
+    """Size, sum, squared deviations and range of ``value`` for a k-mer and gene; NaN is left out."""
+    v = F.when(~F.isnan(value), F.col(value))
+    return [
+        F.count(v).alias("_n"), F.sum(v).alias("_s"), (F.var_pop(v) * F.count(v)).alias("_m2"), F.min(v).alias("_lo"), F.max(v).alias("_hi")]
+
 
+def _class_moments(prefix: str = "") -> list[Column]:
+    """The moments of the values themselves, per class, from ``_gene_moments``; values that are all equal have variance 0 exactly."""
+    out = []
+    for side, label in SIDES:
+        pick = lambda c, label=label: F.when(_is(label), c)
+        n, s = F.coalesce(F.sum(pick(F.col("_n"))), F.lit(0)), F.sum(pick(F.col("_s")))
+        squares = F.sum(pick(F.col("_m2") + F.col("_s") * F.col("_s") / F.nullif(F.col("_n"), F.lit(0))))
+        equal = F.min(pick(F.col("_lo"))) == F.max(pick(F.col("_hi")))
+        var = F.when(n > 1, F.when(equal, 0.0).otherwise(F.greatest(squares - s * s / n, F.lit(0.0)) / (n - 1)))
+        mean = s / F.nullif(n, F.lit(0))
+        out += [c.alias(f"{prefix}{name}_{side}") for name, c in (("mean", mean), ("var", var), ("n", n), ("sum", s))]
+    return out
 
-def _with_welch(moments: DataFrame) -> DataFrame:
-    c = F.col
+
+def _with_welch(moments: DataFrame, prefix: str = "") -> DataFrame:
+    c = lambda name: F.col(prefix + name)
     parts = welch(c("mean_pos"), c("var_pos"), c("n_pos"), c("mean_neg"), c("var_neg"), c("n_neg"))
-    return moments.withColumns(parts).withColumn("pvalue", t_two_tailed(c("t"), c("df")))
+    return moments.withColumns(parts).withColumn("pvalue", t_two_tailed(F.col("t"), F.col("df")))
 
 
 def _welch_columns(moments: DataFrame) -> DataFrame:
@@ -93,7 +120,12 @@ def copy_evidence(hits: DataFrame, kmers: DataFrame, genes: DataFrame) -> DataFr
 
     Counts are null for a k-mer without a hit in a positive gene.
     """
-    rows = _with_welch(_moments(_per_gene(hits, kmers, genes), "copies"))
+    return copy_columns(_moments(_per_gene(hits, kmers, genes), "copies"))
+
+
+def copy_columns(moments: DataFrame) -> DataFrame:
+    """The columns of ``copy_evidence`` from the moments of copies per gene."""
+    rows = _with_welch(moments)
     shown = lambda c: F.when(F.col("n_pos") > 0, c)
     return rows.select(
         "kmer", shown(F.col("mean_pos")).alias("copy_pos"), shown(F.col("mean_neg")).alias("copy_neg"),
@@ -155,7 +187,10 @@ def feature_enrichment(
     odds: str = "odds", pval: str = "pval", ln_p: str = "ln_p",
 ) -> DataFrame:
     """One row per k-mer with ``<mark>_odds``, ``<mark>_pval`` and ``<mark>_ln_p`` for each mark."""
-    long = overlap_by_mark(totals, tagged_hits, marks, kmers, genes)
+    return _wide(overlap_by_mark(totals, tagged_hits, marks, kmers, genes), marks, odds, pval, ln_p)
+
+
+def _wide(long: DataFrame, marks: list[str], odds: str, pval: str, ln_p: str) -> DataFrame:
     return long.groupBy("kmer").pivot("mark", marks).agg(
         F.first("odds").alias(odds), F.first("pvalue").alias(pval), F.first("ln_p").alias(ln_p))
 
@@ -167,27 +202,72 @@ def histone_enrichment(
     return feature_enrichment(totals, tagged_hits, marks, kmers, genes, "Odds", "pval")
 
 
-def _diversity_rows(diversity: DataFrame, kmers: DataFrame, genes: DataFrame) -> DataFrame:
-    return semi_filter(diversity.select("gene", "kmer", "nt_div"), kmers, genes)
+def _diversity_by_gene(diversity: DataFrame, kmers: DataFrame, genes: DataFrame, *facts: Column) -> DataFrame:
+    """Diversity is added up by k-mer and gene before it meets the genes."""
+    return semi_filter(diversity.groupBy("kmer", "gene").agg(*facts), kmers, genes)
 
 
 def diversity_means(diversity: DataFrame, kmers: DataFrame, genes: DataFrame) -> DataFrame:
-    mean = lambda label: F.avg(F.when(_is(label), F.col("nt_div")))
-    return _diversity_rows(diversity, kmers, genes).groupBy("kmer").agg(
-        mean(1).alias("div_pos"), mean(0).alias("div_neg"))
+    rows = _diversity_by_gene(diversity, kmers, genes, F.sum("nt_div").alias("_s"), F.count("nt_div").alias("_n"))
+    part = lambda c, label: F.sum(F.when(_is(label), F.col(c)))
+    mean = lambda label: part("_s", label) / F.nullif(part("_n", label), F.lit(0))
+    return rows.groupBy("kmer").agg(mean(1).alias("div_pos"), mean(0).alias("div_neg"))
+
+
+def _diversity_moments(diversity: DataFrame, kmers: DataFrame, genes: DataFrame) -> DataFrame:
+    rows = _diversity_by_gene(diversity, kmers, genes, *_gene_moments("nt_div"))
+    return rows.groupBy("kmer").agg(*_class_moments())
 
 
 def diversity_welch(diversity: DataFrame, kmers: DataFrame, genes: DataFrame) -> DataFrame:
-    return _welch_columns(_moments(_diversity_rows(diversity, kmers, genes), "nt_div"))
+    return _welch_columns(_diversity_moments(diversity, kmers, genes))
 
 
 def diversity_evidence(diversity: DataFrame, kmers: DataFrame, genes: DataFrame) -> DataFrame:
     """Class means and Welch test of the diversity in one pass."""
-    return _with_welch(_moments(_diversity_rows(diversity, kmers, genes), "nt_div")).select(
-        "kmer", F.col("mean_pos").alias("div_pos"), F.col("mean_neg").alias("div_neg"),
+    return diversity_columns(_diversity_moments(diversity, kmers, genes))
+
+
+def diversity_columns(moments: DataFrame, prefix: str = "") -> DataFrame:
+    """The columns of ``diversity_evidence`` from the moments of the diversity."""
+    return _with_welch(moments, prefix).select(
+        "kmer", F.col(f"{prefix}mean_pos").alias("div_pos"), F.col(f"{prefix}mean_neg").alias("div_neg"),
         F.col("t").alias("div_t"), F.col("pvalue").alias("div_pval"))
 
 
+def gene_evidence(
+    hits: DataFrame, kmers: DataFrame, genes: DataFrame, flags: dict[str, Column], diversity: Column | None = None
+) -> DataFrame:
+    """One row per k-mer with all that the hits tell, from one pass over them.
+
+    ``flags`` says for each feature or mark whether a hit overlaps it, ``diversity`` gives the diversity at a hit; both are
+    expressions over ``hits``. Hits are added up by k-mer and gene, and the sums meet the genes once. Read the result with
+    ``copy_columns``, ``mark_columns`` and ``diversity_columns`` (prefix ``div_``).
+    """
+    shown = [flag.alias(f"_f{i}") for i, flag in enumerate(flags.values())]
+    facts = [F.count("*").cast("double").alias("copies"), *[F.count_if(F.col(f"_f{i}")).alias(f"_f{i}") for i in range(len(flags))]]
+    if diversity is not None:
+        shown.append(diversity.alias("_div"))
+        facts += _gene_moments("_div")
+    rows = hits.join(kmers.select("kmer"), "kmer", "left_semi").select("kmer", "gene", *shown)
+    joined = rows.groupBy("kmer", "gene").agg(*facts).join(genes.select("gene", "class"), "gene")
+    # A k-mer without an overlapping hit has no count, as where only overlapping hits are read.
+    overlaps = [
+        F.nullif(F.sum(F.when(_is(label), F.col(f"_f{i}"))), F.lit(0)).alias(f"{cell}_{i}")
+        for i in range(len(flags)) for cell, label in (("t1", 1), ("t3", 0))]
+    return joined.groupBy("kmer").agg(*_moment_columns("copies"), *overlaps, *(_class_moments("div_") if diversity is not None else []))
+
+
+def mark_columns(
+    evidence: DataFrame, marks: list[str], fill: str = "late", odds: str = "odds", pval: str = "pval", ln_p: str = "ln_p"
+) -> DataFrame:
+    """``feature_enrichment`` from ``gene_evidence``; ``marks`` are its flags in order."""
+    cells = [F.struct(F.lit(mark).alias("mark"), F.col(f"t1_{i}").alias("t1"), F.col(f"t3_{i}").alias("t3")) for i, mark in enumerate(marks)]
+    hits = [F.col(f"sum_{side}").cast("long").alias(f"hits_{side}") for side, _ in SIDES]
+    long = evidence.where("n_pos > 0").select("kmer", *hits, F.explode(F.array(*cells)).alias("x")).select("kmer", "hits_pos", "hits_neg", "x.*")
+    return _wide(_two_by_two(long, fill), marks, odds, pval, ln_p)
+
+
 def fs_overlap(kmers: DataFrame, selected: DataFrame, lengths: list[int] | None = None) -> DataFrame:
     """1 when any selected word is contained in the k-mer. Lengths are read from the words unless stated.
 

@@ -8,9 +8,10 @@ from kmerlake.operators import criteria as C
 from kmerlake.operators import enrichment as E
 from kmerlake.operators import presence as P
 from kmerlake.operators import universe as U
-from kmerlake.operators.selection import chi2_scores
+from kmerlake.operators.selection import chi2_scores, top_n
 from kmerlake.operators.windows import map_kmers
-from kmerlake.sources.text import clean_diversity, parse_region
+from kmerlake.session import scratch_path
+from kmerlake.sources.text import clean_diversity, parse_region, read_manifest, read_manifest_hits
 from querybook import fixtures as X
 from querybook.enrich import base_sql, counts, sizes
 
@@ -169,11 +170,33 @@ def histone(spark, sf):
     return C.histone_enrichment(C.copy_number(hits, words, genes), tagged, list(MARKS), words, genes)
 
 
-@query("c12_histone_enrichment", f"{HITS} SELECT kmer, " + ", ".join(
+_MARKS_SQL = (f"{HITS} SELECT kmer, " + ", ".join(
     f"a{i}.odds AS {n}_Odds, a{i}.pvalue AS {n}_pval, a{i}.log_p AS {n}_log_p" for i, n in enumerate(MARKS)) + " FROM " + " JOIN ".join(
     f"({overlap_sql(m)}) a{i}" + (" USING (kmer)" if i else "") for i, m in enumerate(MARKS.values())))
+
+
+@query("c12_histone_enrichment", _MARKS_SQL)
 def c12(spark, sf):
-    out = histone(spark, sf)
+    return _shown(histone(spark, sf))
+
+
+@query("c12_histone_manifest", _MARKS_SQL)
+def c12_manifest(spark, sf):
+    """Hit tables of all marks and their manifest are written, and read again in one scan."""
+    base = scratch_path(spark, "marks")
+    hits, words, genes = hit_table(spark, sf), kmers(spark), X.genes(spark, sf)
+    text = lambda c: F.col(c).cast("string").alias(c)
+    for name, m in MARKS.items():
+        X.annotate(hits, m).select(
+            F.lit("chr1").alias("chr"), text("gene"), "kmer", "start", "end", F.lit(".").alias("x"), "dir", F.lit(".").alias("y"), "details",
+        ).write.csv(f"{base}/{name}", sep="\t")
+    listed = [(name.split("_")[0], {"A": "activator", "R": "repressor"}[name[-1]], f"{base}/{name}") for name in MARKS]
+    spark.createDataFrame(listed, "mark string, kind string, path string").coalesce(1).write.csv(f"{base}/manifest", sep="\t")
+    tagged = read_manifest_hits(spark, read_manifest(spark, f"{base}/manifest")).withColumn("gene", F.col("gene").cast("long"))
+    return _shown(C.histone_enrichment(C.copy_number(hits, words, genes), tagged, list(MARKS), words, genes))
+
+
+def _shown(out):
     return logged(round_all(out, *[c for c in out.columns if c != "kmer" and not c.endswith("ln_p")]))
 
 
@@ -247,6 +270,8 @@ SELECT 'k' || i AS kmer, 'm' || arg_min(j, round(d, 6) * 1000000 * 100000 + j) A
 
 # Annotations and histone marks of the criteria table, with the step of their made peaks.
 FEATURES = {"DAP": 5, "DHS": 7, "CNS": 11, **MARKS}
+#: The best 3-mers by chi-square stand for the selected words.
+SELECTED = 3
 
 
 def _criteria(spark, sf):
@@ -254,13 +279,20 @@ def _criteria(spark, sf):
     seqs, genes = X.sequences(spark, sf), X.genes(spark, sf)
     held = P.presence_stranded(seqs, U.canonical_words(spark, K), [K])
     scores = chi2_scores(held, genes).withColumnRenamed("chi2", "importance")
-    selected = spark.createDataFrame([("CAG",), ("GTA",)], "token string")
+    words = P.presence_single(seqs, U.kmer_universe(spark, 3).select(F.col("word").alias("token")), [3])
+    ranked = chi2_scores(words, genes).withColumnRenamed("chi2", "importance")
+    selected = top_n(ranked, SELECTED).select(F.col("feature").alias("token"))
+    place = lambda a, m: (F.col("start") * a + F.col("gene")) % m
+    div = F.when(F.col("start") % 7 == 0, 0.0).otherwise(place(31, 100) / 997.0)
     return criteria_table(
-        held, genes, hit_table(spark, sf), {name: lambda h, m=m: X.annotate(h, m) for name, m in FEATURES.items()},
-        diversity(spark, sf), {"chi2_imp": scores}, selected)
+        held, genes, hit_table(spark, sf), {name: place(1, m) == 0 for name, m in FEATURES.items()}, div, {"chi2_imp": scores}, selected)
 
 
-_TABLE = f"""{HITS}, {X.counts_sql('(SELECT DISTINCT gene, class, kmer AS token FROM hits)', 'counts')}, {X.tested_sql()}, {_CHI2},
+_TABLE = f"""{HITS}, {X.counts_sql('(SELECT DISTINCT gene, class, kmer AS token FROM hits)', 'counts')}, {X.tested_sql()}, {_CHI2}, {X.windows_sql(3, 'sequences', 'w3')},
+w3counts AS (SELECT word, count(DISTINCT gene) FILTER (class = 1) AS p, count(DISTINCT gene) FILTER (class = 0) AS q FROM w3 GROUP BY 1),
+w3chi AS (SELECT word, power(p - tot * n_pos / n, 2) / (tot * n_pos / n) + power(q - tot * n_neg / n, 2) / (tot * n_neg / n) AS chi2
+  FROM (SELECT *, (p + q)::DOUBLE AS tot, (n_pos + n_neg)::DOUBLE AS n FROM w3counts, sizes)),
+selected AS (SELECT word FROM w3chi ORDER BY chi2 DESC, word LIMIT {SELECTED}),
 div AS (SELECT kmer, class, CASE WHEN start % 7 = 0 THEN 0.0::DOUBLE ELSE ((start * 31 + gene) % 100) / 997.0::DOUBLE END AS nt_div FROM hits),
 w1 AS ({'WITH ' + welch_sql('per_gene', 'copies')}), w2 AS ({'WITH ' + welch_sql('div', 'nt_div')}),
 dm AS (SELECT kmer, avg(nt_div) FILTER (class = 1) AS div_pos, avg(nt_div) FILTER (class = 0) AS div_neg FROM div GROUP BY 1)
@@ -272,7 +304,7 @@ SELECT b.token AS kmer, round(100.0::DOUBLE * b.pos_count / b.n_pos, 6) AS perce
 FROM tested b LEFT JOIN totals t ON t.kmer = b.token LEFT JOIN w1 ON w1.kmer = b.token LEFT JOIN w2 ON w2.kmer = b.token
 LEFT JOIN dm ON dm.kmer = b.token {' '.join(f'LEFT JOIN ({overlap_sql(m)}) x{m} ON x{m}.kmer = b.token' for m in FEATURES.values())}
 LEFT JOIN (SELECT feature, round(chi2, 6) AS chi2_imp FROM chi) c2 ON c2.feature = b.token
-LEFT JOIN (SELECT token, 1 AS fs_overlap FROM tested WHERE contains(split_part(token, '.', 1), 'CAG') OR contains(split_part(token, '.', 1), 'GTA')) f ON f.token = b.token"""
+LEFT JOIN (SELECT DISTINCT token, 1 AS fs_overlap FROM tested JOIN selected ON contains(split_part(token, '.', 1), word)) f ON f.token = b.token"""
 
 
 @query("c18_criteria_table", _TABLE)
