@@ -131,12 +131,24 @@ def _unpack(packed: bytes | None) -> bytes:
     return b"" if packed is None else zstandard.ZstdDecompressor().decompress(packed)
 
 
+def _asked_parts(length: int, batch: pa.RecordBatch):
+    """Row runs of a batch that ask for about INDEX bytes; contexts overlap, so a long text asks for several times its size."""
+    if batch.num_rows == 0:
+        return
+    lists = batch.column("asked")
+    sizes = np.concatenate([[0], np.cumsum(lists.flatten().field("windows").to_numpy(zero_copy_only=False).astype(np.int64) + length - 1)])
+    upto = sizes[np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))]
+    part = upto // INDEX
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [batch.num_rows]]).tolist()
+    for a, b in zip(edges, edges[1:]):
+        yield batch.slice(a, b - a)
+
+
 def _contexts(length: int, batches):
     """The bytes of the runs asked for."""
     names = ["doc_id", "hash", "anchor", "alone", "crowded", "start", "bytes"]
     for batch in batches:
-        for first in range(0, batch.num_rows, FLUSH):
-            part = batch.slice(first, FLUSH)
+        for part in _asked_parts(length, batch):
             lists = part.column("asked")
             asked, each = lists.flatten(), pa.array(np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(lists).to_numpy()))
             spans = iter(zip(asked.field("start").to_pylist(), asked.field("windows").to_pylist()))
@@ -356,8 +368,7 @@ def with_packed(source: DataFrame, per_text: DataFrame, how: str) -> DataFrame:
 def _cut(length: int, batches):
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
-        for first in range(0, batch.num_rows, FLUSH):
-            part = batch.slice(first, FLUSH)
+        for part in pieces(batch, "packed"):
             kept, spans, sizes = [], [], []
             for packed, marks in zip(part.column("packed"), part.column("marks")):
                 data = np.frombuffer(_unpack(packed.as_py()), np.uint8)
