@@ -182,17 +182,20 @@ def c12(spark, sf):
 
 @query("c12_histone_manifest", _MARKS_SQL)
 def c12_manifest(spark, sf):
-    """Hit tables of all marks and their manifest are written, and read again in one scan."""
+    """Hit tables of all marks, of the hits that overlap, and their manifest are written, and read again in one scan."""
     base = scratch_path(spark, "marks")
     hits, words, genes = hit_table(spark, sf), kmers(spark), X.genes(spark, sf)
-    text = lambda c: F.col(c).cast("string").alias(c)
-    for name, m in MARKS.items():
-        X.annotate(hits, m).select(
-            F.lit("chr1").alias("chr"), text("gene"), "kmer", "start", "end", F.lit(".").alias("x"), "dir", F.lit(".").alias("y"), "details",
-        ).write.csv(f"{base}/{name}", sep="\t")
-    listed = [(name.split("_")[0], {"A": "activator", "R": "repressor"}[name[-1]], f"{base}/{name}") for name in MARKS]
-    spark.createDataFrame(listed, "mark string, kind string, path string").coalesce(1).write.csv(f"{base}/manifest", sep="\t")
-    tagged = read_manifest_hits(spark, read_manifest(spark, f"{base}/manifest")).withColumn("gene", F.col("gene").cast("long"))
+    place = F.col("start") + F.col("gene")
+    marks = F.array_compact(F.array(*[F.when(place % m == 0, F.lit(name)) for name, m in MARKS.items()]))
+    hits.select(
+        F.lit("chr1").alias("chr"), F.col("gene").cast("string").alias("gene"), "kmer", "start", "end", F.lit(".").alias("x"), "dir",
+        F.lit(".").alias("y"), F.lit("overlap=peak").alias("details"), F.explode(marks).alias("mark"),
+    ).write.partitionBy("mark").csv(base, sep="\t")
+    listed = [(name.split("_")[0], {"A": "Activator", "R": "Repressor"}[name[-1]], f"{base}/mark={name}") for name in MARKS]
+    manifest = scratch_path(spark, "manifest")
+    spark.createDataFrame(listed, "mark string, kind string, path string").write.csv(manifest, sep="\t")
+    listed = read_manifest(spark, manifest)
+    tagged = read_manifest_hits(spark, listed).withColumn("gene", F.col("gene").cast("long"))
     return _shown(C.histone_enrichment(C.copy_number(hits, words, genes), tagged, list(MARKS), words, genes))
 
 
