@@ -1,7 +1,7 @@
 """Where the words of growing tokens stand: occurrence lists instead of a new search at every level.
 
-Text is cut once into pieces that overlap by the longest word to come. A state row holds a stretch of text, a word length and the
-starts of the windows of that length that may be wanted. One base more means the same start or the one before it, so the windows of a
+Text is cut once into pieces that overlap by the longest word to come. A state row holds a stretch of text, a word length and, as a bit
+for each base, the starts of the windows of that length that may be wanted. One base more means the same start or the one before it, so the windows of a
 level come from the starts of the level before; a stretch shrinks to the neighbourhood of its starts, and one without starts leaves.
 
 Starts are kept by a bitmap of fixed size over hashes of the wanted words on both strands. It only sorts out: a start that passes by
@@ -88,7 +88,8 @@ def _stretches(batch: pa.RecordBatch, lengths: list[int] | None) -> Iterator[tup
         text = texts[row].as_py()
         codes = _codes(text)
         if lengths is None:
-            yield row, ks[row].as_py(), text, codes, np.frombuffer(starts[row].as_py(), np.int32)
+            bits = np.unpackbits(np.frombuffer(starts[row].as_py(), np.uint8), count=len(codes))
+            yield row, ks[row].as_py(), text, codes, np.flatnonzero(bits)
         else:
             for k in lengths:
                 yield row, k, text, codes, np.arange(max(len(codes) - k + 1, 0))
@@ -119,7 +120,9 @@ def _states(df: DataFrame, bitmap: Broadcast, longer: bool, margin: int, lengths
                     rows.append(row)
                     ks.append(k)
                     texts.append(text[begin:int(part[-1]) + k + margin])
-                    lists.append((part - begin).astype(np.int32).tobytes())
+                    held = np.zeros(len(texts[-1]), bool)
+                    held[part - begin] = True
+                    lists.append(np.packbits(held).tobytes())
             keys = [batch.column(c).take(pa.array(rows, pa.int64())) for c in KEYS]
             yield pa.RecordBatch.from_arrays(
                 [*keys, pa.array(ks, pa.int32()), pa.array(texts, pa.string()), pa.array(lists, pa.binary())], [*KEYS, "k", "text", "starts"])
