@@ -63,3 +63,27 @@ def test_gene_numbers_fill_blocks(spark):
     got = B.pair_counts(held, 2).collect()
     want = [sum(1 for i in range(70_000) if i % 3 and i % 2 == c) for c in (1, 0)]
     assert [(r.i, r.j, r.pos_count, r.neg_count) for r in got] == [(0, 1, *want)]
+
+
+def test_opened_pairs_meet_their_genes_without_a_shuffle_of_rows(spark):
+    """Bitmaps are opened beside the genes of their block: no join and no exchange above them, also over blocks and repeated genes."""
+    seqs = spark.range(70_000).selectExpr("id % 69999 AS gene", "cast(id % 2 AS int) AS class", "if(id % 3 = 0, 'AC', 'ACA') AS seq")
+    pairs = spark.createDataFrame([("AC CA",), ("AC AC",), ("AC GG",)], "token string")
+    found = P.presence_pair(seqs, pairs, [2])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert "Join" not in above and "Repartition" not in above and "bitmap_and_agg" not in plan
+    held = {(r[0] % 69_999, r[0] % 2, t) for r in spark.range(70_000).collect() for t in (["AC AC"] if r[0] % 3 == 0 else ["AC AC", "AC CA"])}
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(held) and set(rows) == held
+
+
+@pytest.mark.parametrize("part", [1, 3, 4096])
+def test_parts_of_tokens_and_text_keys(spark, texts, monkeypatch, part):
+    monkeypatch.setattr(B, "PART", part)
+    monkeypatch.setattr(B, "OPENED", 5)
+    rows, df = texts
+    pairs = [r.token for r in U.kmer_pairs(spark, 1).collect()]
+    named = df.selectExpr("if(gene = 7, null, concat('g', gene)) AS gene", "class", "seq")
+    got = sorted((r.gene or "", r.token) for r in P.presence_pair(named, U.kmer_pairs(spark, 1), [1]).collect())
+    assert got == sorted(("" if g == 7 else f"g{g}", p) for g, _, s in rows for p in pairs if all(w in s for w in p.split(" ")))
