@@ -112,3 +112,32 @@ def test_transfac_by_hand(spark, tmp_path):
     assert sorted(map(tuple, cells.collect())) == [
         ("m1", 0, 10.0, 0.0, 5.0, 5.0), ("m1", 1, 1.0, 2.0, 3.0, 4.0), ("m2", 0, 7.0, 7.0, 7.0, 7.0)]
     assert W.pwm_from_counts(cells).count() == 3
+
+
+def test_block_map_carries_kmers_over_batches_without_a_sort(spark, tmp_path):
+    from kmerlake.sources import text as S
+
+    lines = ["g0\t1\t2\t+", "1\tAA", "g1\t1\t2\t+", "g2\t3\t4\t-\tx", "g3\t5\t6\t-", "2\tCC", "", "g4\t1\t2\t+", "3\tGG", "4\tTT", "g5\t7\t8\t+"]
+    for name in ("a", "b"):
+        (tmp_path / name).write_text("\n".join(lines[1:] if name == "a" else lines) + "\n")
+    want = [("AA", "g1:1:2:+"), ("AA", "g2:3:4:-"), ("AA", "g3:5:6:-"), ("CC", "g4:1:2:+"), ("TT", "g5:7:8:+")]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "2", "3", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = S.read_block_map(spark, str(tmp_path))
+            assert sorted(tuple(r) for r in got.collect()) == sorted(2 * want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1  # that of the blocks
+
+
+def test_split_and_packed_tables(spark, tmp_path):
+    from kmerlake.sources import sinks as O
+
+    rows = spark.range(100).selectExpr("id", "concat('m', id % 3) AS mark").repartition(2)
+    O.write_split(rows, str(tmp_path / "s"), "mark", 3)
+    O.write_table(rows, str(tmp_path / "t"), packed=True)
+    assert list((tmp_path / "s").glob("mark=m1/*.gz")) and list((tmp_path / "t").glob("*.gz"))
+    assert sorted(int(r[0]) for r in spark.read.csv(str(tmp_path / "s/mark=m1")).collect()) == list(range(1, 100, 3))
+    assert spark.read.csv(str(tmp_path / "t"), sep="\t", header=True).count() == 100
