@@ -141,3 +141,46 @@ def test_merge(spark):
     got = {(r.cluster, r.motif_id) for r in out.collect()}
     assert (1, 1) in got and (1, 4) not in got
     assert {c for c, _ in got} == {0, 1, 2, 3, 5}
+
+
+def _made(spark, n, width=6):
+    rng = random.Random(5)
+    rows = []
+    for m in range(n):
+        for p in range(width):
+            v = [rng.random() for _ in range(4)]
+            rows.append((m, f"m{m}", p, *[x / sum(v) for x in v]))
+    return spark.createDataFrame(rows, "motif_id long, name string, pos int, a double, c double, g double, t double")
+
+
+def test_both_directions_from_one_pass_over_the_pairs(spark):
+    d = D.pcc_distance(_made(spark, 7)).select("i", "j", "d")
+    for made in (W.symmetric(d), W.assemble_matrix([d])):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
+        assert sorted((r["i"], r["j"]) for r in made.collect()) == [(i, j) for i in range(7) for j in range(7) if i != j]
+
+
+def test_blocks_of_motifs_stay_few(spark):
+    ids = lambda n: spark.range(n).withColumnRenamed("id", "motif_id")
+    assert [D._n_blocks(ids(n)) for n in (50, 2000, 10_000, 100_000)] == [1, 20, 25, 100]
+
+
+def test_pairs_outside_clusters_are_not_needed(spark):
+    cells, clusters = _made(spark, 9), spark.range(9).selectExpr("id AS motif_id", "if(id = 8, null, id % 2) AS cluster")
+    every = D.pcc_distance(cells)
+    inside = L.inside_clusters(every, clusters)
+    assert inside.count() == 12
+    told = lambda pairs: sorted(tuple(r) for r in L.consensus_profile(cells, clusters, pairs).selectExpr("cluster", "pos", "round(a, 9)", "members").collect())
+    assert told(inside) == told(every)
+
+
+def test_scan_builds_tables_one_block_at_a_time(spark, monkeypatch):
+    rng = random.Random(2)
+    seqs = spark.createDataFrame([(i, "".join(rng.choice("ACGTN") for _ in range(300))) for i in range(5)], "gene long, seq string")
+    odds = W.probs_to_logodds(_made(spark, 12))
+    sites = lambda: sorted(tuple(r) for r in D.scan_motifs(seqs, odds, 0.7).collect())
+    want = sites()
+    monkeypatch.setattr(D, "SCAN_BLOCK", 2)
+    monkeypatch.setattr(D, "SCAN_KEPT", 3)
+    monkeypatch.setattr(D, "SCAN_LETTERS", 500)
+    assert sites() == want and want
