@@ -77,6 +77,13 @@ def test_mapping_reads_all_lengths_and_tokens(spark):
     assert got == sorted(plus + minus + [("CG.CG", d, s, s + 1) for d in "+-" for s in (2, 6, 609)])
 
 
+def test_listed_words_are_the_small_side(spark):
+    seqs = spark.createDataFrame([(1, "ACGTACG")], "gene long, seq string")
+    for df in (seqs, seqs.union(seqs)):
+        plan = map_kmers(df, spark.createDataFrame([("AC",), ("ACG",)], "kmer string"))._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "BuildRight" in plan
+
+
 def test_impossible_letters_do_not_silence_a_motif(spark):
     exact_word = [(0, "w", p, *(1.0 if x == y else 0.0 for y in "ACGT")) for p, x in enumerate("ACGT")]
     odds = W.probs_to_logodds(spark.createDataFrame(exact_word, "motif_id long, name string, pos int, a double, c double, g double, t double"))
