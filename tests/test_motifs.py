@@ -184,3 +184,36 @@ def test_scan_builds_tables_one_block_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(D, "SCAN_KEPT", 3)
     monkeypatch.setattr(D, "SCAN_LETTERS", 500)
     assert sites() == want and want
+
+
+def test_rounds_after_the_first_shuffle_merged_links_only(spark, monkeypatch):
+    """Points whose gaps grow merge one by one: links that no round touched must last, and be written compressed, not as checkpoints."""
+    at = np.cumsum([1.3**n for n in range(9)])
+    d = {(i, j): float(at[j] - at[i]) for i in range(9) for j in range(9) if i < j}
+    table = spark.createDataFrame([(i, j, v) for (i, j), v in d.items()], "i long, j long, d double")
+    names, kept = [], L.written
+    monkeypatch.setattr(L, "written", lambda df, name: names.append(name) or kept(df, name))
+    got = L.cluster_motifs(spark.createDataFrame([(i,) for i in range(9)], "motif_id long"), table, 3.0)
+    assert {r.motif_id: r.cluster for r in got.collect()} == upgma(range(9), d, 6.0)
+    assert names.count("links") >= 4
+
+
+def test_short_motifs_with_sites_everywhere_scan_in_bounded_memory():
+    """256 motif strands of width 2 over 200,000 letters are 410 MB of scores at once."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    motifs = [(i, rng.normal(size=8) * 0.01 + 1, 0.5) for i in range(D.SCAN_BLOCK)]
+    text = "".join(rng.choice(list("ACGT"), 200_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([0]), pa.array([text])], names=["gene", "at", "text"])
+    tracemalloc.start()
+    pairs = [tuple(r) for out in D._scan(SimpleNamespace(value=motifs), 10**6, False, iter([batch])) for r in zip(*(c.to_pylist() for c in out.columns))]
+    sites = sum(out.num_rows for out in D._scan(SimpleNamespace(value=motifs[:3]), 10**6, True, iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(set(pairs)) == [(7, i) for i in range(D.SCAN_BLOCK)]
+    assert sites == 3 * 2 * (len(text) - 1)
+    assert peak < 250e6
