@@ -53,9 +53,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed little-endian unsigned 32-bit) and whether they decode to the text."""
-    coded = bpe.encode_decode(docs, tokenizer_path(), keep=["doc_id", "lang", "source", "text"])
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return coded.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    coded = bpe.encode_decode(docs, tokenizer_path(), keep=["doc_id", "lang", "source"], compare=True)
+    return coded.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [("quality", keep_good), ("near_dedup", keep_one_of_each), ("pii", redact), ("mixing", mix), ("bpe", encode)]

@@ -158,19 +158,24 @@ class Codec:
         return b"".join(map(self.vocabulary.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def _both(path: str):
+def _both(path: str, compare: bool):
     codec = once(("codec", path), lambda: Codec(path))
 
     def work(texts):
         ids = [codec.encode(t) for t in texts]
-        return {"ids": ids, "decoded": [codec.decode(x) for x in ids]}
+        decoded = map(codec.decode, ids)
+        if compare:
+            return {"ids": ids, "round_trip": [d == (t or "") for d, t in zip(decoded, texts)]}
+        return {"ids": ids, "decoded": list(decoded)}
 
     return work
 
 
-def encode_decode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode_decode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, compare: bool = False) -> DataFrame:
     """Append ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded`` (the text they spell).
 
-    ``path``: the vocabulary file, readable at the same place on every executor.
+    ``path``: the vocabulary file, readable at the same place on every executor. With ``compare`` a text is decoded and compared where it
+    lies: ``round_trip`` stands in place of ``decoded``, so that no text travels back (a null text counts as empty).
     """
-    return add_columns(df, text, {"ids": T.BinaryType(), "decoded": T.StringType()}, partial(_both, path), keep)
+    second = {"round_trip": T.BooleanType()} if compare else {"decoded": T.StringType()}
+    return add_columns(df, text, {"ids": T.BinaryType(), **second}, partial(_both, path, compare), keep)

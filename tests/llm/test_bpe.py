@@ -51,3 +51,15 @@ def test_all_columns_and_empty_table(odd_docs):
     full = encode_decode(odd_docs, tokenizer_path())
     assert "Score" in full.columns and full.columns.count("ids") == 1
     assert encode_decode(odd_docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_compared_where_the_text_lies(spark):
+    """No text and no decoded text travels back; the verdict equals the comparison of the returned texts."""
+    rows = [(1, "one two  three"), (1, ""), (None, None), (2, "äöü \U0001f600 123")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = encode_decode(docs, tokenizer_path(), keep=["doc_id"], compare=True)
+    assert got.columns == ["doc_id", "ids", "round_trip"]
+    plain = encode_decode(docs, tokenizer_path(), keep=["doc_id", "text"]).collect()
+    key = lambda r: (str(r[0]), bytes(r[1]))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(
+        [(r.doc_id, r.ids, r.decoded == (r.text or "")) for r in plain], key=key)
