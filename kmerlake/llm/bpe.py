@@ -4,7 +4,8 @@ A vocabulary file (JSON, byte-level) is read once in a task. A text is cut at th
 and by the pre-token pattern; each distinct pre-token is merged on two small arrays, the parts
 between boundaries and the ranks of adjacent parts: find the least rank, drop the boundary,
 refresh the two neighbours. Pre-tokens longer than LONG bytes use the same rule with a heap, as scanning
-would cost the square of their length. Results of pre-tokens are remembered up to MEMORY entries, for as long as a Python worker lives.
+would cost the square of their length. Results of pre-tokens are remembered for as long as a Python worker lives, in two generations of up to
+MEMORY entries each: what is not met again while the younger one fills is forgotten.
 
 Null and empty texts give no ids and an empty decoded text. Repeated rows are encoded alike.
 """
@@ -26,7 +27,7 @@ from kmerlake.llm.common import add_columns, once
 #: The pattern of the byte-level pre-tokenizer (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG = 200
-MEMORY = 1_000_000
+MEMORY = 100_000
 SHIFT = 24
 _LOW = (1 << SHIFT) - 1
 _NONE = 1 << 60
@@ -115,20 +116,24 @@ def merge_long(word: bytes, single: list[int], join) -> list[int]:
 
 
 class Words(dict):
-    """Packed ids of pre-tokens, computed on first sight."""
+    """Packed ids of pre-tokens, computed on first sight; the generation before is ``older``."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+        self.vocabulary, self.older = vocabulary, {}
 
     def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
-        merge = merge_short if len(raw) <= LONG else merge_long
-        ids = merge(raw, self.vocabulary.single, self.vocabulary.joins.get)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(raw) <= LONG:
-            if len(self) >= MEMORY:
-                self.clear()
-            self[word] = packed
+        packed = self.older.get(word)
+        if packed is None:
+            raw = word.encode()
+            merge = merge_short if len(raw) <= LONG else merge_long
+            ids = merge(raw, self.vocabulary.single, self.vocabulary.joins.get)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+            if len(raw) > LONG:
+                return packed
+        if len(self) >= MEMORY:
+            self.older = dict(self)
+            self.clear()
+        self[word] = packed
         return packed
 
 

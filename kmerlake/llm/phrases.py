@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from kmerlake.llm.common import stored
 
 #: Words that a task turns into stripes at once; a longer text stands alone.
-WINDOW = 2_000_000
+WINDOW = 500_000
 FILTER_BITS = 25
 #: Occurrences of a prefix from which its stripe is dealt over all buckets.
 SPLIT = 200_000
-BUCKETS = 2  # for each shuffle partition
+BUCKETS = 8  # for each shuffle partition
 LONGEST = 5
 NO_LANG = "und"
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"

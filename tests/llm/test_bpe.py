@@ -63,3 +63,15 @@ def test_compared_where_the_text_lies(spark):
     key = lambda r: (str(r[0]), bytes(r[1]))
     assert sorted(map(tuple, got.collect()), key=key) == sorted(
         [(r.doc_id, r.ids, r.decoded == (r.text or "")) for r in plain], key=key)
+
+
+def test_remembered_words_are_bounded(codec, monkeypatch):
+    """Two generations of 100,000 at most in a worker, and what is met again is not computed again."""
+    from kmerlake.llm import bpe
+    assert 2 * bpe.MEMORY <= 200_000
+    monkeypatch.setattr(bpe, "MEMORY", 10)
+    words = bpe.Words(codec.vocabulary)
+    for i in range(100):
+        assert words[f"w{i}"] == codec.words[f"w{i}"] and words["again"] == codec.words["again"]
+        assert len(words) <= 10 and len(words.older) <= 10
+    assert "again" in words or "again" in words.older

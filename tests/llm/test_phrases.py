@@ -86,3 +86,12 @@ def test_edges(spark):
 def test_registered_query(spark):
     got = QUERIES["op12_phrase_collocations"](spark, SF).toPandas()
     assert len(got) and difference(got, connect(SF).execute(ORACLES["op12_phrase_collocations"]).df()) is None
+
+
+def test_windows_hold_a_bounded_number_of_words():
+    """A task holds 500,000 words and one text at a time."""
+    import pyarrow as pa
+    text = b"a b c d " * 25_000
+    batch = pa.RecordBatch.from_arrays([pa.array([b"en"] * 25), pa.array([text] * 25)], names=["lang", "text"])
+    sizes = [w.size for w in phrases._windows([batch])]
+    assert max(sizes) < 500_000 + 100_002 and sum(sizes) == 25 * 100_001
