@@ -122,3 +122,35 @@ def test_enrich_keeps_zero_counts(spark):
     rows = [(i, 1, "AAAA") for i in range(8)] + [(20 + i, 0, "CGCG") for i in range(8)]
     kept, matrix = enrich(seqs(spark, rows), spark.createDataFrame([("AA",), ("GG",)], "token string"), 0.01, True)
     assert values(kept, "token") == {"AA"} and matrix.count() == 8
+
+
+def test_gene_words_are_distinct_over_rows_stretches_and_nulls(spark, monkeypatch):
+    """Genes of one row are not shuffled word by word; repeated and null keys, long sequences and odd letters count once all the same."""
+    from kmerlake.operators import gene_words as W
+    from kmerlake.operators.presence import presence_single, presence_stranded
+    rows = [(1, 1, "ACGTACGGN"), (2, 0, "acgtTTACG"), (2, 0, "TTACGCCA"), (2, 1, "TTA"), (None, 1, "GATTACA"), (None, 1, "TTACAG"), (3, None, "ACG"),
+            (4, 0, "ACGTTGCATTACGGCA" * 3), (5, 0, ""), (6, 1, None), (7, 0, "AéGTTéG")]
+    seqs = spark.createDataFrame(rows, "gene long, class int, seq string")
+    rc = lambda w: w.translate(W._COMPLEMENT)[::-1]
+    words = [(g, c, s[i:i + 3]) for g, c, s in rows for i in range(len(s or "") - 2)]
+    want = {True: {(g, c, min(w, rc(w))) for g, c, w in words}, False: set(words)}
+    for stretch in (1_000_000, 10):
+        monkeypatch.setattr(W, "STRETCH", stretch)
+        for both in (False, True):
+            got = [tuple(r) for r in W.gene_words(seqs, [3], both).collect()]
+            assert len(got) == len(set(got)) and set(got) == want[both]
+    tokens = spark.createDataFrame([("TTA.TAA",), ("TAA",), ("TTA.TAA",), ("ACG",)], "token string")
+    got = sorted(tuple(r) for r in presence_stranded(seqs, tokens, [3]).where("class is not null and gene is not null").collect())
+    hold = {t: {t[:3], rc(t[:3])} for t in ("TTA.TAA", "TAA", "ACG")}
+    assert got == sorted({(g, c, t) for g, c, w in words if g and c is not None for t in hold if w in hold[t]})
+    got = sorted(tuple(r) for r in presence_single(seqs, tokens, [3]).where("gene = 2").collect())
+    assert got == sorted({(g, c, w) for g, c, w in words if g == 2 and w in ("TAA", "ACG")})
+
+
+def test_presence_of_single_rows_shuffles_no_words(spark):
+    """The rows of genes that stand alone reach the join without an exchange of their own."""
+    from kmerlake.operators.presence import presence_stranded
+    seqs = spark.createDataFrame([(1, 1, "ACGTACGG")], "gene long, class int, seq string")
+    tokens = spark.createDataFrame([("ACG.CGT",)], "token string")
+    plan = presence_stranded(seqs, tokens, [3])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("Aggregate [gene")
