@@ -154,3 +154,13 @@ def test_presence_of_single_rows_shuffles_no_words(spark):
     tokens = spark.createDataFrame([("ACG.CGT",)], "token string")
     plan = presence_stranded(seqs, tokens, [3])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Union") < plan.index("Aggregate [gene")
+
+
+def test_growth_by_one_level_keeps_no_places(spark):
+    """Children are counted by the words of the genes: no Python pass hands back a place or a row to make distinct for genes of one row."""
+    from kmerlake.operators.growth import grow_level
+    seqs = spark.createDataFrame([(1, 1, "ACGTACGG"), (2, 0, "TTTT"), (3, 1, "CCGTACC")], "gene long, class int, seq string")
+    parents = spark.createDataFrame([("ACG", 1.0)], "token string, padj double")
+    out = grow_level(seqs, parents, 1.0, None, [4])
+    assert "starts" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["token"], r["pos_count"], r["neg_count"]) for r in out.collect()} >= {("ACGT", 1, 0), ("TACG", 2, 0), ("ACGG", 2, 0)}
