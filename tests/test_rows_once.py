@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from querybook import evidence
+from querybook import evidence, words
 from querybook import fixtures as X
 
 TEXTS = [
@@ -27,6 +27,18 @@ def plain(text):
     return "".join(X.BASES[X.AZ.index(c.lower())] for c in text if c.isascii() and c.isalpha())
 
 
+def test_windows_of_a_gene_are_not_sorted(spark, tmp_path):
+    got = words.k6(spark, documents(spark, tmp_path))
+    assert not re.search(r"SortAggregate\(key=\[[^\]]*word", plan(got))  # it sorted every window by gene and word
+    want = {}
+    for gene, text, _ in TEXTS:
+        seq = plain(text or "")
+        for s in range(len(seq) - 5):
+            want.setdefault(gene, []).append((s + 1, seq[s:s + 6]))
+    rows = {r["gene"]: tuple(r)[1:] for r in got.collect()}
+    assert rows == {g: (len(w), len({x for _, x in w}), sum(s for s, _ in w), min(x for _, x in w), max(w)[1]) for g, w in want.items()}
+
+
 def test_regions_are_parsed_once_a_hit(spark, tmp_path):
     sf = documents(spark, tmp_path)
     for query in (evidence.c13, evidence.c14):
