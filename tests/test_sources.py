@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from kmerlake.operators import motifs as W
 from kmerlake.sources import motif_text as T
 from kmerlake.sources import text as S
@@ -141,3 +143,19 @@ def test_split_and_packed_tables(spark, tmp_path):
     assert list((tmp_path / "s").glob("mark=m1/*.gz")) and list((tmp_path / "t").glob("*.gz"))
     assert sorted(int(r[0]) for r in spark.read.csv(str(tmp_path / "s/mark=m1")).collect()) == list(range(1, 100, 3))
     assert spark.read.csv(str(tmp_path / "t"), sep="\t", header=True).count() == 100
+
+
+def test_range_of_a_text_without_a_sort_of_the_rows(spark):
+    rows = spark.range(1000).selectExpr("cast(id % 2 AS int) AS class", "if(id % 7 = 0, null, concat('K', id % 5)) AS kmer", "concat('g', id, ':1') AS locus").repartition(3)
+    got = S.text_range(rows, ["class", "kmer"], "locus")
+    want = rows.groupBy("class", "kmer").agg(F.count("*").alias("n"), F.min("locus").alias("first_locus"), F.max("locus").alias("last_locus"))
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_wanted_kmers_are_sent_to_the_loci(spark):
+    from kmerlake.operators import criteria as C
+
+    pos, neg = (spark.range(50).selectExpr(f"concat('K', id % 4) AS kmer", f"concat('{x}', id) AS locus") for x in "pn")
+    kmers = spark.range(200).selectExpr("concat('K', id % 2) AS kmer").groupBy("kmer").agg(F.count("*").alias("n"))
+    got = C.map_loci(pos, neg, kmers)
+    assert got.count() == 52 and "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
