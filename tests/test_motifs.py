@@ -217,3 +217,43 @@ def test_short_motifs_with_sites_everywhere_scan_in_bounded_memory():
     assert sorted(set(pairs)) == [(7, i) for i in range(D.SCAN_BLOCK)]
     assert sites == 3 * 2 * (len(text) - 1)
     assert peak < 250e6
+
+
+def test_pairs_take_the_numbers_of_blocks_and_no_copies_of_motifs(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", 3)
+    monkeypatch.setattr(D, "HELD_CELLS", 4 * 8 * 4)  # four motifs a set
+    for widths in ((8, 9), (5, 9)):
+        motifs = make(11, 4, widths)
+        table, plain = D.pcc_distance(cells(spark, motifs)), D.pcc_distance(cells(spark, motifs), aligned=False)
+        want = {(i, j): brute_distance(motifs[i], motifs[j]) for i in motifs for j in motifs if i < j}
+        for rows in (table.collect(), plain.collect()):
+            assert len(rows) == 55 and {(r.i, r.j): r.d for r in rows} == pytest.approx(want, abs=1e-9)
+        for r in table.collect():
+            b = motifs[r.j][::-1, ::-1] if r.flipped else motifs[r.j]
+            at = [x for x in range(len(motifs[r.i])) if 0 <= x - r.offset < len(b)]
+            assert 1 - np.mean([pearson(motifs[r.i][x], b[x - r.offset]) for x in at]) == pytest.approx(r.d, abs=1e-9)
+        two = D.pcc_distance_2(cells(spark, {k: motifs[k] for k in range(5)}), cells(spark, {k: motifs[k] for k in range(2, 11)}), aligned=False)
+        assert {(r.i, r.j): r.d for r in two.collect()} == pytest.approx(
+            {(i, j): brute_distance(motifs[i], motifs[j]) for i in range(5) for j in range(2, 11)}, abs=1e-9)
+    # Pairs are many more than their numbers: a join must not take them for the small side.
+    families = spark.range(11).selectExpr("id AS j", "'f' AS family")
+    plan = W.family_average(W.symmetric(plain), families)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "SortMergeJoin" not in plan and "p#" not in plan
+
+
+def test_pairs_inside_clusters_alone_are_computed(spark):
+    table = _made(spark, 9)
+    told = lambda rows: sorted((r.i, r.j, round(r.d, 9), r.offset, r.flipped) for r in rows.collect())
+    for made in ("if(id = 8, null, id % 2)", "explode(array(id % 2, id % 3))"):
+        clusters = spark.range(9).selectExpr("id AS motif_id", f"{made} AS cluster")
+        assert told(L.pairs_inside(table, clusters)) == told(L.inside_clusters(D.pcc_distance(table), clusters))
+
+
+def test_old_links_are_emptied(spark, monkeypatch):
+    tables, kept = [], L.written
+    monkeypatch.setattr(L, "written", lambda df, name: tables.append((name, kept(df, name))) or tables[-1][1])
+    rng = np.random.default_rng(1)
+    rows = [(i, j, float(rng.uniform(0, 2))) for i in range(9) for j in range(i + 1, 9)]
+    L.cluster_motifs(spark.range(9).withColumnRenamed("id", "motif_id"), spark.createDataFrame(rows, "i long, j long, d double"), 3.0)
+    links = [df for name, df in tables if name == "links"]
+    assert len(links) > 2 and all(spark.read.parquet(df.inputFiles()[0].rsplit("/", 1)[0]).isEmpty() for df in links[:-1])
