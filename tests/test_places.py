@@ -123,3 +123,18 @@ def test_nothing_to_grow(spark):
     seeds = spark.createDataFrame([("GATT",)], "token string")
     assert G.grow(none, seeds, 2).where("level > 0").count() == 0
     assert G.grow(frame(spark), seeds.where(F.lit(False)), 2).count() == 0
+
+
+def test_words_of_a_gene_in_one_row_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(L, "GAP", 0)  # stretches are many
+    tokens = spark.createDataFrame([("GATTA",), ("TACA",), ("ACGT",)], "token string")
+    cut = L.cut_text(frame(spark), [4, 5], 1, 1000)
+    state = L.with_alone(L.open_places(cut, L.word_bitmap(tokens), [4, 5], 1, True), "k")
+    by_gene = {(r.gene, r["class"]): r.alone for r in state.collect()}
+    assert not by_gene[7, 1] and not by_gene[100, 1] and by_gene[1, 1] and by_gene[None, 0]
+    exact = E.class_counts(E.stranded_presence(frame(spark), tokens), tokens).orderBy("token").collect()
+    assert L.counts_at(state, tokens).orderBy("token").collect() == exact
+    grown = L.grow_places(state, L.word_bitmap(tokens), 0, together=True)
+    assert grown.columns == ["gene", "class", "alone", "k", "text", "starts"]
+    once = L.words_at(grown.where("alone"))
+    assert once.count() == once.distinct().count()
